@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, quality_rules
+from . import language_id, packing, quality_rules, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +17,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _OP7 = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _fold(n: int) -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n, F.lit(-1))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.learn(docs, _fold(4) != 2)
+    return language_id.predict(docs, model).select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    weights = toxicity.learn(docs, _table(spark, sf_dir, "labels"), (_fold(3) != 1) & (_fold(3) >= 0))
+    return toxicity.score(docs, weights).select("doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), packing.default_tokenizer())
 
@@ -25,6 +42,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op3_toxicity": op3_toxicity,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
 }
