@@ -20,6 +20,7 @@ from __future__ import annotations
 import bisect
 import functools
 import re
+import string
 import zlib
 from collections.abc import Iterable, Iterator, Mapping
 
@@ -34,7 +35,7 @@ from .shared import blocks, stored
 CAPACITY = 2048
 #: What the tokenizer counts as white space.  str.split() also splits at 1C to 1F.
 _SPACE = re.compile("[\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
-_CACHED_WORDS, _CACHED_LENGTH = 300_000, 64
+_CACHED_WORDS, _CACHED_LENGTH = 1_500_000, 64
 
 
 class WordCoder(dict):
@@ -51,13 +52,26 @@ class WordCoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if word.isascii() and "<|" not in word:  # "<|" may begin a special token
+            stem = word.rstrip(string.punctuation)
+            low = stem.lower()
+            if low and len(low) < len(word):  # letters or digits and then marks are separate to the tokenizer
+                ids = self[low] + self[word[len(stem) :]]
+            elif low and low != word:
+                ids = self[low]
+            else:
+                ids = self._encoded(word)
+        else:
+            ids = self._encoded(word)
         if len(word) <= _CACHED_LENGTH:
             if len(self) >= _CACHED_WORDS:
                 self.clear()
             self[word] = ids
         return ids
 
+    def _encoded(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
         odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
         words = [w for w in _SPACE.split(text) if w] if odd else text.split()
