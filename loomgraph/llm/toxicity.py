@@ -19,76 +19,31 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import blocks
+from .words import mixed, word_hashes
 
 BITS = 20
 SAMPLE_DOCS = 8_000  # of each class
 SAMPLE_DOC_BYTES = 50_000  # longer texts are not learned from; all are scored
-_BASE, _MIX = 0x100000001B3, np.uint64(0xFF51AFD7ED558CCD)
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
-def _word_bytes() -> np.ndarray:
-    is_word = np.zeros(256, bool)
-    for low, high in ((48, 57), (97, 122), (128, 255)):
-        is_word[low : high + 1] = True
-    return is_word
-
-
-_IS_WORD = _word_bytes()
-
-
-class Powers:
-    """Powers of an odd base and of its inverse modulo 2^64, extended as texts need them."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = 1 << (n - 1).bit_length()
-            powers = []
-            for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-                x = np.full(n, base, np.uint64)
-                x[0] = 1
-                powers.append(np.multiply.accumulate(x))
-            self.up, self.down = powers
-        return self.up, self.down
-
-
-_POWERS = Powers()
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * _MIX
-    return x ^ (x >> np.uint64(29))
-
-
 def features(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Text number and bucket of every word, pair, triple and skip-pair; repeats stay."""
-    parts = pc.fill_null(pc.utf8_lower(texts), "").cast(pa.large_binary()).to_pylist()
-    data = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
-    ends_of = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], _IS_WORD[data]])))
-    begin, end = edge[::2], edge[1::2]  # data ends with a blank, so every word ends
-    up, down = _POWERS.to(len(data) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data * up[: len(data)], dtype=np.uint64)])
-    word = _mixed((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
-    text = np.searchsorted(ends_of, begin, "right")
+    text, word = word_hashes(texts)
     shift = np.uint64(64 - bits)
     of, buckets = [text], [(word * _SEEDS[0]) >> shift]
     for seed, gap in ((1, 1), (2, 2)):  # a pair, and one with a word left out
         same = text[gap:] == text[:-gap]
-        pair = _mixed(word[:-gap] * _SEEDS[seed] + word[gap:])
+        pair = mixed(word[:-gap] * _SEEDS[seed] + word[gap:])
         of.append(text[gap:][same])
         buckets.append(pair[same] >> shift)
     same = text[2:] == text[:-2]
     of.append(text[2:][same])
-    buckets.append(_mixed(_mixed(word[:-2] * _SEEDS[3] + word[1:-1]) + word[2:])[same] >> shift)
+    buckets.append(mixed(mixed(word[:-2] * _SEEDS[3] + word[1:-1]) + word[2:])[same] >> shift)
     return np.concatenate(of), np.concatenate(buckets).astype(np.int64)
 
 
