@@ -127,7 +127,8 @@ def keep_good(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = DEFAU
     """The rows of ``docs`` that pass, with their own columns, in one projection and filter (no join)."""
     names = [f"_c{i}" for i in range(len(docs.columns))]
     plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
-    judged = judge(plain, names[docs.columns.index(text)], names, rules).where("kept")
+    # Catalyst would push the filter below the arrays and evaluate them in its lambdas; it does not pass a column that is not deterministic.
+    judged = judge(plain, names[docs.columns.index(text)], names, rules).withColumn("_row", F.monotonically_increasing_id()).where("kept AND _row >= 0")
     return judged.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
 
 
