@@ -45,8 +45,9 @@ from .suffix_array import suffix_order, words
 
 LENGTH, GRAM = 50, 19
 SHARD_BYTES, LEAST_SHARDS = 16 << 20, 48
-BUCKET_BYTES, LEAST_BUCKETS = 64 << 20, 48
+BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 48
 _BLOCK = 2 << 20
+_SORTED_SEGMENTS = 20_000  # that share a suffix array; one anchor's segments are never parted
 _BASE = 0x100000001B3
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -183,7 +184,7 @@ def _segments(buckets: int):
     """From a shard's texts, its shared hashes and its copies: segments by bucket."""
 
     def work(texts: pa.Table, told: pa.Table) -> pa.Table:
-        rows: dict[str, list] = {c: [] for c in ("bucket", "shard", "docs", "firsts", "strings", "segments")}
+        rows: dict[str, list] = {c: [] for c in ("bucket", "shard", "docs", "firsts", "strings", "grams", "segments")}
         blobs = [x for x in told["hashes"].to_pylist() if x]
         shared = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in blobs])) if blobs else np.zeros(0, np.uint64)
         if texts.num_rows and len(shared):
@@ -197,16 +198,16 @@ def _segments(buckets: int):
             width = 2 * LENGTH - GRAM
             for a, b in _blocks(starts):
                 part = data[starts[a] : starts[b]]
-                h, _, first, size = anchors(part, starts[a : b + 1] - starts[a])
+                h, gram, first, size = anchors(part, starts[a : b + 1] - starts[a])
                 at = np.minimum(np.searchsorted(shared, h), len(shared) - 1)
                 on = shared[at] == h
-                h, first, size = h[on], first[on], size[on]
+                h, gram, first, size = h[on], gram[on], first[on], size[on]
                 if not len(h):
                     continue
                 doc = np.searchsorted(starts[a + 1 : b] - starts[a], first, "right")
                 of = (h >> np.uint64(32)).astype(np.int64) * buckets >> 32
                 order = np.lexsort((h, of))
-                of, first, size, doc = of[order], first[order], size[order], doc[order]
+                of, gram, first, size, doc = of[order], gram[order], first[order], size[order], doc[order]
                 padded = np.append(part, np.zeros(width, np.uint8))
                 view = np.lib.stride_tricks.sliding_window_view(padded, width)[first].copy()
                 view[np.arange(width)[None, :] >= (size + LENGTH - 1)[:, None]] = 0
@@ -217,6 +218,7 @@ def _segments(buckets: int):
                     rows["docs"].append(names[a:b][doc[cut]].tobytes())
                     rows["firsts"].append((first[cut] - (starts[a:b] - starts[a])[doc[cut]]).tobytes())
                     rows["strings"].append(size[cut].astype(np.uint8).tobytes())
+                    rows["grams"].append((gram[cut] - first[cut]).astype(np.uint8).tobytes())
                     rows["segments"].append(pack(view[cut].tobytes()))
             rows["shard"] = [texts["shard"][0].as_py()] * len(rows["bucket"])
         kinds = dict.fromkeys(rows, pa.binary()) | {"bucket": pa.int32(), "shard": pa.int32()}
@@ -256,6 +258,23 @@ def smallest_doc(segments: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.
     return out
 
 
+def _by_anchor(matrix: np.ndarray, index: np.ndarray, size: np.ndarray, gram: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """``smallest_doc`` of the segments ``matrix[index]``, some anchors at a time; an anchor with one segment needs no sorting."""
+    most = LENGTH - GRAM + 1
+    grams = np.lib.stride_tricks.sliding_window_view(matrix, GRAM, axis=1)[index, gram]
+    _, anchor, uses = np.unique(np.ascontiguousarray(grams).view(np.dtype((np.void, GRAM))).ravel(), return_inverse=True, return_counts=True)
+    out = np.where(np.arange(most)[None, :] < size[:, None], doc[:, None], np.iinfo(np.int64).max)
+    several = np.flatnonzero(uses[anchor] > 1)
+    several = several[np.argsort(anchor[several], kind="stable")]
+    at = 0
+    while at < len(several):
+        to = int(np.searchsorted(anchor[several], anchor[several[min(at + _SORTED_SEGMENTS, len(several)) - 1]], "right"))
+        part = several[at:to]
+        out[part] = smallest_doc(matrix[index[part]], size[part], doc[part])
+        at = to
+    return out
+
+
 def _search(table: pa.Table) -> pa.Table:
     """By shard, doc_id, first byte and mask of the strings that an earlier document holds."""
     width, most = 2 * LENGTH - GRAM, LENGTH - GRAM + 1
@@ -266,13 +285,16 @@ def _search(table: pa.Table) -> pa.Table:
     first = np.concatenate([np.frombuffer(x, np.int64) for x in table["firsts"].to_pylist()])
     size = np.concatenate([np.frombuffer(x, np.uint8) for x in table["strings"].to_pylist()]).astype(np.int64)
     matrix = np.frombuffer(b"".join(unpack(x) for x in table["segments"].to_pylist()), np.uint8).reshape(-1, width)
-    rows = np.ascontiguousarray(np.concatenate([matrix, size[:, None].astype(np.uint8)], 1)).view(np.dtype((np.void, width + 1))).ravel()
+    gram = np.concatenate([np.frombuffer(x, np.uint8) for x in table["grams"].to_pylist()]).astype(np.int64)
+    rows = np.concatenate([matrix, size[:, None].astype(np.uint8), gram[:, None].astype(np.uint8)], 1).view(np.dtype((np.void, width + 2))).ravel()
     _, index, which = np.unique(rows, return_index=True, return_inverse=True)
+    del rows
     least = np.full(len(index), np.iinfo(np.int64).max)
     np.minimum.at(least, which, doc)
-    found = smallest_doc(matrix[index], size[index], least)
-    earlier = found[which] < doc[:, None]
-    mask = earlier @ (1 << np.arange(most, dtype=np.int64))
+    found = _by_anchor(matrix, index, size[index], gram[index], least)
+    mask = np.zeros(len(doc), np.int64)
+    for k in range(most):
+        mask |= (found[which, k] < doc).astype(np.int64) << k
     shards = np.repeat(table["shard"].to_numpy(), counts)
     order = np.argsort(shards, kind="stable")
     order = order[mask[order] != 0]
@@ -328,7 +350,7 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_tex
     copies = stored(digests.join(least, "digest").where("doc_id > least").select("shard", F.col("doc_id").alias("copy"), "digest"), "copies")
     shared = stored(_sent(texts, buckets).groupBy("bucket").applyInArrow(_shared_hashes, "shard int, hashes binary"), "anchors")
     told = shared.unionByName(copies, allowMissingColumns=True)
-    cut = texts.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_segments(buckets), "bucket int, shard int, docs binary, firsts binary, strings binary, segments binary")
+    cut = texts.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_segments(buckets), "bucket int, shard int, docs binary, firsts binary, strings binary, grams binary, segments binary")
     found = stored(cut.groupBy("bucket").applyInArrow(_search, "shard int, docs binary, firsts binary, masks binary"), "strings")
     told = found.unionByName(copies, allowMissingColumns=True)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, removed binary" * with_text
