@@ -6,13 +6,15 @@ if the Jaccard similarity of their token sets is 0.8 or more.  A line goes if
 an earlier line, by (doc_id, line number), matches it, whether that line stays
 or not; lines without a word stay.
 
-Rarity comes from the counts of all words in ``BUCKETS`` hash buckets, so the
-table of ranks has a fixed size.  The join:
+Rarity is the magnitude of the count of all words in the word's hash bucket
+(``BUCKETS`` counters, so the table has a fixed size), and longer words count as
+rarer within one magnitude.  Any fixed order gives the same matches; a better
+one gives fewer candidates.  The join:
 
 * lines with equal sets are one; its first line stands for it;
 * a match shares a token within the first ``n - ceil(0.8 n) + 1`` (prefix
-  filter), has similar size (length filter), and has enough tokens left behind
-  the shared ones (positional filter);
+  filter), has similar size (length filter), has enough tokens left behind the
+  shared ones (positional filter), and few bits of its own in a bitmap of 128;
 * each line is first verified against the earliest line of each shared token,
   which settles large groups of like lines without pairing them; only lines
   that this leaves are paired with all earlier ones.
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 SPACE = r"[\x20\x09-\x0D]+"
-BUCKETS = 1 << 14
+BUCKETS = 1 << 18
 #: Lines whose text may be broadcast as (doc_id, line number); beyond it they are joined by shuffle.
 BROADCAST_LINES = 1_000_000
 
@@ -45,23 +47,19 @@ def _bucket(hashed: Column) -> Column:
 
 
 def rarity(docs: DataFrame, text: str = "text") -> Column:
-    """Constant array: by bucket, its place from the rarest on, less half the number of buckets."""
+    """Constant bytes: by bucket, the number of bits of its count."""
     words = docs.select(F.explode(F.split(F.lower(F.col(text)), SPACE)).alias("w"))
     counts = {r["b"]: r["n"] for r in words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}  # BUCKETS rows at most
-    order = sorted(range(BUCKETS), key=lambda b: (counts.get(b, 0), b))
-    place = [0] * BUCKETS
-    for k, b in enumerate(order):
-        place[b] = k - BUCKETS // 2
-    return F.split(F.lit(",".join(map(str, place))), ",").cast("array<bigint>")  # folded once, by the optimizer
+    return F.lit(bytearray(min(31, counts.get(b, 0).bit_length()) for b in range(BUCKETS)))
 
 
-def token_set(line: Column, ranks: Column) -> Column:
-    """Sorted tokens: the bucket's place in the upper bits, the rest of the hash below."""
-    bits = BUCKETS.bit_length() - 1
+def token_set(line: Column, sizes: Column) -> Column:
+    """Sorted tokens: five bits of the bucket's magnitude, six of the length, 53 of the hash."""
 
     def ordered(w: Column) -> Column:
         h = F.xxhash64(w)
-        return F.shiftleft(F.get(ranks, _bucket(h)), 64 - bits).bitwiseOR(F.shiftrightunsigned(h, bits))
+        size = F.shiftleft(F.ascii(F.substring(sizes, _bucket(h) + 1, F.lit(1)).cast("string")).cast("bigint") - 16, 59)
+        return size.bitwiseOR(F.shiftleft((63 - F.least(F.char_length(w), F.lit(63))).cast("bigint"), 53)).bitwiseOR(F.shiftrightunsigned(h, 11))
 
     return F.sort_array(F.array_distinct(F.transform(_words(line), ordered)))
 
@@ -70,24 +68,42 @@ def lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "t"))
 
 
+def _bitmap(half: int) -> Column:
+    """64 of 128 bits; a token sets one of them."""
+
+    def added(bits: Column, x: Column) -> Column:
+        own = F.shiftright(x, 6).bitwiseAND(F.lit(1)).bitwiseXOR(F.lit(1 - half)).cast("bigint")
+        return bits.bitwiseOR(F.call_function("shiftleft", own, x.bitwiseAND(F.lit(63)).cast("int")))
+
+    return F.aggregate("s", F.lit(0).cast("bigint"), added)
+
+
 def _prefixed(docs: DataFrame, ranks: Column, doc_id: str, text: str) -> DataFrame:
-    """doc, line, set (two hashes), n, prefix."""
-    sets = lines(docs, doc_id, text).select("doc", "line", token_set(F.col("t"), ranks).alias("s"))
-    return sets.where(F.size("s") > 0).select(
+    """doc, line, set (two hashes), n, bits0, bits1, prefix."""
+    # A filter does not pass a column that is not deterministic; pushed down, it would evaluate the sets a second time.
+    sets = lines(docs, doc_id, text).select("doc", "line", token_set(F.col("t"), ranks).alias("s"), F.monotonically_increasing_id().alias("row"))
+    return sets.where((F.size("s") > 0) & (F.col("row") >= 0)).select(
         "doc",
         "line",
         F.struct(F.xxhash64("s").alias("a"), F.xxhash64(F.lit("set"), "s").alias("b")).alias("set"),
         F.size("s").alias("n"),
+        *[F.when(F.size("s") >= 4, _bitmap(half)).alias(f"bits{half}") for half in (0, 1)],
         # Sets of fewer than four tokens match none but their equals.
         F.when(F.size("s") >= 4, F.slice("s", 1, F.size("s") - F.expr("(4 * size(s) + 4) div 5").cast("int") + 1)).alias("prefix"),
     )
 
 
 def _similar(a: str, b: str) -> Column:
-    """Length and positional filters for two rows that share a token; J >= 4/5 is 9 * overlap >= 4 * (n_a + n_b)."""
+    """Filters for two rows that share a token; J >= 4/5 is 9 * overlap >= 4 * (n_a + n_b).
+
+    Besides length and position: a token that one set has and the other lacks
+    accounts for one differing bit at most.
+    """
     na, nb, ia, ib = (F.col(f"{x}.{c}") for c in ("n", "i") for x in (a, b))
     bound = F.least(ia, ib) + 1 + F.least(na - ia - 1, nb - ib - 1)
-    return (5 * na >= 4 * nb) & (5 * nb >= 4 * na) & (9 * bound >= 4 * (na + nb))
+    least = F.floor((4 * (na + nb) + 8) / 9)  # tokens that matching sets share
+    apart = sum(F.bit_count(F.col(f"{a}.bits{h}").bitwiseXOR(F.col(f"{b}.bits{h}"))) for h in (0, 1))
+    return (5 * na >= 4 * nb) & (5 * nb >= 4 * na) & (apart <= na + nb - 2 * least) & (9 * bound >= 4 * (na + nb))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, ranks: Column, doc_id: str, text: str) -> DataFrame:
@@ -107,20 +123,20 @@ def later_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     ranks = rarity(docs, text)
     placed = stored(_prefixed(docs, ranks, doc_id, text), "prefixes")
     place = F.struct("doc", "line")
-    sets = placed.groupBy("set").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    tokens = stored(sets.where("prefix IS NOT NULL").select(F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), "n", F.posexplode("prefix").alias("i", "token")), "tokens")
+    sets = stored(placed.groupBy("set").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("bits0").alias("bits0"), F.first("bits1").alias("bits1"), F.first("prefix").alias("prefix")), "sets")
+    tokens = (sets.where("prefix IS NOT NULL").select(F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), "n", "bits0", "bits1", F.posexplode("prefix").alias("i", "token")))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
     tokens = stored(tokens.join(shared, "token"), "shared")
     # Against the earliest line of each token.
-    earliest = tokens.groupBy("token").agg(F.min(F.struct("doc", "line", "n", "i")).alias("y")).alias("e")
-    near = tokens.alias("x").join(earliest, "token").select("token", F.struct("x.doc", "x.line", "x.n", "x.i").alias("x"), "y")
+    earliest = tokens.groupBy("token").agg(F.min(F.struct("doc", "line", "n", "i", "bits0", "bits1")).alias("y")).alias("e")
+    near = tokens.alias("x").join(earliest, "token").select("token", F.struct("x.doc", "x.line", "x.n", "x.i", "x.bits0", "x.bits1").alias("x"), "y")
     columns = [F.col("x.doc").alias("doc"), F.col("x.line").alias("line"), F.col("y.doc").alias("doc0"), F.col("y.line").alias("line0")]
     later = F.struct("y.doc", "y.line") < F.struct("x.doc", "x.line")
     first_pairs = stored(near.where(later & _similar("x", "y")).select(*columns).distinct(), "pairs")
     gone = stored(_verified(first_pairs, docs, ranks, doc_id, text), "gone")
     # What is left, against all earlier lines.
-    open_ = tokens.join(gone, ["doc", "line"], "left_anti").select("token", F.struct("doc", "line", "n", "i").alias("x"))
-    others = tokens.select("token", F.struct("doc", "line", "n", "i").alias("y"))
+    open_ = tokens.join(gone, ["doc", "line"], "left_anti").select("token", F.struct("doc", "line", "n", "i", "bits0", "bits1").alias("x"))
+    others = tokens.select("token", F.struct("doc", "line", "n", "i", "bits0", "bits1").alias("y"))
     pairs = open_.join(others, (open_["token"] == others["token"]) & later & _similar("x", "y")).select(*columns).distinct()
     pairs = stored(pairs.join(first_pairs, ["doc", "line", "doc0", "line0"], "left_anti"), "pairs")
     if not pairs.isEmpty():
