@@ -30,12 +30,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import bucketed, stored
 
 SPACE = r"[\x20\x09-\x0D]+"
 BUCKETS = 1 << 18
 #: Lines whose text may be broadcast as (doc_id, line number); beyond it they are joined by shuffle.
 BROADCAST_LINES = 1_000_000
+BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 24  # of text, for the table of tokens
 
 
 def _words(text: Column) -> Column:
@@ -89,7 +90,8 @@ def _prefixed(docs: DataFrame, ranks: Column, doc_id: str, text: str) -> DataFra
         F.size("s").alias("n"),
         *[F.when(F.size("s") >= 4, _bitmap(half)).alias(f"bits{half}") for half in (0, 1)],
         # Sets of fewer than four tokens match none but their equals.
-        F.when(F.size("s") >= 4, F.slice("s", 1, F.size("s") - F.expr("(4 * size(s) + 4) div 5").cast("int") + 1)).alias("prefix"),
+        # Four bytes of a token do: a clash adds a candidate.
+        F.when(F.size("s") >= 4, F.transform(F.slice("s", 1, F.size("s") - F.expr("(4 * size(s) + 4) div 5").cast("int") + 1), lambda x: F.hash(x))).alias("prefix"),
     )
 
 
@@ -124,18 +126,18 @@ def later_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     placed = stored(_prefixed(docs, ranks, doc_id, text), "prefixes")
     place = F.struct("doc", "line")
     sets = stored(placed.groupBy("set").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("bits0").alias("bits0"), F.first("bits1").alias("bits1"), F.first("prefix").alias("prefix")), "sets")
-    tokens = (sets.where("prefix IS NOT NULL").select(F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), "n", "bits0", "bits1", F.posexplode("prefix").alias("i", "token")))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("token")
-    tokens = stored(tokens.join(shared, "token"), "shared")
+    rows = sets.where("prefix IS NOT NULL").select(F.posexplode("prefix").alias("i", "token"), F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), "n", "bits0", "bits1")
+    tokens = bucketed(rows, ["token"], max(LEAST_BUCKETS, (docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0) // BUCKET_BYTES))
     # Against the earliest line of each token.
-    earliest = tokens.groupBy("token").agg(F.min(F.struct("doc", "line", "n", "i", "bits0", "bits1")).alias("y")).alias("e")
-    near = tokens.alias("x").join(earliest, "token").select("token", F.struct("x.doc", "x.line", "x.n", "x.i", "x.bits0", "x.bits1").alias("x"), "y")
+    earliest = tokens.groupBy("token").agg(F.min(F.struct("doc", "line", "n", "i", "bits0", "bits1")).alias("y"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    near = tokens.join(earliest, "token").select(F.struct("doc", "line", "n", "i", "bits0", "bits1").alias("x"), "y")
     columns = [F.col("x.doc").alias("doc"), F.col("x.line").alias("line"), F.col("y.doc").alias("doc0"), F.col("y.line").alias("line0")]
     later = F.struct("y.doc", "y.line") < F.struct("x.doc", "x.line")
     first_pairs = stored(near.where(later & _similar("x", "y")).select(*columns).distinct(), "pairs")
     gone = stored(_verified(first_pairs, docs, ranks, doc_id, text), "gone")
     # What is left, against all earlier lines.
-    open_ = tokens.join(gone, ["doc", "line"], "left_anti").select("token", F.struct("doc", "line", "n", "i", "bits0", "bits1").alias("x"))
+    settled = F.broadcast(gone) if gone.count() <= BROADCAST_LINES else gone
+    open_ = tokens.join(settled, ["doc", "line"], "left_anti").select("token", F.struct("doc", "line", "n", "i", "bits0", "bits1").alias("x"))
     others = tokens.select("token", F.struct("doc", "line", "n", "i", "bits0", "bits1").alias("y"))
     pairs = open_.join(others, (open_["token"] == others["token"]) & later & _similar("x", "y")).select(*columns).distinct()
     pairs = stored(pairs.join(first_pairs, ["doc", "line", "doc0", "line0"], "left_anti"), "pairs")

@@ -31,7 +31,6 @@ table gives no rows.  Other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -40,14 +39,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shared_dir, stored
+from .shared import bucketed, stored
 from .suffix_array import suffix_order, words
 
 LENGTH, GRAM = 50, 19
-SHARD_BYTES, LEAST_SHARDS = 16 << 20, 48
-BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 48
-_BLOCK = 2 << 20
-_SORTED_SEGMENTS = 20_000  # that share a suffix array; one anchor's segments are never parted
+SHARD_BYTES, LEAST_SHARDS = 8 << 20, 48
+BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 48
+_BLOCK = 1 << 20
+_SORTED_SEGMENTS = 8_000  # that share a suffix array; one anchor's segments are never parted
 _BASE = 0x100000001B3
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -117,13 +116,9 @@ def _bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
 
 def _laid_out(docs: DataFrame, doc_id: str, text: str, shards: int, carry: list[str]) -> DataFrame:
     """doc_id, text as bytes, shard, and the carried columns as c0, c1, ...; bucketed by shard."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)])
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-    name = f"loomgraph_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/loomgraph/{spark.sparkContext.applicationId}/{name}"
-    rows.write.option("path", path).option("compression", "zstd").bucketBy(shards, "shard").saveAsTable(name)
-    return spark.table(name)
+    return bucketed(rows, ["shard"], shards)
 
 
 def _sent(table: DataFrame, buckets: int) -> DataFrame:
