@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bucketed, stored
+from .shared import bucketed, discard, stored
 
 SPACE = r"[\x20\x09-\x0D]+"
 BUCKETS = 1 << 18
@@ -141,6 +141,7 @@ def later_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     others = tokens.select("token", F.struct("doc", "line", "n", "i", "bits0", "bits1").alias("y"))
     pairs = open_.join(others, (open_["token"] == others["token"]) & later & _similar("x", "y")).select(*columns).distinct()
     pairs = stored(pairs.join(first_pairs, ["doc", "line", "doc0", "line0"], "left_anti"), "pairs")
+    discard(tokens)
     if not pairs.isEmpty():
         gone = gone.unionByName(_verified(pairs, docs, ranks, doc_id, text))
     # From the sets back to all their lines.
