@@ -41,7 +41,8 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their places in sequences of 2048 tokens."""
-    return packing.pack(docs, packing.default_tokenizer())
+    # The worker processes also hold what earlier stages left them, so fewer words are kept than when packing runs alone.
+    return packing.pack(docs, packing.default_tokenizer(), cached_words=300_000)
 
 
 STAGES = [

@@ -35,7 +35,7 @@ from .shared import blocks, stored
 CAPACITY = 2048
 #: What the tokenizer counts as white space.  str.split() also splits at 1C to 1F.
 _SPACE = re.compile("[\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
-_CACHED_WORDS, _CACHED_LENGTH = 1_500_000, 64
+_CACHED_WORDS, _CACHED_LENGTH = 1_500_000, 64  # about 200 bytes a word in each worker process
 
 
 class WordCoder(dict):
@@ -45,10 +45,11 @@ class WordCoder(dict):
     are its words' ids one after the other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = _CACHED_WORDS):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.most = most
         self.tokenizer = Tokenizer.from_file(path)
 
     def __missing__(self, word: str) -> bytes:
@@ -64,7 +65,7 @@ class WordCoder(dict):
         else:
             ids = self._encoded(word)
         if len(word) <= _CACHED_LENGTH:
-            if len(self) >= _CACHED_WORDS:
+            if len(self) >= self.most:
                 self.clear()
             self[word] = ids
         return ids
@@ -79,12 +80,12 @@ class WordCoder(dict):
 
 
 @functools.cache
-def coder(path: str) -> WordCoder:
+def coder(path: str, most: int = _CACHED_WORDS) -> WordCoder:
     """One for each worker process, kept between tasks."""
-    return WordCoder(path)
+    return WordCoder(path, most)
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False, cached_words: int = _CACHED_WORDS) -> DataFrame:
     """Tokenize and cut: doc_id, piece, start, length, ids_crc32, task, rank [, ids].
 
     ``rank`` counts from 0 among the pieces of one length and task.  ``ids`` are
@@ -95,7 +96,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: s
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"] + ["ids"] * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, seen = coder(tokenizer_path).encode, TaskContext.get().partitionId(), [0] * (capacity + 1)
+        encode, task, seen = coder(tokenizer_path, cached_words).encode, TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in blocks(batches, "text"):
             rows: list[list] = [[] for _ in names]
             for key, value in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -189,13 +190,13 @@ def place(cut: DataFrame, runs: np.ndarray) -> DataFrame:
     return cut.drop("task").mapInArrow(look_up, schema)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False, cached_words: int = _CACHED_WORDS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 [, ids], sequence_id, offset for each piece.
 
     Tokenizing runs once; its rows are written to the shared folder, as their
     ranks must not change between the count and the placing.
     """
-    cut = stored(pieces(docs, tokenizer_path, doc_id, text, capacity, end_id, with_ids), "pieces")
+    cut = stored(pieces(docs, tokenizer_path, doc_id, text, capacity, end_id, with_ids, cached_words), "pieces")
     counts = cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     counts = stored(counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
