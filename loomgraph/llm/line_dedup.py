@@ -30,12 +30,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bucketed, discard, stored
+from .shared import bucketed, discard, plain, stored
 
 SPACE = r"[\x20\x09-\x0D]+"
 BUCKETS = 1 << 18
 #: Lines whose text may be broadcast as (doc_id, line number); beyond it they are joined by shuffle.
-BROADCAST_LINES = 1_000_000
+BROADCAST_LINES = 2_000_000
 BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 24  # of text, for the table of tokens
 
 
@@ -150,9 +150,13 @@ def later_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the lines that stay, and n_lines_removed; a text may become empty."""
-    gone = later_matches(docs, doc_id, text).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("line").alias("_gone"))  # one document's lines
-    joined = docs.join(gone, docs[doc_id].cast("long") == F.col("_doc"), "left").withColumn("_lines", F.split(F.col(text), "\n"))
+    """``docs`` with the lines that stay, and n_lines_removed (which replaces a column of that name); a text may become empty."""
+    rows, names = plain(docs, ("n_lines_removed",))
+    found = stored(later_matches(rows, names[doc_id], names[text]), "later")
+    gone = found.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("line").alias("_gone"))  # one document's lines
+    if found.count() <= BROADCAST_LINES:  # texts need not be shuffled
+        gone = F.broadcast(gone)
+    joined = rows.join(gone, F.col(names[doc_id]).cast("long") == F.col("_doc"), "left").withColumn("_lines", F.split(names[text], "\n"))
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"), lambda i: F.get("_lines", i)), "\n")
-    new = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)
-    return joined.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_lines_removed"))
+    new = F.when(F.col("_gone").isNull(), F.col(names[text])).otherwise(kept)
+    return joined.select(*[(new if c == text else F.col(n)).alias(c) for c, n in names.items()], F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_lines_removed"))

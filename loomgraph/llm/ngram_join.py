@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linking import CHUNK, LINK_SCHEMA, by_group, components, count_links, tiles
-from .shared import blocks, stored
+from .shared import blocks, plain, stored
 from .words import mixed, word_hashes
 
 WORDS, THRESHOLD = 5, 0.8
@@ -232,5 +232,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group, that of the smallest doc_id; repeated rows of it count once."""
-    kept = join(docs, doc_id, text).where("doc_id = class_id OR doc_id IS NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[doc_id].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    rows, names = plain(docs)
+    kept = join(rows, names[doc_id], names[text]).where("doc_id = class_id OR doc_id IS NULL").select(F.col("doc_id").alias("_kept")).distinct()
+    left = rows.join(kept, F.col(names[doc_id]).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    return left.select(*[F.col(n).alias(c) for c, n in names.items()])

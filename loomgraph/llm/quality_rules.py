@@ -98,7 +98,10 @@ def quality_signals(docs: DataFrame, text: str = "text", keep: Sequence[str] = (
         F.lit(0).cast("long"),
         lambda a, x: a + x,
     )
-    return step.select(*[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)], *fixed, F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"))
+    # Catalyst would push filters on the signals below the arrays and evaluate these in the lambdas above, once for each
+    # word; it does not push any through a projection that is not deterministic.  This zero is one in name only.
+    none = F.floor(F.rand(0)).cast("long")
+    return step.select(*[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)], *fixed, F.coalesce(covered, none).alias("n_repeat_words"))
 
 
 def base_failed() -> Column:
@@ -127,8 +130,7 @@ def keep_good(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = DEFAU
     """The rows of ``docs`` that pass, with their own columns, in one projection and filter (no join)."""
     names = [f"_c{i}" for i in range(len(docs.columns))]
     plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
-    # Catalyst would push the filter below the arrays and evaluate them in its lambdas; it does not pass a column that is not deterministic.
-    judged = judge(plain, names[docs.columns.index(text)], names, rules).withColumn("_row", F.monotonically_increasing_id()).where("kept AND _row >= 0")
+    judged = judge(plain, names[docs.columns.index(text)], names, rules).where("kept")
     return judged.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
 
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
@@ -37,6 +38,12 @@ def discard(table: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def plain(docs: DataFrame, added: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns _c0, _c1, ... that clash with nothing, and these names by the old ones; columns named as ``added`` go."""
+    names = {c: f"_c{k}" for k, c in enumerate(c for c in docs.columns if c not in added)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column without gaps, and its n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

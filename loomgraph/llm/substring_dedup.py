@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blocks, stored
+from .shared import blocks, plain, stored
 
 MIN_WORDS = 5
 UNIT_SCHEMA = "digest binary, doc_id long, unit long, start long, stop long"
@@ -61,16 +61,20 @@ def duplicates(found: DataFrame) -> DataFrame:
 
 
 def remove(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id", text: str = "text", separator: str = "\n") -> DataFrame:
-    """``docs`` with the text that stays and n_removed, n_chars_removed, removed (start and stop in the text as it was)."""
-    spans = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("unit", "start", "stop"))).alias("_gone"))  # one document's units
-    spans = spans.withColumnRenamed("doc_id", "_id")
-    joined = docs.join(spans, docs[doc_id].cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
+    """``docs`` with the text that stays and n_removed, n_chars_removed, removed (start and stop in the text as it was).
+
+    These replace columns of the same names.
+    """
+    added = ("n_removed", "n_chars_removed", "removed")
+    rows, names = plain(docs, added)
+    spans = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set(F.struct("unit", "start", "stop"))).alias("_gone"))  # one document's units
+    joined = rows.join(spans, F.col(names[doc_id]).cast("long").eqNullSafe(F.col("_id")), "left")
     marks = F.coalesce(F.col("_gone"), F.array().cast("array<struct<unit:bigint,start:bigint,stop:bigint>>"))
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1).cast("array<bigint>"), F.transform(marks, lambda m: m["unit"])), lambda i: F.get("_lines", i.cast("int"))), separator)
-    new_text = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)
-    out = joined.withColumn("_lines", F.split(F.col(text), f"\\Q{separator}\\E"))
+    new = F.when(F.col("_gone").isNull(), F.col(names[text])).otherwise(kept)
+    out = joined.withColumn("_lines", F.split(names[text], f"\\Q{separator}\\E"))
     return out.select(
-        *[new_text.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
+        *[(new if c == text else F.col(n)).alias(c) for c, n in names.items()],
         F.size(marks).cast("long").alias("n_removed"),
         F.coalesce(F.aggregate(marks, F.lit(0).cast("long"), lambda a, m: a + m["stop"] - m["start"]), F.lit(0).cast("long")).alias("n_chars_removed"),
         F.transform(marks, lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"))).alias("removed"),

@@ -1,0 +1,344 @@
+"""Each operator against a plain version of its definition, on texts with all edge cases."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from loomgraph.llm import embedding_dedup, language_id, line_dedup, ngram_join, packing, quality_rules, registry, sentencepiece_codec, substring_dedup, suffix_dedup, toxicity
+
+SPACE = re.compile(r"[\x20\x09-\x0D]+")
+
+
+def words(text):
+    return [w for w in SPACE.split(text or "") if w]
+
+
+def test_quality_signals(docs, texts):
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
+    for i, text in texts:
+        w = words(text)
+        grams = Counter(zip(w, w[1:], w[2:], strict=False))
+        covered = {k + j for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for j in range(3)}
+        lines = [x for x in (text or "").split("\n") if words(x)]
+        r = got[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)), i
+        assert r["base_failed"] == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
+
+
+def test_quality_filter_keeps_columns(clashing, docs):
+    kept = quality_rules.keep_good(clashing)
+    assert kept.columns == clashing.columns
+    assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {r["doc_id"] for r in quality_rules.judge(docs).where("kept").collect()}
+
+
+def naive_line_dedup(rows):
+    entries = [(i, k, frozenset(w.lower() for w in words(x))) for i, t in rows if t is not None for k, x in enumerate(t.split("\n"))]
+    entries = sorted(e for e in ((i, k, tuple(sorted(s))) for i, k, s in entries) if e[2])
+    gone = defaultdict(set)
+    for n, (i, k, s) in enumerate(entries):
+        if any(9 * len(set(s) & set(p)) >= 4 * (len(s) + len(p)) for _, _, p in entries[:n]):
+            gone[i].add(k)
+    return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in rows}
+
+
+def test_line_dedup(docs, texts):
+    short = [(i, t) for i, t in texts if i != 48]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs.where("doc_id <> 48")).collect()}
+    assert got == naive_line_dedup(short)
+
+
+def shingles(text):
+    w = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").lower().encode())
+    return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def naive_links(rows):
+    sets = {i: shingles(t) for i, t in rows}
+    links, parent = Counter(), {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b]):
+                links[a] += 1
+                links[b] += 1
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: (find(i), links[i]) for i in sets}
+
+
+def test_ngram_join(docs, texts):
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.join(docs).collect()}
+    assert got == naive_links(texts)
+
+
+def test_ngram_join_large_group(spark):
+    """A group of near copies over several tiles, and one of exact copies."""
+    base = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(base[: i % 60] + [f"x{i}"] + base[i % 60 + 1 :])) for i in range(300)] + [(1000 + i, " ".join(base)) for i in range(50)]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == naive_links(rows)
+
+
+def test_pruning_tolerance():
+    """Pairs at the threshold survive; far ones go."""
+    r = np.random.default_rng(1)
+    a = r.integers(0, 256, (4000, 160), dtype=np.uint8)
+    for share, low, high in ((0.85, 0.999, 1.0), (0.3, 0.0, 0.01)):
+        b = np.where(r.random(a.shape) < share, a, r.integers(0, 256, a.shape, dtype=np.uint8))
+        assert low <= ngram_join.likely(a, b).mean() <= high
+
+
+def naive_suffix(rows):
+    texts = sorted((i, (t or "").encode()) for i, t in rows)
+    seen, out = {}, {}
+    for i, b in texts:
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 49):
+            if seen.setdefault(b[k : k + 50], i) < i:
+                gone[k : k + 50] = True
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(int), [0]])))
+        out[i] = (len(b), int(gone.sum()), len(edge) // 2, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
+    return out
+
+
+def test_suffix_dedup(docs, texts):
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove(docs).collect()}
+    assert got == naive_suffix(texts)
+
+
+def test_suffix_dedup_text(clashing, texts):
+    out = suffix_dedup.remove_from_text(clashing)
+    assert out.columns == clashing.columns
+    got = {r["doc_id"]: r["text"] for r in out.select("doc_id", "text").collect()}
+    assert got[32] == "" and got[0] == texts[0][1] and got[40] == ""
+
+
+def test_substring_dedup(docs, texts):
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in substring_dedup.dedup(docs).collect()}
+    seen = set()
+    for i, text in sorted(texts):
+        kept, n = [], 0
+        for unit in (text or "").split("\n"):
+            key = " ".join(unit.lower().split())
+            if len(key.split()) >= 5 and key in seen:
+                n += 1
+                continue
+            seen.add(key)
+            kept.append(unit)
+        assert got[i] == (None if text is None else "\n".join(kept), n), i
+
+
+def test_substring_offsets(docs, texts):
+    by_id = dict(texts)
+    for r in substring_dedup.duplicates(substring_dedup.units(docs)).collect():
+        unit = by_id[r["doc_id"]][r["start"] : r["stop"]]
+        assert "\n" not in unit and " ".join(unit.lower().split()) in " ".join(by_id[r["first_doc_id"]][r["first_start"] :].lower().split())
+
+
+def test_packing(docs, texts):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    rows = packing.pack(docs, packing.default_tokenizer(), with_ids=True).collect()
+    wanted = {}
+    for i, text in texts:
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            part = ids[at : at + 2048]
+            wanted[i, k] = (at, len(part), zlib.crc32(part.tobytes()), part.tobytes())
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"], bytes(r["ids"])) for r in rows} == wanted
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for pieces in bins.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(bins) <= -(-sum(r["length"] for r in rows) // 2048) + 1
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_packing_plan(seed):
+    import bisect
+    import random
+
+    r = random.Random(seed)
+    capacity = r.choice([7, 30, 100, 2048])
+    histogram = {r.randint(1, capacity): r.choice([1, 2, 3, 7, 50, 1000]) for _ in range(r.randint(0, 60))}
+    runs = packing.plan(histogram, capacity).tolist()
+    keys = [(x[0], x[1]) for x in runs]
+    bins = defaultdict(list)
+    for length, count in histogram.items():
+        for rank in range(count):
+            run = runs[bisect.bisect_right(keys, (length, rank)) - 1]
+            along = rank - run[1]
+            bins[run[2] + along // run[3]].append((run[4] + along % run[3] * length, length))
+    for pieces in bins.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= capacity
+        assert sum(3 * x > capacity for _, x in pieces) <= 2
+    assert sorted(bins) == list(range(len(bins)))
+
+
+def test_sentencepiece(docs, texts):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.default_model())
+    encoded = sentencepiece_codec.encode(docs, sentencepiece_codec.default_model())
+    for r in encoded.collect():
+        text = dict(texts)[r["doc_id"]] or ""
+        assert np.frombuffer(r["ids"], "<u4").tolist() == library.encode(text), r["doc_id"]
+        assert r["round_trip"]
+    back = {r["doc_id"]: r["text"] for r in sentencepiece_codec.decode(encoded, sentencepiece_codec.default_model()).collect()}
+    assert back == {i: t or "" for i, t in texts}
+
+
+def naive_bits(samples, order, language, text):
+    """Code length by the definition, from counts of this language alone."""
+    counts = [Counter() for _ in range(order + 1)]
+    data = language_id.prepare(language_id.pa.array(samples[language]), order)[0].tobytes()
+    for k in range(order + 1):
+        found = Counter(data[j - k : j + 1] for j in range(order, len(data)))
+        counts[k] = Counter({g: c for g, c in found.items() if k < 3 or c > 1})
+    totals = [defaultdict(lambda: [0, 0]) for _ in range(order + 1)]
+    for k in range(order + 1):
+        for g, c in counts[k].items():
+            totals[k][g[:-1]][0] += c
+            totals[k][g[:-1]][1] += 1
+    body = language_id.prepare(language_id.pa.array([text]), order)[0].tobytes()
+    bits = 0.0
+    for j in range(order, len(body)):
+        for k in range(order, -1, -1):
+            g = body[j - k : j + 1]
+            n, d = totals[k].get(g[:-1], (0, 0))
+            if counts[k][g]:
+                bits += np.log2((n + d) / counts[k][g])
+                break
+            bits += np.log2((n + d) / d) if n else 0
+        else:
+            bits += 8
+    return bits
+
+
+def test_ppm_code_lengths():
+    samples = {"a": ["the cat sat on the mat", "the dog"], "b": ["le chat est sur le tapis", "été"], "c": [""]}
+    model = language_id.Model.learn(samples, 4)
+    asked = ["the tapis", "", "zzz été 12", "le chat"]
+    got = model.bits(language_id.pa.array(asked))
+    for row, text in zip(got, asked, strict=True):
+        for column, language in enumerate(model.languages):
+            assert row[column] == pytest.approx(naive_bits(samples, 4, language, text), rel=1e-4, abs=1e-3)
+
+
+def test_language_id(spark, docs, empty):
+    from pyspark.sql import functions as F
+
+    table = spark.createDataFrame([(1, "the cat and the dog in the garden", "en"), (2, "le chat et le chien dans le jardin", "fr"), (3, "der Hund und die Katze im Garten", None)], "doc_id long, text string, lang string")
+    model = language_id.learn(table, F.lit(True))
+    assert model.languages == ["en", "fr"]
+    got = {r["doc_id"]: r for r in language_id.predict(docs, model).collect()}
+    assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (40, 41, 42, 49))
+    assert got[0]["lang_pred"] == "en" and 0.5 < got[0]["score"] <= 1
+    none = language_id.learn(empty, F.lit(True))
+    assert {r["lang_pred"] for r in language_id.predict(docs, none).collect()} == {"und"}
+
+
+def test_language_id_held_out(spark):
+    rows = registry.op1_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL")
+    assert rows.where("lang_pred = lang").count() >= 0.97 * rows.count()
+
+
+def test_toxicity(spark, docs, empty):
+    from pyspark.sql import functions as F
+
+    rows = [(k, ("you awful idiot " if k % 3 == 0 else "you kind friend ") + f"number {k}") for k in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(0, 300, 2)] + [(None, 1), (7, None)], "doc_id long, toxic int")
+    weights = toxicity.learn(table, labels, F.lit(True))
+    assert 0 < len(weights.buckets) < 200
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(table, weights).collect()}
+    assert all((got[k] > 0.5) == (k % 3 == 0) for k in range(1, 300, 2))
+    assert all(0 <= r["score"] <= 1 for r in toxicity.score(docs, weights).collect())
+    assert all(r["score"] < 1e-9 for r in toxicity.score(docs, toxicity.learn(empty, labels, F.lit(True))).collect())
+
+
+def test_word_hashes_depend_on_words_only():
+    from loomgraph.llm.words import word_hashes
+
+    a = word_hashes(language_id.pa.array(["Stone, river", None, "river"]))
+    b = word_hashes(language_id.pa.array(["river stone"]))
+    assert a[0].tolist() == [0, 0, 2] and a[1][0] == b[1][1] and a[1][1] == a[1][2] == b[1][0]
+
+
+def test_embeddings(spark):
+    r = np.random.default_rng(3)
+    base = r.standard_normal((40, 16))
+    x = [*base, *(base[:10] + 0.05 * r.standard_normal((10, 16))), *[base[0]] * 3, *(base[1] + 0.02 * r.standard_normal((200, 16)))]
+    rows = [(k, [float(c) for c in v]) for k, v in enumerate(x)]
+    rows += [(900, None), (901, []), (902, [0.0] * 16), (903, [float("nan")] * 16), (904, [1.0, None]), (905, [1.0, 0.0]), (906, [2.0, 0.0]), (907, [1e308] * 16)]
+    got = {q["vec_id"]: q for q in embedding_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    good = {k: np.array(v) / np.linalg.norm(v) for k, v in rows if v and None not in v and np.isfinite(v).all() and np.isfinite(np.linalg.norm(v)) and any(v)}
+    links, parent = Counter(), {k: k for k, _ in rows}
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a in good:
+        for b in good:
+            if a < b and len(good[a]) == len(good[b]) and good[a] @ good[b] >= 0.9:
+                links[a] += 1
+                links[b] += 1
+                p, q = find(a), find(b)
+                parent[max(p, q)] = min(p, q)
+    assert {k: (v["n_links"], v["component_id"]) for k, v in got.items()} == {k: (links[k], find(k)) for k, _ in rows}
+
+
+OPERATORS = {
+    "quality": lambda d: quality_rules.judge(d),
+    "lines": lambda d: line_dedup.dedup(d),
+    "ngrams": lambda d: ngram_join.keep_first(d),
+    "suffixes": lambda d: suffix_dedup.remove_from_text(d),
+    "units": lambda d: substring_dedup.dedup(d),
+    "packing": lambda d: packing.pack(d, packing.default_tokenizer()),
+    "pieces": lambda d: sentencepiece_codec.encode(d, sentencepiece_codec.default_model()),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_table(empty, name):
+    assert OPERATORS[name](empty).count() == 0
+
+
+def test_empty_embeddings(spark):
+    assert embedding_dedup.link(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_nulls_repeats_and_clashing_columns(spark, clashing, name):
+    """All columns null in one row, each row twice: no crash, and as many rows as are due."""
+    odd = clashing.unionByName(clashing).unionByName(spark.createDataFrame([tuple([None] * len(clashing.columns))], clashing.schema))
+    got = OPERATORS[name](odd).count()
+    if name == "ngrams":
+        assert 0 < got < odd.count()
+    elif name == "packing":
+        assert got >= odd.count()
+    else:
+        assert got == odd.count()
