@@ -15,6 +15,7 @@ one gives fewer candidates.  The join:
 * a match shares a token within the first ``n - ceil(0.8 n) + 1`` (prefix
   filter), has similar size (length filter), has enough tokens left behind the
   shared ones (positional filter), and few bits of its own in a bitmap of 128;
+* a pair's prefixes share as many tokens as the overlap needs;
 * each line is first verified against the earliest line of each shared token,
   which settles large groups of like lines without pairing them; only lines
   that this leaves are paired with all earlier ones.
@@ -108,6 +109,17 @@ def _similar(a: str, b: str) -> Column:
     return (5 * na >= 4 * nb) & (5 * nb >= 4 * na) & (apart <= na + nb - 2 * least) & (9 * bound >= 4 * (na + nb))
 
 
+def _enough(shared: Column, na: Column, nb: Column) -> Column:
+    """May sets match whose prefixes share so many tokens?
+
+    Of the set whose prefix ends first, all tokens that the other has too stand
+    in the other's prefix or behind its own, so the overlap is at most
+    ``shared`` and what follows the prefix: ``ceil(0.8 n) - 1`` tokens.
+    """
+    rest = F.floor((4 * F.greatest(na, nb) + 4) / 5) - 1
+    return 9 * (shared + rest) >= 4 * (na + nb)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, ranks: Column, doc_id: str, text: str) -> DataFrame:
     """doc, line of the later line of each pair (doc, line, doc0, line0) whose similarity is 0.8 or more."""
     wanted = stored(pairs.select("doc", "line").unionByName(pairs.select(F.col("doc0").alias("doc"), F.col("line0").alias("line"))).distinct(), "wanted")
@@ -134,12 +146,17 @@ def later_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     columns = [F.col("x.doc").alias("doc"), F.col("x.line").alias("line"), F.col("y.doc").alias("doc0"), F.col("y.line").alias("line0")]
     later = F.struct("y.doc", "y.line") < F.struct("x.doc", "x.line")
     first_pairs = stored(near.where(later & _similar("x", "y")).select(*columns).distinct(), "pairs")
-    gone = stored(_verified(first_pairs, docs, ranks, doc_id, text), "gone")
+    prefixes = sets.where("prefix IS NOT NULL").select("first.doc", "first.line", "n", "prefix")
+    of_first = prefixes.toDF("doc0", "line0", "n0", "prefix0")
+    likely = first_pairs.join(prefixes, ["doc", "line"]).join(of_first, ["doc0", "line0"]).where(_enough(F.size(F.array_intersect("prefix", "prefix0")), F.col("n"), F.col("n0")))
+    gone = stored(_verified(likely.select(*first_pairs.columns), docs, ranks, doc_id, text), "gone")
     # What is left, against all earlier lines.
     settled = F.broadcast(gone) if gone.count() <= BROADCAST_LINES else gone
     open_ = tokens.join(settled, ["doc", "line"], "left_anti").select("token", F.struct("doc", "line", "n", "i", "bits0", "bits1").alias("x"))
     others = tokens.select("token", F.struct("doc", "line", "n", "i", "bits0", "bits1").alias("y"))
-    pairs = open_.join(others, (open_["token"] == others["token"]) & later & _similar("x", "y")).select(*columns).distinct()
+    pairs = open_.join(others, (open_["token"] == others["token"]) & later & _similar("x", "y")).select(*columns, F.col("x.n").alias("n"), F.col("y.n").alias("n0"))
+    pairs = pairs.groupBy("doc", "line", "doc0", "line0").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("n0").alias("n0"))
+    pairs = pairs.where(_enough(F.col("shared"), F.col("n"), F.col("n0"))).drop("shared", "n", "n0")
     pairs = stored(pairs.join(first_pairs, ["doc", "line", "doc0", "line0"], "left_anti"), "pairs")
     discard(tokens)
     if not pairs.isEmpty():

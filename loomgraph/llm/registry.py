@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import embedding_dedup, language_id, line_dedup, ngram_join, packing, quality_rules, sentencepiece_codec, substring_dedup, suffix_dedup, toxicity
+from . import embedding_dedup, language_id, line_dedup, ngram_join, oracles, packing, quality_rules, sentencepiece_codec, substring_dedup, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {
+ORACLE_SQL: dict[str, str] = oracles.ORACLES | {
     "op7_quality_rules": f"WITH {quality_rules.oracle_cte()} SELECT {', '.join(_OP7)} FROM q_rules",
 }
