@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 
 
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` below the shared folder and read it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgraph/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
@@ -21,7 +21,7 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, keys: list[str], buckets: int, codec: str = "zstd") -> DataFrame:
+def bucketed(df: DataFrame, keys: list[str], buckets: int, codec: str = "snappy") -> DataFrame:
     """Like ``stored``, laid out so that joins and groups by ``keys`` need no further shuffle."""
     spark = df.sparkSession
     name = f"loomgraph_{uuid.uuid4().hex}"
