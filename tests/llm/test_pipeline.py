@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from test_operators import naive_line_dedup, naive_links
+from test_llm_operators import naive_line_dedup, naive_links
 
 import corpus_pipeline
 from loomgraph.llm import quality_rules
