@@ -49,7 +49,7 @@ def activate(seeds: DataFrame, relations: DataFrame, hops: int = 3, decay: float
         arrived = edges.groupBy(F.col("target_id").alias("id")).agg(F.sum(moved).alias("fresh"))
         arrived = arrived.orderBy(F.desc(F.round("fresh", 9)), F.asc("id")).limit(per_hop)
         grown = arrived.join(reached, "id", "left").where(F.col("activation").isNull() | (F.col("fresh") > F.col("activation")))
-        frontier = grown.select("id", F.col("fresh").alias("activation"))
+        frontier = checkpointed(grown.select("id", F.col("fresh").alias("activation")))  # per_hop rows; later hops refer to it more than once
         best = frontier.withColumn("hop", F.lit(hop))
         reached = reached.join(best.select("id"), "id", "left_anti").unionByName(best)
     return reached

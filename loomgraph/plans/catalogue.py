@@ -388,7 +388,7 @@ def _activation(hops: int) -> str:
 
 
 def _activated(g: Graph, hops: int) -> DataFrame:
-    return graph.activate(seeds(g), g.relations(), hops=hops).select("id", F.round("activation", 6).alias("activation"), "hop")
+    return graph.activate(checkpointed(seeds(g)), checkpointed(g.relations()), hops=hops).select("id", F.round("activation", 6).alias("activation"), "hop")
 
 
 @query(_activation(1))
