@@ -118,7 +118,7 @@ def _laid_out(docs: DataFrame, doc_id: str, text: str, shards: int, carry: list[
     """doc_id, text as bytes, shard, and the carried columns as c0, c1, ...; bucketed by shard."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)])
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-    return bucketed(rows, ["shard"], shards)
+    return bucketed(rows, ["shard"], shards, "zstd")
 
 
 def _sent(table: DataFrame, buckets: int) -> DataFrame:
