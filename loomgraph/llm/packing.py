@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import blocks, stored
+from .shared import blocks, release, stored
 
 CAPACITY = 2048
 #: What the tokenizer counts as white space.  str.split() also splits at 1C to 1F.
@@ -96,6 +96,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: s
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"] + ["ids"] * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # what earlier stages of the same process have left
         encode, task, seen = coder(tokenizer_path, cached_words).encode, TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in blocks(batches, "text"):
             rows: list[list] = [[] for _ in names]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -38,6 +39,14 @@ def discard(table: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Give memory that this worker process has freed back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def plain(docs: DataFrame, added: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with columns _c0, _c1, ... that clash with nothing, and these names by the old ones; columns named as ``added`` go."""
     names = {c: f"_c{k}" for k, c in enumerate(c for c in docs.columns if c not in added)}

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bucketed, stored
+from .shared import bucketed, release, stored
 from .suffix_array import suffix_order, words
 
 LENGTH, GRAM = 50, 19
@@ -216,6 +216,7 @@ def _segments(buckets: int):
                     rows["grams"].append((gram[cut] - first[cut]).astype(np.uint8).tobytes())
                     rows["segments"].append(pack(view[cut].tobytes()))
             rows["shard"] = [texts["shard"][0].as_py()] * len(rows["bucket"])
+        release()
         kinds = dict.fromkeys(rows, pa.binary()) | {"bucket": pa.int32(), "shard": pa.int32()}
         return pa.table({c: pa.array(v, kinds[c]) for c, v in rows.items()})
 
@@ -290,6 +291,8 @@ def _search(table: pa.Table) -> pa.Table:
     mask = np.zeros(len(doc), np.int64)
     for k in range(most):
         mask |= (found[which, k] < doc).astype(np.int64) << k
+    del found, matrix
+    release()
     shards = np.repeat(table["shard"].to_numpy(), counts)
     order = np.argsort(shards, kind="stable")
     order = order[mask[order] != 0]
@@ -324,6 +327,7 @@ def _taken_out(with_text: bool, carry: int):
                     kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
             for column, x in zip(rows, (key, n, n - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept, spans.astype(np.int64).tobytes()), strict=True):
                 rows[column].append(x)
+        release()
         kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()} | ({"kept": pa.binary(), "removed": pa.binary()} if with_text else {})
         return pa.table({c: pa.array(rows[c], k) for c, k in kinds.items()} | {f"c{k}": texts[f"c{k}"] for k in range(carry)})
 
