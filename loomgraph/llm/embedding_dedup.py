@@ -2,12 +2,14 @@
 
 Equal vectors are one class.  Neighbour lists of ``NEIGHBOURS`` classes start
 from buckets of random hyperplanes and are refined by joining neighbours of
-neighbours.  List entries at the threshold make clusters.  A list whose last
-entry is still at the threshold is saturated and may hide links, so lists are
-enlarged to the whole cluster: all pairs of a cluster are compared in double
-precision, tile by tile, and only counted.  An audit compares a sample of
-vectors with all others; under ``TARGET_RECALL`` the search is repeated with
-twice the buckets.
+neighbours until hardly an entry at the threshold is new.  List entries at the
+threshold make clusters.  A list whose last entry is still at the threshold is
+saturated and may hide links, so the search is repeated with lists of classes
+outside the own cluster, which joins clusters, until no list is saturated.  All
+pairs of a cluster are compared in double precision, tile by tile, and only
+counted.  An audit compares a sample of vectors with all others; under
+``TARGET_RECALL`` the search goes on with twice the buckets, and if the last
+attempt fails, all pairs are compared.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing, and neither do rows with a null vec_id.  Vectors
@@ -29,11 +31,13 @@ from .linking import CHUNK, LINK_SCHEMA, by_group, components, count_links, tile
 from .shared import stored
 
 THRESHOLD = 0.9
-NEIGHBOURS, TABLES, ROUNDS = 8, 12, 1
+NEIGHBOURS, TABLES = 8, 12
+FEW = 0.01  # share of new entries at the threshold that ends the rounds
 BUCKET = 24  # members that a bucket holds on average
 REVERSE = 64  # reverse neighbours that meet in one local join
 AUDITED, TARGET_RECALL, ATTEMPTS = 200, 0.99, 3
 SLACK = 1e-4  # lists are made in single precision
+BLOCK, ROWS = 8_192, 512  # sides of the matrices that compare all pairs
 
 NEAR_SCHEMA = "member long, ids array<long>, sims array<float>"
 
@@ -61,18 +65,21 @@ def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(parts), float).reshape(len(parts), -1)
 
 
-def _top(ids: np.ndarray, vectors: np.ndarray, count: int) -> pa.RecordBatch | None:
-    """Each member's nearest others among all given ones."""
-    n = len(ids)
-    if n < 2:
+def _top(table: pa.Table) -> pa.RecordBatch | None:
+    """Each member's nearest others outside its cluster among all given ones."""
+    n = table.num_rows
+    ids, clusters = table["member"].to_numpy(), table["cluster"].to_numpy()
+    if n < 2 or (clusters == clusters[0]).all():
         return None
-    x = vectors.astype(np.float32)
+    x = _vectors(table["unit"]).astype(np.float32)
     sims = x @ x.T
-    np.fill_diagonal(sims, -2)
-    count = min(count, n - 1)
+    sims[clusters[:, None] == clusters[None, :]] = -2
+    count = min(NEIGHBOURS, n - 1)
     best = np.argpartition(-sims, count - 1, axis=1)[:, :count]
-    offsets = pa.array(np.arange(0, n * count + 1, count), pa.int32())
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(a.ravel(), k)) for a, k in ((ids[best], pa.int64()), (np.take_along_axis(sims, best, 1), pa.float32()))]
+    near = np.take_along_axis(sims, best, 1)
+    other = near > -1.5
+    offsets = pa.array(np.concatenate([[0], np.cumsum(other.sum(1))]), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(a[other], k)) for a, k in ((ids[best], pa.int64()), (near, pa.float32()))]
     return pa.RecordBatch.from_arrays([pa.array(ids), *lists], ["member", "ids", "sims"])
 
 
@@ -109,8 +116,8 @@ def _started(classes: DataFrame, count: int, tables: int, seed: int) -> DataFram
     rows = stored(_buckets(classes, count, tables, seed), "buckets")
     sizes = rows.groupBy("table", "bucket").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("n"))
     rows = rows.join(sizes, ["table", "bucket"]).withColumn("chunk", F.pmod(F.xxhash64("member", "table"), F.col("n")).cast("int"))
-    rows = rows.join(classes.select("member", "unit"), "member").drop("n")
-    return by_group(rows, ["table", "bucket", "chunk"], lambda t: _top(t["member"].to_numpy(), _vectors(t["unit"]), NEIGHBOURS), NEAR_SCHEMA)
+    rows = rows.join(classes.select("member", "cluster", "unit"), "member").drop("n")
+    return by_group(rows, ["table", "bucket", "chunk"], _top, NEAR_SCHEMA)
 
 
 def _refined(lists: DataFrame, classes: DataFrame) -> DataFrame:
@@ -121,8 +128,8 @@ def _refined(lists: DataFrame, classes: DataFrame) -> DataFrame:
     back = back.join(chunks, "center").withColumn("chunk", F.pmod(F.xxhash64("member"), F.col("n")).cast("int")).drop("n")
     forth = links.join(chunks, "center", "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1))).drop("n")
     met = forth.select("center", "chunk", "member").unionByName(back.select("center", "chunk", "member")).distinct()
-    met = met.join(classes.select("member", "unit"), "member")
-    found = by_group(met, ["center", "chunk"], lambda t: _top(t["member"].to_numpy(), _vectors(t["unit"]), NEIGHBOURS), NEAR_SCHEMA)
+    met = met.join(classes.select("member", "cluster", "unit"), "member")
+    found = by_group(met, ["center", "chunk"], _top, NEAR_SCHEMA)
     return by_group(found.unionByName(lists), ["member"], _merge, NEAR_SCHEMA)
 
 
@@ -134,6 +141,53 @@ def _verify(threshold: float):
     return work
 
 
+def _exact(classes: DataFrame, count: int, threshold: float) -> DataFrame:
+    """The links of all pairs: each block of classes is sent to all others; row counts grow with the classes, comparisons with their square."""
+    parts = max(1, -(-count // BLOCK))
+    found: DataFrame | None = None
+    for part in range(parts):
+        block = classes.where(F.pmod(F.xxhash64("member", F.lit("block")), F.lit(parts)) == part).select("member", "copies", "unit").collect()  # about BLOCK rows
+        sides = {}
+        for size in {len(r["unit"]) for r in block}:
+            own = [r for r in block if len(r["unit"]) == size]
+            sides[size // 8] = np.array([r["member"] for r in own]), np.array([r["copies"] for r in own]), np.frombuffer(b"".join(r["unit"] for r in own), float).reshape(len(own), -1)
+        shared = classes.sparkSession.sparkContext.broadcast(sides)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                members, units = batch.column("member").to_numpy(), batch.column("unit").to_pylist()
+                sizes = np.array([len(u) // 8 for u in units])
+                for size in np.unique(sizes):
+                    every = np.flatnonzero(sizes == size)
+                    if size not in shared.value:
+                        continue
+                    ids, copies, vectors = shared.value[size]
+                    for at in range(0, len(every), ROWS):
+                        own = every[at : at + ROWS]
+                        hit = np.frombuffer(b"".join(units[i] for i in own), float).reshape(len(own), -1) @ vectors.T >= threshold
+                        hit &= members[own][:, None] != ids[None, :]
+                        links = hit @ copies
+                        rows, columns = np.flatnonzero(links), np.flatnonzero(hit.any(0))
+                        if not len(rows):
+                            continue
+                        hit = hit[np.ix_(rows, columns)]
+                        a, b = members[own][rows], ids[columns]
+                        top = np.iinfo(np.int64).max
+                        left, right = a, b
+                        while True:  # the smallest member that each one reaches here
+                            new = np.minimum(left, np.where(hit, right[None, :], top).min(1))
+                            right = np.minimum(right, np.where(hit, new[:, None], top).min(0))
+                            if (new == left).all():
+                                break
+                            left = new
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, b])), pa.array(np.concatenate([links[rows], np.zeros(len(b), np.int64)])), pa.array(np.concatenate([left, right]))], ["member", "links", "root"])
+
+        linked = stored(classes.select("member", "unit").mapInArrow(run, LINK_SCHEMA), "links")
+        shared.destroy()
+        found = linked if found is None else found.unionByName(linked)
+    return found
+
+
 def _audit(classes: DataFrame, counts: DataFrame, count: int, threshold: float) -> float:
     """Share of a sample's links, found by comparing it with all classes, that the search has found."""
     sample = classes.where(F.pmod(F.xxhash64("member", F.lit("audit")), F.lit(1_000_000)) < max(1, AUDITED * 1_000_000 // count)).select("member", "unit").collect()  # AUDITED rows
@@ -160,26 +214,48 @@ def _audit(classes: DataFrame, counts: DataFrame, count: int, threshold: float)
     return row["found"] / row["truth"] if row["truth"] else 1.0
 
 
+def _hits(lists: DataFrame, threshold: float) -> DataFrame:
+    """Ends a, b of the list entries at the threshold."""
+    entries = lists.select("member", F.explode(F.arrays_zip("ids", "sims")).alias("e")).where(F.col("e.sims") >= threshold - SLACK)
+    return entries.select(F.col("member").alias("a"), F.col("e.ids").alias("b"))
+
+
 def link(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links (other vectors linked), component_id (smallest vec_id reached by links) for each row."""
     rows = stored(cleaned(vectors, vec_id, embedding), "vectors")
     usable = rows.where("digest IS NOT NULL AND vec_id IS NOT NULL")
     classes = stored(usable.groupBy("digest").agg(F.min("vec_id").alias("member"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit")).dropDuplicates(["member"]), "classes")
     count = classes.count()
-    near: DataFrame | None = None
-    tables = TABLES
-    for attempt in range(ATTEMPTS):
-        started = _started(classes, max(1, count), tables, attempt)
-        near = stored(by_group(started if near is None else started.unionByName(near), ["member"], _merge, NEAR_SCHEMA), "lists")
-        for _ in range(ROUNDS):
-            near = stored(_refined(near, classes), "lists")
-        entries = near.select("member", F.explode(F.arrays_zip("ids", "sims")).alias("e")).where(F.col("e.sims") >= threshold - SLACK)
-        clusters = stored(components(entries.select(F.col("member").alias("a"), F.col("e.ids").alias("b"))).select(F.col("node").alias("member"), F.col("root").alias("cluster")), "clusters")
+    owners = classes.select("member", F.col("member").alias("cluster"))
+    edges: DataFrame | None = None
+    tables, seed, failed = TABLES, 0, 0
+    while True:
+        placed = stored(classes.select("member", "unit").join(owners, "member"), "placed")
+        near = stored(by_group(_started(placed, max(1, count), tables, seed), ["member"], _merge, NEAR_SCHEMA), "lists")
+        before = _hits(near, threshold).count()
+        while True:
+            near = stored(_refined(near, placed), "lists")
+            after = _hits(near, threshold).count()
+            if after <= before * (1 + FEW):
+                break
+            before = after
+        fresh = _hits(near, threshold)
+        edges = stored(fresh if edges is None else edges.unionByName(fresh), "edges")
+        clusters = stored(components(edges).select(F.col("node").alias("member"), F.col("root").alias("cluster")), "clusters")
+        owners = classes.select("member").join(clusters, "member", "left").select("member", F.coalesce("cluster", "member").alias("cluster"))
+        seed += 1
+        if not near.where((F.size("ids") >= NEIGHBOURS) & (F.array_min("sims") >= threshold - SLACK)).isEmpty():
+            continue  # saturated lists; every such search joins clusters
         cut = tiles(clusters.join(classes, "member").select("cluster", "member", "copies", "unit"), "cluster", "member")
         linked = stored(by_group(cut.select("cluster", "low", "high", "side", "member", "copies", "unit"), ["cluster", "low", "high"], _verify(threshold), LINK_SCHEMA), "links")
         counts = stored(linked.groupBy("member").agg(F.sum("links").alias("links")), "counts")
         if _audit(classes, counts, max(1, count), threshold) >= TARGET_RECALL:
             break
+        failed += 1
+        if failed == ATTEMPTS:
+            linked = _exact(classes, count, threshold)
+            counts = stored(linked.groupBy("member").agg(F.sum("links").alias("links")), "counts")
+            break
         tables *= 2
     roots = components(linked.select(F.col("member").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "member")
     known = classes.select("digest", "member", "copies").join(roots, "member", "left").join(counts, "member", "left")

@@ -342,3 +342,44 @@ def test_nulls_repeats_and_clashing_columns(spark, clashing, name):
         assert got >= odd.count()
     else:
         assert got == odd.count()
+
+
+def _families(groups: int, size: int, cross: float, dim: int = 64) -> np.ndarray:
+    """``groups`` families of ``size`` tight near copies; centres of two neighbouring families meet at ``cross``."""
+    r = np.random.default_rng(11)
+    out = []
+    for _ in range(groups // 2):
+        q, _ = np.linalg.qr(r.standard_normal((dim, 2)))
+        for centre in (q[:, 0], cross * q[:, 0] + np.sqrt(1 - cross**2) * q[:, 1]):
+            noise = r.standard_normal((size, dim))
+            out.append(centre + 0.03 * noise / np.linalg.norm(noise, axis=1)[:, None])
+    return np.concatenate(out)
+
+
+def _linked_by_hand(x: np.ndarray, threshold: float = 0.9) -> dict[int, tuple[int, int]]:
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = (unit @ unit.T >= threshold) & ~np.eye(len(x), dtype=bool)
+    root = np.arange(len(x))
+    while True:
+        new = np.minimum(root, np.where(hit, root[None, :], len(x)).min(1))
+        if (new == root).all():
+            return {k: (int(hit[k].sum()), int(root[k])) for k in range(len(x))}
+        root = new
+
+
+def test_embedding_lists_full_of_own_family(spark):
+    """Every list is full of near copies, and the links of 0.92 lead to another family."""
+    x = _families(4, 12, 0.922)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.link(table).collect()} == _linked_by_hand(x)
+
+
+def test_embedding_all_pairs_after_failed_audits(spark, monkeypatch):
+    x = np.concatenate([_families(4, 12, 0.922), np.random.default_rng(5).standard_normal((40, 64))])
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").unionByName(spark.createDataFrame([(900, [1.0, 0.0]), (901, [1.0, 0.1])], "vec_id long, embedding array<double>"))
+    monkeypatch.setattr(embedding_dedup, "_audit", lambda *_: 0.0)
+    monkeypatch.setattr(embedding_dedup, "_verify", lambda _: lambda _table: None)
+    monkeypatch.setattr(embedding_dedup, "ATTEMPTS", 1)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 30)
+    monkeypatch.setattr(embedding_dedup, "ROWS", 7)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.link(table).collect()} == _linked_by_hand(x) | {900: (1, 900), 901: (1, 900)}
