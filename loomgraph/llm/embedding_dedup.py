@@ -7,9 +7,10 @@ threshold make clusters.  A list whose last entry is still at the threshold is
 saturated and may hide links, so the search is repeated with lists of classes
 outside the own cluster, which joins clusters, until no list is saturated.  All
 pairs of a cluster are compared in double precision, tile by tile, and only
-counted.  An audit compares a sample of vectors with all others; under
-``TARGET_RECALL`` the search goes on with twice the buckets, and if the last
-attempt fails, all pairs are compared.
+counted.  An audit compares a sample of vectors with all others and averages
+the share of links found over vectors, those with few links also on their own;
+if either is under ``TARGET_RECALL`` the search goes on with twice the buckets,
+and if the last attempt fails, all pairs are compared.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing, and neither do rows with a null vec_id.  Vectors
@@ -31,11 +32,13 @@ from .linking import CHUNK, LINK_SCHEMA, by_group, components, count_links, tile
 from .shared import stored
 
 THRESHOLD = 0.9
-NEIGHBOURS, TABLES = 8, 12
+NEIGHBOURS, TABLES, MOST_TABLES = 8, 12, 256
+MISSED = 0.01  # share of pairs at the threshold that no table puts in one bucket
+FINE = 16  # more signs, which subdivide hot buckets
 FEW = 0.01  # share of new entries at the threshold that ends the rounds
 BUCKET = 24  # members that a bucket holds on average
 REVERSE = 64  # reverse neighbours that meet in one local join
-AUDITED, TARGET_RECALL, ATTEMPTS = 200, 0.99, 3
+AUDITED, TARGET_RECALL, ATTEMPTS = 2_000, 0.99, 3
 SLACK = 1e-4  # lists are made in single precision
 BLOCK, ROWS = 8_192, 512  # sides of the matrices that compare all pairs
 
@@ -92,9 +95,20 @@ def _merge(table: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([table["member"].combine_chunks()[:1], pa.array([[i for i, _ in top]], pa.list_(pa.int64())), pa.array([[s for _, s in top]], pa.list_(pa.float32()))], ["member", "ids", "sims"])
 
 
+def _bits(count: int) -> int:
+    return max(1, int(np.ceil(np.log2(max(2, count / BUCKET)))))
+
+
+def _tables(count: int, threshold: float) -> int:
+    """Tables of which one puts a pair at the threshold in one bucket, up to a share of MISSED."""
+    apart = 1 - (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** _bits(count)
+    wanted = np.ceil(np.log(MISSED) / np.log(apart)) if apart > 0 else TABLES
+    return int(np.clip(wanted, TABLES, MOST_TABLES))
+
+
 def _buckets(classes: DataFrame, count: int, tables: int, seed: int) -> DataFrame:
-    """table, bucket and member; a bucket's number holds the signs of random projections."""
-    bits = max(1, int(np.ceil(np.log2(max(2, count / BUCKET)))))
+    """table, bucket, fine and member; a bucket's number holds the signs of random projections, fine those of FINE more."""
+    bits = _bits(count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -104,20 +118,26 @@ def _buckets(classes: DataFrame, count: int, tables: int, seed: int) -> DataFram
             for size in np.unique(sizes):
                 own = np.flatnonzero(sizes == size)
                 if size not in planes:
-                    planes[size] = np.random.default_rng([seed, size]).standard_normal((size, tables * bits))
+                    planes[size] = np.random.default_rng([seed, size]).standard_normal((size, tables * (bits + FINE)))
                 signs = np.frombuffer(b"".join(units[i] for i in own), float).reshape(len(own), -1) @ planes[size] > 0
-                numbers = signs.reshape(len(own), tables, bits) @ (1 << np.arange(bits, dtype=np.int64)) + (int(size) << 44)
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(tables, dtype=np.int32), len(own))), pa.array(numbers.ravel()), pa.array(np.repeat(members[own], tables))], ["table", "bucket", "member"])
+                signs = signs.reshape(len(own), tables, bits + FINE)
+                numbers = signs[:, :, :bits] @ (1 << np.arange(bits, dtype=np.int64)) + (int(size) << 44)
+                fine = (signs[:, :, bits:] @ (1 << np.arange(FINE, dtype=np.int64))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(tables, dtype=np.int32), len(own))), pa.array(numbers.ravel()), pa.array(fine.ravel()), pa.array(np.repeat(members[own], tables))], ["table", "bucket", "fine", "member"])
 
-    return classes.select("member", "unit").mapInArrow(run, "table int, bucket long, member long")
+    return classes.select("member", "unit").mapInArrow(run, "table int, bucket long, fine int, member long")
 
 
 def _started(classes: DataFrame, count: int, tables: int, seed: int) -> DataFrame:
+    """Lists from buckets; a hot bucket is subdivided by more signs, so that close pairs stay together, and what is still hot is dealt into chunks."""
     rows = stored(_buckets(classes, count, tables, seed), "buckets")
-    sizes = rows.groupBy("table", "bucket").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("n"))
-    rows = rows.join(sizes, ["table", "bucket"]).withColumn("chunk", F.pmod(F.xxhash64("member", "table"), F.col("n")).cast("int"))
+    chunks = F.ceil(F.count(F.lit(1)) / CHUNK).cast("int")
+    hot = rows.groupBy("table", "bucket").agg(chunks.alias("n")).where("n > 1")
+    rows = rows.join(hot, ["table", "bucket"], "left").withColumn("part", F.when(F.col("n") > 1, F.pmod("fine", F.pow(F.lit(2), F.least(F.ceil(F.log2("n")), F.lit(FINE))).cast("int"))).otherwise(0)).drop("n", "fine")
+    still = rows.groupBy("table", "bucket", "part").agg(chunks.alias("n")).where("n > 1")
+    rows = rows.join(still, ["table", "bucket", "part"], "left").withColumn("chunk", F.when(F.col("n") > 1, F.pmod(F.xxhash64("member", "table"), F.col("n"))).otherwise(0).cast("int"))
     rows = rows.join(classes.select("member", "cluster", "unit"), "member").drop("n")
-    return by_group(rows, ["table", "bucket", "chunk"], _top, NEAR_SCHEMA)
+    return by_group(rows, ["table", "bucket", "part", "chunk"], _top, NEAR_SCHEMA)
 
 
 def _refined(lists: DataFrame, classes: DataFrame) -> DataFrame:
@@ -189,29 +209,38 @@ def _exact(classes: DataFrame, count: int, threshold: float) -> DataFrame:
 
 
 def _audit(classes: DataFrame, counts: DataFrame, count: int, threshold: float) -> float:
-    """Share of a sample's links, found by comparing it with all classes, that the search has found."""
+    """Share of a sampled class's links, found by comparing it with all classes, that the search has found.
+
+    The mean over sampled classes that have links, or over those of few links if that is less.
+    """
     sample = classes.where(F.pmod(F.xxhash64("member", F.lit("audit")), F.lit(1_000_000)) < max(1, AUDITED * 1_000_000 // count)).select("member", "unit").collect()  # AUDITED rows
     if not sample:
         return 1.0
-    shared = classes.sparkSession.sparkContext.broadcast([(r["member"], np.frombuffer(r["unit"], float)) for r in sample])
+    sides = {}
+    for size in {len(r["unit"]) for r in sample}:
+        own = [r for r in sample if len(r["unit"]) == size]
+        sides[size // 8] = np.array([r["member"] for r in own]), np.frombuffer(b"".join(r["unit"] for r in own), float).reshape(len(own), -1)
+    shared = classes.sparkSession.sparkContext.broadcast(sides)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, int] = {}
+        totals = {size: np.zeros(len(ids), np.int64) for size, (ids, _) in shared.value.items()}
         for batch in batches:
             members, copies, units = batch.column("member").to_numpy(), batch.column("copies").to_numpy(), batch.column("unit").to_pylist()
             sizes = np.array([len(u) // 8 for u in units])
-            for size in np.unique(sizes):
-                own = np.flatnonzero(sizes == size)
-                x = np.frombuffer(b"".join(units[i] for i in own), float).reshape(len(own), -1)
-                for member, v in shared.value:
-                    if len(v) == size:
-                        hit = (x @ v >= threshold) & (members[own] != member)
-                        totals[member] = totals.get(member, 0) + int(copies[own][hit].sum())
-        yield pa.RecordBatch.from_arrays([pa.array(totals.keys(), pa.int64()), pa.array(totals.values(), pa.int64())], ["member", "links"])
+            for size, (ids, vectors) in shared.value.items():
+                every = np.flatnonzero(sizes == size)
+                for at in range(0, len(every), ROWS):
+                    own = every[at : at + ROWS]
+                    hit = np.frombuffer(b"".join(units[i] for i in own), float).reshape(len(own), -1) @ vectors.T >= threshold
+                    totals[size] += copies[own] @ (hit & (members[own][:, None] != ids[None, :]))
+        for size, (ids, _) in shared.value.items():
+            some = totals[size] > 0
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(totals[size][some])], ["member", "links"])
 
     truth = classes.mapInArrow(run, "member long, links long").groupBy("member").agg(F.sum("links").alias("truth"))
-    row = truth.join(counts, "member", "left").agg(F.sum("truth").alias("truth"), F.sum(F.least("truth", F.coalesce("links", F.lit(0)))).alias("found")).first()
-    return row["found"] / row["truth"] if row["truth"] else 1.0
+    each = truth.join(counts, "member", "left").select("truth", (F.least("truth", F.coalesce("links", F.lit(0))) / F.col("truth")).alias("share"))
+    row = each.agg(F.avg("share").alias("all"), F.avg(F.when(F.col("truth") <= NEIGHBOURS, F.col("share"))).alias("few")).first()
+    return min((x for x in row if x is not None), default=1.0)
 
 
 def _hits(lists: DataFrame, threshold: float) -> DataFrame:
@@ -228,7 +257,7 @@ def link(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
     count = classes.count()
     owners = classes.select("member", F.col("member").alias("cluster"))
     edges: DataFrame | None = None
-    tables, seed, failed = TABLES, 0, 0
+    tables, seed, failed = _tables(max(1, count), threshold), 0, 0
     while True:
         placed = stored(classes.select("member", "unit").join(owners, "member"), "placed")
         near = stored(by_group(_started(placed, max(1, count), tables, seed), ["member"], _merge, NEAR_SCHEMA), "lists")

@@ -383,3 +383,32 @@ def test_embedding_all_pairs_after_failed_audits(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 30)
     monkeypatch.setattr(embedding_dedup, "ROWS", 7)
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.link(table).collect()} == _linked_by_hand(x) | {900: (1, 900), 901: (1, 900)}
+
+
+def test_embedding_audit_counts_members_alike(spark):
+    """One group of 300 whose links are all found does not hide that 100 pairs are lost."""
+    r = np.random.default_rng(8)
+    pairs = np.repeat(r.standard_normal((100, 64)), 2, axis=0)
+    x = np.concatenate([r.standard_normal(64) + 0.02 * r.standard_normal((300, 64)), pairs + 0.02 * r.standard_normal(pairs.shape)])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    classes = spark.createDataFrame([(k, 1, bytearray(v.tobytes())) for k, v in enumerate(unit)], "member long, copies long, unit binary")
+    lost = spark.createDataFrame([(k, 299) for k in range(300)], "member long, links long")
+    whole = lost.unionByName(spark.createDataFrame([(k, 1) for k in range(300, 500)], "member long, links long"))
+    assert embedding_dedup._audit(classes, lost, 500, 0.9) == 0 and embedding_dedup._audit(classes, whole, 500, 0.9) == 1
+
+
+def test_embedding_tables_grow_with_the_vectors():
+    for count in (100, 9_000, 1_000_000):
+        together = (1 - np.arccos(0.9) / np.pi) ** embedding_dedup._bits(count)
+        assert 1 - (1 - together) ** embedding_dedup._tables(count, 0.9) >= 0.99
+
+
+def test_embedding_pairs_in_a_hot_bucket(spark):
+    """Lists of close pairs meet in a table although their bucket holds many chunks."""
+    r = np.random.default_rng(9)
+    base = r.standard_normal((600, 64))
+    x = np.concatenate([base, base + 0.01 * r.standard_normal(base.shape)])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    classes = spark.createDataFrame([(k, k, bytearray(v.tobytes())) for k, v in enumerate(unit)], "member long, cluster long, unit binary")
+    rows = embedding_dedup._started(classes, 2, 1, 0).collect()
+    assert sum((q["member"] + 600) % 1200 in q["ids"] for q in rows) > 900
