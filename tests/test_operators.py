@@ -151,6 +151,24 @@ def test_bm25_and_ivf(spark):
     assert exact == found
 
 
+def test_ivf_with_few_probes(spark):
+    """Cells that are not probed first still give what is nearest."""
+    r = np.random.default_rng(1)
+    rows = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(r.standard_normal((300, 8)))], "id long, embedding array<double>")
+    asked = rows.where("id < 20").withColumnRenamed("id", "query_id")
+    exact = {tuple(x) for x in search.nearest(asked, rows, 5).select("query_id", "id").collect()}
+    index = search.IvfIndex(rows, cells=12)
+    assert exact == {tuple(x) for x in index.search(asked, 5, probes=2).select("query_id", "id").collect()}
+    assert len(exact & {tuple(x) for x in index.search(asked, 5, probes=2, proven=False).select("query_id", "id").collect()}) < len(exact)
+
+
+def test_ivf_query_finds_the_nearest(spark):
+    from loomgraph.plans import catalogue
+
+    found, exact = ({(x["query_id"], x["id"]) for x in catalogue.QUERIES[q](spark, "/root/testdata/sf0.001").collect()} for q in ("ivf_search", "knn"))
+    assert found == exact
+
+
 def test_structure(spark):
     body = "# Rates\n\n| Name | Price | Free |\n|---|---|---|\n| A | 1 | да |\n| B | 2 | |\n\ntext\n\n1. one\n2. two\n   more\n4. four\n8. gone\n\n- [ ] x\n- [x] y\n"
     found = structure.find_tables(body)
