@@ -4,7 +4,9 @@ Features of a text are the distinct hash buckets of its lower-case words, word
 pairs, word triples, and pairs with one word left out.  Words are runs of ASCII
 letters, digits and bytes above 7F.  Learning visits a bounded sample of
 labelled texts one by one with a rate for each coordinate; the L1 term leaves
-few weights other than zero, and these are broadcast.
+few weights other than zero, and these are broadcast.  Classes are sampled
+apart, and the bias takes back what that does to their ratio, so scores mean
+the same at every size.
 
 Edge cases: a null or empty text has no feature, and its score is that of the
 bias.  With no usable label, or one class only, the score is the class's share
@@ -27,7 +29,6 @@ from .words import mixed, word_hashes
 
 BITS = 20
 SAMPLE_DOCS = 8_000  # of each class
-SAMPLE_DOC_BYTES = 50_000  # longer texts are not learned from; all are scored
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
@@ -94,19 +95,23 @@ def fit(texts: list[str | None], labels: list[int], bits: int = BITS, alpha: flo
     return Weights(bias, kept, (np.sign(z[kept]) * l1 - z[kept]) / ((beta + np.sqrt(n[kept])) / alpha + l2), bits)
 
 
-def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS, doc_bytes: int = SAMPLE_DOC_BYTES) -> Weights:
+def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Weights:
     """Fit on at most about ``sample_docs`` labelled documents of each class for which ``usable`` (over doc_id) holds."""
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max(F.when(F.col("y") > 0, 1).otherwise(0)).alias("y")).where(usable)
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")), F.lit(1_000_000))
+    drawn = {y: max(1, min(1_000_000, sample_docs * 1_000_000 // n)) for y, n in counts.items()}  # of a million
     wanted = F.lit(False)
-    for y, n in counts.items():
-        wanted |= (F.col("y") == y) & (draw < min(1_000_000, sample_docs * 1_000_000 // n))
+    for y, bound in drawn.items():
+        wanted |= (F.col("y") == y) & (draw < bound)
     sample = F.broadcast(known.where(wanted))  # two classes of sample_docs
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).where(F.octet_length("t") <= doc_bytes)
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).where("t IS NOT NULL")
     rows = sorted((r["doc_id"], r["y"], r["t"]) for r in texts.join(sample, "doc_id").collect())
-    return fit([r[2] for r in rows], [r[1] for r in rows])
+    weights = fit([r[2] for r in rows], [r[1] for r in rows])
+    if len({r[1] for r in rows}) == 2:
+        weights.bias -= float(np.log(drawn[1] / drawn[0]))
+    return weights
 
 
 def score(docs: DataFrame, weights: Weights, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

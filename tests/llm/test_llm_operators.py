@@ -278,6 +278,25 @@ def test_toxicity(spark, docs, empty):
     assert all(r["score"] < 1e-9 for r in toxicity.score(docs, toxicity.learn(empty, labels, F.lit(True))).collect())
 
 
+def test_toxicity_scores_do_not_depend_on_the_sample(spark):
+    """Thinning the clean class alone leaves the score of a text without told features as it was."""
+    from pyspark.sql import functions as F
+
+    table = spark.createDataFrame([(k, "plain words") for k in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 10 == 0)) for k in range(2000)], "doc_id long, toxic int")
+    whole, thinned = (toxicity.score(table.limit(1), toxicity.learn(table, labels, F.lit(True), sample_docs=n)).first()["score"] for n in (8000, 200))
+    assert whole == pytest.approx(0.1, abs=0.05) and thinned == pytest.approx(0.1, abs=0.05)
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    from pyspark.sql import functions as F
+
+    table = spark.createDataFrame([(k, ("awful " if k % 2 else "kind ") * 10_000) for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    got = toxicity.score(table, toxicity.learn(table, labels, F.lit(True))).collect()
+    assert all((r["score"] > 0.5) == (r["doc_id"] % 2 == 1) for r in got)
+
+
 def test_word_hashes_depend_on_words_only():
     from loomgraph.llm.words import word_hashes
 
