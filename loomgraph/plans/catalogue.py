@@ -581,8 +581,7 @@ def page_hosts(g: Graph) -> DataFrame:
 
 @query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '([^\\s]) {2,}', '\\1 ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g') AS text FROM documents WHERE text NOT LIKE '% ' || chr(10) || '%' AND text NOT LIKE '% '", graph_views=False)
 def clean_whitespace(g: Graph) -> DataFrame:
-    rows = g.table("documents").where(~F.col("text").contains(" \n") & ~F.col("text").endswith(" "))
-    return rows.select("doc_id", T.normalize_whitespace(F.col("text")).alias("text"))
+    return g.table("documents").select("doc_id", T.normalize_whitespace(F.col("text")).alias("text"))
 
 
 # Streams; on a table their transformations are ordinary aggregations.

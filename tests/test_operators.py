@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import re
 from datetime import datetime
 
 import numpy as np
@@ -169,6 +170,22 @@ def test_ivf_query_finds_the_nearest(spark):
     assert found == exact
 
 
+def test_clean_whitespace_keeps_every_document(spark, tmp_path):
+    from loomgraph.plans import catalogue
+
+    def by_hand(text):
+        if text is None:
+            return None
+        lines = re.sub(r"(?<=\S) {2,}", " ", text.replace("\r\n", "\n").replace("\r", "\n")).split("\n")
+        return re.sub(r"\n{3,}", "\n\n", "\n".join(x.rstrip(" \t") for x in lines))
+
+    texts = ["a  b \nc", "end ", "tab\t\nx", "a\r\n \n\n\nb", "  indent  x", "", " ", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["text"] for r in catalogue.QUERIES["clean_whitespace"](spark, str(tmp_path)).collect()}
+    assert got == {k: by_hand(t) for k, t in enumerate(texts)}
+
+
 def test_structure(spark):
     body = "# Rates\n\n| Name | Price | Free |\n|---|---|---|\n| A | 1 | да |\n| B | 2 | |\n\ntext\n\n1. one\n2. two\n   more\n4. four\n8. gone\n\n- [ ] x\n- [x] y\n"
     found = structure.find_tables(body)
