@@ -1,179 +1,242 @@
 """Line dedup by an exact set-similarity join, with DataFrame functions only.
 
 A line's tokens are the different lower-case words (runs of anything but ASCII
-white space) of the line, as 64-bit hashes, ordered by rarity.  Two lines match
-if the Jaccard similarity of their token sets is 0.8 or more.  A line goes if
-an earlier line, by (doc_id, line number), matches it, whether that line stays
-or not; lines without a word stay.
+white space) of the line, as hashes of 56 bits, ordered by rarity.  Two lines
+match if the Jaccard similarity of their token sets is 0.8 or more.  A line
+goes if an earlier line, by (doc_id, line number), matches it, whether that
+line stays or not; lines without a word stay.
 
-Rarity is the magnitude of the count of all words in the word's hash bucket
-(``BUCKETS`` counters, so the table has a fixed size), and longer words count as
-rarer within one magnitude.  Any fixed order gives the same matches; a better
-one gives fewer candidates.  The join:
+Rarity is the magnitude of a word's count in all texts.  Counts are held in a
+table of at most ``MOST_BUCKETS`` hash buckets, more for larger inputs; words
+that share a bucket count together.  Any fixed order gives the same matches; a
+better one gives fewer candidates.  The join:
 
-* lines with equal sets are one; its first line stands for it;
+* lines with equal sets are one; the first of them stands for all;
 * a match shares a token within the first ``n - ceil(0.8 n) + 1`` (prefix
   filter), has similar size (length filter), has enough tokens left behind the
   shared ones (positional filter), and few bits of its own in a bitmap of 128;
-* a pair's prefixes share as many tokens as the overlap needs;
-* each line is first verified against the earliest line of each shared token,
-  which settles large groups of like lines without pairing them; only lines
-  that this leaves are paired with all earlier ones.
+* words that stand alone in the corpus have no partner and are left out;
+* a token of fewer than ``HOT`` occurrences is a key of its own, so a line meets
+  fewer than ``HOT`` others there.  Where the first shared token is a more
+  frequent one, a match shares a second one within one token more, as frequent
+  or more; such pairs of tokens are the keys;
+* lines under keys that may be frequent are first held against a few of their
+  earliest lines, the most similar of which is verified.  That settles groups
+  of like lines without pairing them; what is left meets all earlier lines.
 
 Edge cases: null texts have no line.  Rows that share a doc_id share its
-ranks: of their lines with one number the first is the smallest by set, and
-equal ones stay or go together.  Null doc_ids are never removed from and
-remove nothing.  An empty table gives no rows.
+ranks: none of their lines with one number is earlier than another, so these
+do not remove each other.  Null doc_ids are never removed from and remove
+nothing.  An empty table gives no rows.  Two different words of compared lines
+count as one with a chance of 2^-56; two rows that share a doc_id and have
+different lines of one number are taken for one line with a chance of 2^-32.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bucketed, discard, plain, stored
+from .shared import plain, stored
+
+SPACES = "\t\x0b\x0c\r"  # white space inside a line besides the blank
+MOST_BUCKETS, BUCKET_TEXT = 1 << 24, 128  # counters, and bytes of text for each while there are fewer
+WARM, HOT = 64, 512  # occurrences of tokens that get representatives, and that make keys in pairs only
+SALTS = 4  # representatives of a key
+#: Bytes of keys that may be broadcast, at 32 a line; beyond it they are joined by shuffle.
+BROADCAST_BYTES, LINE_BYTES = 64 << 20, 32
 
-SPACE = r"[\x20\x09-\x0D]+"
-BUCKETS = 1 << 18
-#: Lines whose text may be broadcast as (doc_id, line number); beyond it they are joined by shuffle.
-BROADCAST_LINES = 2_000_000
-BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 24  # of text, for the table of tokens
 
+def _rank(count: Column | int) -> Column | int:
+    """Magnitude in seven bits, about three steps for each doubling; 0 is a single occurrence."""
+    if isinstance(count, int):
+        return min(127, int(3.2 * np.log2(count)))
+    return F.least(F.lit(127), F.floor(3.2 * F.log2(count))).cast("int")
 
-def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), SPACE), "")
 
+def _broadcast(rows: DataFrame) -> DataFrame:
+    """``rows`` of a written table, to be broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() * LINE_BYTES <= BROADCAST_BYTES else rows
 
-def _bucket(hashed: Column) -> Column:
-    return hashed.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
+def _blanks(lower: str) -> Column:
+    """A text with blanks as the only white space in its lines."""
+    odd = reduce(or_, [F.contains(F.col(lower), F.lit(c)) for c in SPACES])
+    return F.when(odd, F.translate(F.col(lower), SPACES, " " * len(SPACES))).otherwise(F.col(lower))
 
-def rarity(docs: DataFrame, text: str = "text") -> Column:
-    """Constant bytes: by bucket, the number of bits of its count."""
-    words = docs.select(F.explode(F.split(F.lower(F.col(text)), SPACE)).alias("w"))
-    counts = {r["b"]: r["n"] for r in words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}  # BUCKETS rows at most
-    return F.lit(bytearray(min(31, counts.get(b, 0).bit_length()) for b in range(BUCKETS)))
 
+def _at(line: Column, t: Column) -> Column:
+    """Line number and 32 bits of the lower-case line, which tell lines of one number apart."""
+    return F.shiftleft(line.cast("bigint"), 32).bitwiseOR(F.xxhash64(t).bitwiseAND(F.lit(0xFFFFFFFF)))
 
-def token_set(line: Column, sizes: Column) -> Column:
-    """Sorted tokens: five bits of the bucket's magnitude, six of the length, 53 of the hash."""
 
-    def ordered(w: Column) -> Column:
-        h = F.xxhash64(w)
-        size = F.shiftleft(F.ascii(F.substring(sizes, _bucket(h) + 1, F.lit(1)).cast("string")).cast("bigint") - 16, 59)
-        return size.bitwiseOR(F.shiftleft((63 - F.least(F.char_length(w), F.lit(63))).cast("bigint"), 53)).bitwiseOR(F.shiftrightunsigned(h, 11))
+def lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc, at and lower-case line t with blanks as its only white space; lines without a word are left out."""
+    lower = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.lower(F.col(text)).alias("t"))
+    rows = lower.select("doc", F.posexplode(F.split(_blanks("t"), "\n")).alias("line", "t"))
+    return rows.where(F.trim("t") != "").select("doc", _at(F.col("line"), F.col("t")).alias("at"), "t")
 
-    return F.sort_array(F.array_distinct(F.transform(_words(line), ordered)))
 
+def _hashes(line: Column) -> Column:
+    """The different words of a line, in 64 bits each."""
+    words = F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)))  # one blank: split without a regular expression
+    return F.array_remove(words, F.xxhash64(F.lit("")))
 
-def lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "t"))
+
+def _bucket(hashed: Column, buckets: int) -> Column:
+    return hashed.bitwiseAND(F.lit(buckets - 1)).cast("int")
+
+
+def ranks(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int]:
+    """One row with the rank of each bucket, eight in a long integer, and the number of buckets."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    buckets = min(MOST_BUCKETS, 1 << max(10, (size // BUCKET_TEXT).bit_length()))
+    words = lines(docs, doc_id, text).select(F.explode(F.split("t", " ")).alias("w")).where("w <> ''")
+    counts = words.groupBy(_bucket(F.xxhash64("w"), buckets).alias("b")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # At most MOST_BUCKETS numbers reach the driver, in slices of 1,024 buckets.
+    packed = counts.select(F.shiftright("b", 10).alias("slice"), F.shiftleft(F.col("b").bitwiseAND(F.lit(1023)), 7).bitwiseOR(_rank(F.col("n"))).alias("v"))
+    table = np.zeros(buckets, np.uint8)
+    for row in packed.groupBy("slice").agg(F.collect_list("v").alias("v")).collect():
+        v = np.array(row["v"], np.int32)
+        table[row["slice"] * 1024 + (v >> 7)] = v & 127
+    found = docs.sparkSession.createDataFrame([(table.view("<i8").tolist(),)], "ranks array<bigint>", verifySchema=False)
+    return stored(found, "ranks"), buckets
 
 
-def _bitmap(half: int) -> Column:
-    """64 of 128 bits; a token sets one of them."""
+def token_sets(rows: DataFrame, table: DataFrame, buckets: int) -> DataFrame:
+    """``rows`` (doc, at, t) with the sorted tokens s of t: seven bits of rank, 56 of the hash."""
+
+    def ordered(h: Column) -> Column:
+        b = _bucket(h, buckets)
+        eight = F.get("ranks", F.shiftright(b, 3))
+        rank = F.call_function("shiftright", eight, F.shiftleft(b.bitwiseAND(F.lit(7)), 3)).bitwiseAND(F.lit(127))
+        return F.shiftleft(rank, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+    return rows.withColumn("ranks", table.scalar()).select("doc", "at", F.sort_array(F.transform(_hashes(F.col("t")), ordered)).alias("s"))
+
+
+def _bits(half: int) -> Column:
+    """One half of a bitmap of 128 bits, of which each token sets one."""
 
     def added(bits: Column, x: Column) -> Column:
-        own = F.shiftright(x, 6).bitwiseAND(F.lit(1)).bitwiseXOR(F.lit(1 - half)).cast("bigint")
+        own = F.shiftright(x, 6).bitwiseAND(F.lit(1)).bitwiseXOR(F.lit(1 - half))
         return bits.bitwiseOR(F.call_function("shiftleft", own, x.bitwiseAND(F.lit(63)).cast("int")))
 
     return F.aggregate("s", F.lit(0).cast("bigint"), added)
 
 
-def _prefixed(docs: DataFrame, ranks: Column, doc_id: str, text: str) -> DataFrame:
-    """doc, line, set (two hashes), n, bits0, bits1, prefix."""
-    # A filter does not pass a column that is not deterministic; pushed down, it would evaluate the sets a second time.
-    sets = lines(docs, doc_id, text).select("doc", "line", token_set(F.col("t"), ranks).alias("s"), F.monotonically_increasing_id().alias("row"))
-    return sets.where((F.size("s") > 0) & (F.col("row") >= 0)).select(
+def _needed(n: Column) -> Column:
+    return F.floor((4 * n + 4) / 5).cast("int")
+
+
+def _prefixed(docs: DataFrame, table: DataFrame, buckets: int, doc_id: str, text: str) -> DataFrame:
+    """doc, at, a, b (the set's hashes), n, bits0, bits1, and of the prefix with one token more: singles, warm, cold (ends of its unique, its rare and its single-key tokens) and tokens behind the unique ones."""
+
+    def below(prefix: Column, count: int) -> Column:
+        return F.size(F.filter(prefix, lambda x: x < (_rank(count) << 56)))
+
+    sets = token_sets(lines(docs, doc_id, text), table, buckets)
+    sets = sets.select("doc", "at", "s", F.size("s").alias("n"), F.when(F.size("s") >= 4, F.slice("s", 1, F.size("s") - _needed(F.size("s")) + 2)).alias("p"))
+    return sets.select(
         "doc",
-        "line",
-        F.struct(F.xxhash64("s").alias("a"), F.xxhash64(F.lit("set"), "s").alias("b")).alias("set"),
-        F.size("s").alias("n"),
-        *[F.when(F.size("s") >= 4, _bitmap(half)).alias(f"bits{half}") for half in (0, 1)],
+        "at",
+        F.xxhash64("s").alias("a"),
+        F.xxhash64(F.lit("set"), "s").alias("b"),
+        "n",
+        *[F.when(F.col("n") >= 4, _bits(k)).alias(f"bits{k}") for k in (0, 1)],
         # Sets of fewer than four tokens match none but their equals.
+        below(F.col("p"), 2).alias("unique"),
+        below(F.col("p"), WARM).alias("rare"),
+        below(F.col("p"), HOT).alias("cold"),
         # Four bytes of a token do: a clash adds a candidate.
-        F.when(F.size("s") >= 4, F.transform(F.slice("s", 1, F.size("s") - F.expr("(4 * size(s) + 4) div 5").cast("int") + 1), lambda x: F.hash(x))).alias("prefix"),
+        F.transform(F.filter("p", lambda x: x >= (1 << 56)), lambda x: F.hash(x)).alias("tokens"),
     )
 
 
-def _similar(a: str, b: str) -> Column:
-    """Filters for two rows that share a token; J >= 4/5 is 9 * overlap >= 4 * (n_a + n_b).
-
-    Besides length and position: a token that one set has and the other lacks
-    accounts for one differing bit at most.
-    """
-    na, nb, ia, ib = (F.col(f"{x}.{c}") for c in ("n", "i") for x in (a, b))
-    bound = F.least(ia, ib) + 1 + F.least(na - ia - 1, nb - ib - 1)
-    least = F.floor((4 * (na + nb) + 8) / 9)  # tokens that matching sets share
-    apart = sum(F.bit_count(F.col(f"{a}.bits{h}").bitwiseXOR(F.col(f"{b}.bits{h}"))) for h in (0, 1))
-    return (5 * na >= 4 * nb) & (5 * nb >= 4 * na) & (apart <= na + nb - 2 * least) & (9 * bound >= 4 * (na + nb))
-
+def _keys(sets: DataFrame) -> DataFrame:
+    """key, warm, doc, at, n, i (place of the key's first token), bits0, bits1 of the keys of each set."""
+    columns = ["doc", "at", "n", "bits0", "bits1"]
+    size = F.size("tokens")
+    prefix = F.col("n") - _needed(F.col("n")) + 1
+    own = F.greatest(F.lit(0), F.least(F.col("cold"), prefix) - F.col("unique"))
+    singles = sets.where(own > 0).select(F.posexplode(F.slice("tokens", 1, own)).alias("j", "key"), "unique", "rare", *columns)
+    singles = singles.select("key", (F.col("unique") + F.col("j") >= F.col("rare")).alias("warm"), *columns, (F.col("unique") + F.col("j")).alias("i"))
+    hot = sets.where((F.col("unique") + size - F.col("cold") >= 2) & (prefix > F.col("cold"))).select(F.slice("tokens", F.col("cold") - F.col("unique") + 1, size).alias("h"), "cold", prefix.alias("prefix"), *columns)
+    hot = hot.select(F.posexplode(F.slice("h", 1, F.col("prefix") - F.col("cold"))).alias("j", "x"), "h", "cold", *columns)
+    hot = hot.where(F.size("h") >= F.col("j") + 2).select("x", F.explode(F.slice("h", F.col("j") + 2, F.size("h"))).alias("y"), (F.col("cold") + F.col("j")).alias("i"), *columns)
+    return singles.unionByName(hot.select(F.hash("x", "y").alias("key"), F.lit(True).alias("warm"), *columns, "i"))
 
-def _enough(shared: Column, na: Column, nb: Column) -> Column:
-    """May sets match whose prefixes share so many tokens?
 
-    Of the set whose prefix ends first, all tokens that the other has too stand
-    in the other's prefix or behind its own, so the overlap is at most
-    ``shared`` and what follows the prefix: ``ceil(0.8 n) - 1`` tokens.
-    """
-    rest = F.floor((4 * F.greatest(na, nb) + 4) / 5) - 1
-    return 9 * (shared + rest) >= 4 * (na + nb)
+def _apart(a: str, b: str) -> Column:
+    """A token that one set has and the other lacks accounts for one differing bit at most."""
+    return sum(F.bit_count(F.col(f"{a}.bits{k}").bitwiseXOR(F.col(f"{b}.bits{k}"))) for k in (0, 1))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, ranks: Column, doc_id: str, text: str) -> DataFrame:
-    """doc, line of the later line of each pair (doc, line, doc0, line0) whose similarity is 0.8 or more."""
-    wanted = stored(pairs.select("doc", "line").unionByName(pairs.select(F.col("doc0").alias("doc"), F.col("line0").alias("line"))).distinct(), "wanted")
-    small = wanted.count() <= BROADCAST_LINES
-    sets = lines(docs, doc_id, text).join(F.broadcast(wanted) if small else wanted, ["doc", "line"])
-    sets = stored(sets.select("doc", "line", token_set(F.col("t"), ranks).alias("s")).dropDuplicates(["doc", "line"]), "sets")
-    first = sets.select(F.col("doc").alias("doc0"), F.col("line").alias("line0"), F.col("s").alias("s0"))
-    both = pairs.join(sets, ["doc", "line"]).join(first, ["doc0", "line0"])
+def _similar(a: str, b: str) -> Column:
+    """Filters for two rows that share a key, the second of an earlier line; J >= 4/5 is 9 * overlap >= 4 * (n_a + n_b)."""
+    na, nb, ia, ib = (F.col(f"{x}.{c}") for c in ("n", "i") for x in (a, b))
+    bound = F.least(ia, ib) + 1 + F.least(na - ia - 1, nb - ib - 1)
+    least = F.floor((4 * (na + nb) + 8) / 9)  # tokens that matching sets share
+    earlier = (F.col(f"{b}.doc") < F.col(f"{a}.doc")) | ((F.col(f"{b}.doc") == F.col(f"{a}.doc")) & (F.shiftright(f"{b}.at", 32) < F.shiftright(f"{a}.at", 32)))
+    return (5 * na >= 4 * nb) & (5 * nb >= 4 * na) & (_apart(a, b) <= na + nb - 2 * least) & (9 * bound >= 4 * (na + nb)) & earlier
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, table: DataFrame, buckets: int, doc_id: str, text: str) -> DataFrame:
+    """doc, at of the later line of each pair (doc, at, doc0, at0) whose similarity is 0.8 or more."""
+    wanted = stored(pairs.select("doc", "at").unionByName(pairs.select(F.col("doc0").alias("doc"), F.col("at0").alias("at"))).distinct(), "wanted")
+    few = _broadcast(wanted.select("doc").distinct())
+    own = docs.join(few, F.col(doc_id).cast("long") == F.col("doc"), "left_semi")
+    found = lines(own, doc_id, text).join(_broadcast(wanted), ["doc", "at"], "left_semi")
+    sets = stored(token_sets(found, table, buckets).dropDuplicates(["doc", "at"]), "sets")
+    first = sets.select(F.col("doc").alias("doc0"), F.col("at").alias("at0"), F.col("s").alias("s0"))
+    both = pairs.join(sets, ["doc", "at"]).join(first, ["doc0", "at0"])
     shared = F.size(F.array_intersect("s", "s0"))
-    return both.where(9 * shared >= 4 * (F.size("s") + F.size("s0"))).select("doc", "line").distinct()
+    return both.where(9 * shared >= 4 * (F.size("s") + F.size("s0"))).select("doc", "at").distinct()
 
 
 def later_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc and line of each line that goes."""
-    ranks = rarity(docs, text)
-    placed = stored(_prefixed(docs, ranks, doc_id, text), "prefixes")
-    place = F.struct("doc", "line")
-    sets = stored(placed.groupBy("set").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("bits0").alias("bits0"), F.first("bits1").alias("bits1"), F.first("prefix").alias("prefix")), "sets")
-    rows = sets.where("prefix IS NOT NULL").select(F.posexplode("prefix").alias("i", "token"), F.col("first.doc").alias("doc"), F.col("first.line").alias("line"), "n", "bits0", "bits1")
-    tokens = bucketed(rows, ["token"], max(LEAST_BUCKETS, (docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0) // BUCKET_BYTES))
-    # Against the earliest line of each token.
-    earliest = tokens.groupBy("token").agg(F.min(F.struct("doc", "line", "n", "i", "bits0", "bits1")).alias("y"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    near = tokens.join(earliest, "token").select(F.struct("doc", "line", "n", "i", "bits0", "bits1").alias("x"), "y")
-    columns = [F.col("x.doc").alias("doc"), F.col("x.line").alias("line"), F.col("y.doc").alias("doc0"), F.col("y.line").alias("line0")]
-    later = F.struct("y.doc", "y.line") < F.struct("x.doc", "x.line")
-    first_pairs = stored(near.where(later & _similar("x", "y")).select(*columns).distinct(), "pairs")
-    prefixes = sets.where("prefix IS NOT NULL").select("first.doc", "first.line", "n", "prefix")
-    of_first = prefixes.toDF("doc0", "line0", "n0", "prefix0")
-    likely = first_pairs.join(prefixes, ["doc", "line"]).join(of_first, ["doc0", "line0"]).where(_enough(F.size(F.array_intersect("prefix", "prefix0")), F.col("n"), F.col("n0")))
-    gone = stored(_verified(likely.select(*first_pairs.columns), docs, ranks, doc_id, text), "gone")
+    """doc and at (line number and 32 bits of the line) of each line that goes."""
+    table, buckets = ranks(docs, doc_id, text)
+    placed = stored(_prefixed(docs, table, buckets, doc_id, text), "prefixes")
+    place = F.struct("doc", "at")
+    heavy = ("n", "bits0", "bits1", "unique", "rare", "cold", "tokens")
+    sets = stored(placed.groupBy("a", "b").agg(F.min(place).alias("first"), *[F.first(c).alias(c) for c in heavy]), "sets")
+    keyed = _keys(sets.where("size(tokens) > 0").select("first.doc", "first.at", *heavy))
+    x = F.struct("doc", "at", "n", "i", "bits0", "bits1")
+    columns = [F.col("x.doc").alias("doc"), F.col("x.at").alias("at"), F.col("y.doc").alias("doc0"), F.col("y.at").alias("at0")]
+    # Against some early lines of each frequent key.
+    warm = keyed.where("warm").select("key", x.alias("x"))
+    early = warm.groupBy("key", F.pmod(F.xxhash64("x.doc", "x.at", "key"), F.lit(SALTS)).alias("salt")).agg(F.min("x").alias("y")).select("key", "y")
+    met = warm.join(early, "key").where(_similar("x", "y")).select(*columns, _apart("x", "y").alias("apart"))
+    best = met.groupBy("doc", "at").agg(F.min(F.struct("apart", "doc0", "at0")).alias("y")).select("doc", "at", "y.doc0", "y.at0")
+    gone = stored(_verified(stored(best, "pairs"), docs, table, buckets, doc_id, text), "gone")
     # What is left, against all earlier lines.
-    settled = F.broadcast(gone) if gone.count() <= BROADCAST_LINES else gone
-    open_ = tokens.join(settled, ["doc", "line"], "left_anti").select("token", F.struct("doc", "line", "n", "i", "bits0", "bits1").alias("x"))
-    others = tokens.select("token", F.struct("doc", "line", "n", "i", "bits0", "bits1").alias("y"))
-    pairs = open_.join(others, (open_["token"] == others["token"]) & later & _similar("x", "y")).select(*columns, F.col("x.n").alias("n"), F.col("y.n").alias("n0"))
-    pairs = pairs.groupBy("doc", "line", "doc0", "line0").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("n0").alias("n0"))
-    pairs = pairs.where(_enough(F.col("shared"), F.col("n"), F.col("n0"))).drop("shared", "n", "n0")
-    pairs = stored(pairs.join(first_pairs, ["doc", "line", "doc0", "line0"], "left_anti"), "pairs")
-    discard(tokens)
-    if not pairs.isEmpty():
-        gone = gone.unionByName(_verified(pairs, docs, ranks, doc_id, text))
+    open_ = keyed.join(_broadcast(gone), ["doc", "at"], "left_anti").select("key", x.alias("x"))
+    pairs = open_.join(keyed.select("key", x.alias("y")), "key").where(_similar("x", "y")).select(*columns).distinct()
+    gone = stored(gone.unionByName(_verified(stored(pairs, "pairs"), docs, table, buckets, doc_id, text)), "gone")
     # From the sets back to all their lines.
-    first = sets.select("set", "first").join(gone.select(F.struct("doc", "line").alias("first"), F.lit(True).alias("matched")), "first", "left")
-    return placed.select("doc", "line", "set").join(first, "set").where(F.coalesce("matched", F.lit(False)) | (place > F.col("first"))).select("doc", "line")
+    first = sets.select("a", "b", "first").join(gone.select(F.struct("doc", "at").alias("first"), F.lit(True).alias("matched")), "first", "left")
+    later = F.struct("doc", F.shiftright("at", 32)) > F.struct("first.doc", F.shiftright("first.at", 32))
+    return placed.select("doc", "at", "a", "b").join(first, ["a", "b"]).where(F.coalesce("matched", F.lit(False)) | later).select("doc", "at")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the lines that stay, and n_lines_removed (which replaces a column of that name); a text may become empty."""
     rows, names = plain(docs, ("n_lines_removed",))
     found = stored(later_matches(rows, names[doc_id], names[text]), "later")
-    gone = found.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("line").alias("_gone"))  # one document's lines
-    if found.count() <= BROADCAST_LINES:  # texts need not be shuffled
+    gone = found.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("at").alias("_gone"))  # one document's lines
+    if found.count() * LINE_BYTES <= BROADCAST_BYTES:  # texts need not be shuffled
         gone = F.broadcast(gone)
-    joined = rows.join(gone, F.col(names[doc_id]).cast("long") == F.col("_doc"), "left").withColumn("_lines", F.split(names[text], "\n"))
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"), lambda i: F.get("_lines", i)), "\n")
-    new = F.when(F.col("_gone").isNull(), F.col(names[text])).otherwise(kept)
-    return joined.select(*[(new if c == text else F.col(n)).alias(c) for c, n in names.items()], F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_lines_removed"))
+    joined = rows.join(gone, F.col(names[doc_id]).cast("long") == F.col("_doc"), "left")
+    joined = joined.withColumn("_lower", F.when(F.col("_gone").isNotNull(), F.lower(names[text])))
+    joined = joined.withColumn("_clean", F.split(_blanks("_lower"), "\n")).withColumn("_lines", F.split(names[text], "\n"))
+    stays = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: ~F.array_contains("_gone", _at(i, F.get("_clean", i))))
+    joined = joined.withColumn("_stays", F.when(F.col("_gone").isNotNull(), stays))
+    kept = F.array_join(F.transform("_stays", lambda i: F.get("_lines", i)), "\n")
+    new = F.when(F.col("_stays").isNull(), F.col(names[text])).otherwise(kept)
+    removed = F.coalesce(F.size("_lines") - F.size("_stays"), F.lit(0)).cast("long")
+    return joined.select(*[(new if c == text else F.col(n)).alias(c) for c, n in names.items()], removed.alias("n_lines_removed"))
