@@ -20,9 +20,10 @@ better one gives fewer candidates.  The join:
   fewer than ``HOT`` others there.  Where the first shared token is a more
   frequent one, a match shares a second one within one token more, as frequent
   or more; such pairs of tokens are the keys;
-* lines under keys that may be frequent are first held against a few of their
-  earliest lines, the most similar of which is verified.  That settles groups
-  of like lines without pairing them; what is left meets all earlier lines.
+* lines are first held against a few early lines of their two rarest tokens of
+  ``WARM`` or more occurrences, and the most similar of these is verified.  That
+  settles groups of like lines without pairing them; what is left meets all
+  earlier lines.
 
 Edge cases: null texts have no line.  Rows that share a doc_id share its
 ranks: none of their lines with one number is earlier than another, so these
@@ -45,7 +46,7 @@ from .shared import plain, stored
 
 SPACES = "\t\x0b\x0c\r"  # white space inside a line besides the blank
 MOST_BUCKETS, BUCKET_TEXT = 1 << 24, 128  # counters, and bytes of text for each while there are fewer
-WARM, HOT = 64, 512  # occurrences of tokens that get representatives, and that make keys in pairs only
+WARM, HOT = 64, 1024  # occurrences of tokens that get representatives, and that make keys in pairs only
 SALTS = 4  # representatives of a key
 #: Bytes of keys that may be broadcast, at 32 a line; beyond it they are joined by shuffle.
 BROADCAST_BYTES, LINE_BYTES = 64 << 20, 32
@@ -119,77 +120,88 @@ def token_sets(rows: DataFrame, table: DataFrame, buckets: int) -> DataFrame:
     return rows.withColumn("ranks", table.scalar()).select("doc", "at", F.sort_array(F.transform(_hashes(F.col("t")), ordered)).alias("s"))
 
 
-def _bits(half: int) -> Column:
+def _needed(n: Column) -> Column:
+    """Tokens of a set of n that any match has."""
+    return F.floor((4 * n + 4) / 5).cast("int")
+
+
+def _prefix(n: Column) -> Column:
+    return n - _needed(n) + 1
+
+
+def _bits(tokens: Column, half: int) -> Column:
     """One half of a bitmap of 128 bits, of which each token sets one."""
 
     def added(bits: Column, x: Column) -> Column:
         own = F.shiftright(x, 6).bitwiseAND(F.lit(1)).bitwiseXOR(F.lit(1 - half))
         return bits.bitwiseOR(F.call_function("shiftleft", own, x.bitwiseAND(F.lit(63)).cast("int")))
 
-    return F.aggregate("s", F.lit(0).cast("bigint"), added)
-
-
-def _needed(n: Column) -> Column:
-    return F.floor((4 * n + 4) / 5).cast("int")
+    return F.aggregate(tokens, F.lit(0).cast("bigint"), added)
 
 
 def _prefixed(docs: DataFrame, table: DataFrame, buckets: int, doc_id: str, text: str) -> DataFrame:
-    """doc, at, a, b (the set's hashes), n, bits0, bits1, and of the prefix with one token more: singles, warm, cold (ends of its unique, its rare and its single-key tokens) and tokens behind the unique ones."""
+    """doc, at, row, a, b (the set's hashes), n, bits0, bits1, and of the prefix with one token more: ends of its unique, its rare and its cold tokens, and the tokens behind the unique ones."""
 
-    def below(prefix: Column, count: int) -> Column:
-        return F.size(F.filter(prefix, lambda x: x < (_rank(count) << 56)))
+    def below(count: int) -> Column:
+        return F.size(F.filter("p", lambda x: x < (_rank(count) << 56)))
 
-    sets = token_sets(lines(docs, doc_id, text), table, buckets)
-    sets = sets.select("doc", "at", "s", F.size("s").alias("n"), F.when(F.size("s") >= 4, F.slice("s", 1, F.size("s") - _needed(F.size("s")) + 2)).alias("p"))
+    sets = token_sets(lines(docs, doc_id, text), table, buckets).select("doc", "at", "s", F.size("s").alias("n"))
+    # Sets of fewer than four tokens match none but their equals.
+    sets = sets.select("doc", "at", "s", "n", F.when(F.col("n") >= 4, F.slice("s", 1, _prefix(F.col("n")) + 1)).alias("p"))
     return sets.select(
         "doc",
         "at",
+        F.monotonically_increasing_id().alias("row"),
         F.xxhash64("s").alias("a"),
         F.xxhash64(F.lit("set"), "s").alias("b"),
         "n",
-        *[F.when(F.col("n") >= 4, _bits(k)).alias(f"bits{k}") for k in (0, 1)],
-        # Sets of fewer than four tokens match none but their equals.
-        below(F.col("p"), 2).alias("unique"),
-        below(F.col("p"), WARM).alias("rare"),
-        below(F.col("p"), HOT).alias("cold"),
+        *[F.when(F.col("n") >= 4, _bits(F.col("s"), k)).alias(f"bits{k}") for k in (0, 1)],
+        below(2).alias("unique"),
+        below(WARM).alias("rare"),
+        below(HOT).alias("cold"),
         # Four bytes of a token do: a clash adds a candidate.
         F.transform(F.filter("p", lambda x: x >= (1 << 56)), lambda x: F.hash(x)).alias("tokens"),
     )
 
 
-def _keys(sets: DataFrame) -> DataFrame:
-    """key, warm, doc, at, n, i (place of the key's first token), bits0, bits1 of the keys of each set."""
-    columns = ["doc", "at", "n", "bits0", "bits1"]
-    size = F.size("tokens")
-    prefix = F.col("n") - _needed(F.col("n")) + 1
+def _keys(sets: DataFrame, columns: list[str]) -> DataFrame:
+    """key, i (place of the key's first token) and ``columns`` for all keys of each set."""
+    size, prefix = F.size("tokens"), _prefix(F.col("n"))
     own = F.greatest(F.lit(0), F.least(F.col("cold"), prefix) - F.col("unique"))
-    singles = sets.where(own > 0).select(F.posexplode(F.slice("tokens", 1, own)).alias("j", "key"), "unique", "rare", *columns)
-    singles = singles.select("key", (F.col("unique") + F.col("j") >= F.col("rare")).alias("warm"), *columns, (F.col("unique") + F.col("j")).alias("i"))
-    hot = sets.where((F.col("unique") + size - F.col("cold") >= 2) & (prefix > F.col("cold"))).select(F.slice("tokens", F.col("cold") - F.col("unique") + 1, size).alias("h"), "cold", prefix.alias("prefix"), *columns)
-    hot = hot.select(F.posexplode(F.slice("h", 1, F.col("prefix") - F.col("cold"))).alias("j", "x"), "h", "cold", *columns)
-    hot = hot.where(F.size("h") >= F.col("j") + 2).select("x", F.explode(F.slice("h", F.col("j") + 2, F.size("h"))).alias("y"), (F.col("cold") + F.col("j")).alias("i"), *columns)
-    return singles.unionByName(hot.select(F.hash("x", "y").alias("key"), F.lit(True).alias("warm"), *columns, "i"))
+    singles = sets.where(own > 0).select(F.posexplode(F.slice("tokens", 1, own)).alias("j", "key"), "unique", *columns)
+    hot = sets.where((F.col("unique") + size - F.col("cold") >= 2) & (prefix > F.col("cold")))
+    hot = hot.select(F.slice("tokens", F.col("cold") - F.col("unique") + 1, size).alias("h"), "cold", prefix.alias("prefix"), *columns)
+    hot = hot.select(F.posexplode(F.slice("h", 1, F.col("prefix") - F.col("cold"))).alias("j", "first"), "h", "cold", *columns).where(F.size("h") >= F.col("j") + 2)
+    hot = hot.select("first", F.explode(F.slice("h", F.col("j") + 2, F.size("h"))).alias("second"), (F.col("cold") + F.col("j")).alias("i"), *columns)
+    return singles.select("key", (F.col("unique") + F.col("j")).alias("i"), *columns).unionByName(hot.select(F.hash("first", "second").alias("key"), "i", *columns))
+
+
+def _sided(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select(*[F.col(c).alias(c if c == "key" else side + c) for c in rows.columns])
+
+
+def _after(a: str, b: str) -> Column:
+    """Is the line of side ``a`` later than that of ``b``?"""
+    return (F.col(f"{a}doc") > F.col(f"{b}doc")) | ((F.col(f"{a}doc") == F.col(f"{b}doc")) & (F.shiftright(f"{a}at", 32) > F.shiftright(f"{b}at", 32)))
+
 
+def _apart() -> Column:
+    return sum(F.bit_count(F.col(f"xbits{k}").bitwiseXOR(F.col(f"ybits{k}"))) for k in (0, 1))
 
-def _apart(a: str, b: str) -> Column:
-    """A token that one set has and the other lacks accounts for one differing bit at most."""
-    return sum(F.bit_count(F.col(f"{a}.bits{k}").bitwiseXOR(F.col(f"{b}.bits{k}"))) for k in (0, 1))
 
+def _alike() -> Column:
+    """Length filter and bitmap filter; J >= 4/5 is 9 * overlap >= 4 * (n_x + n_y), or at most a ninth of n_x + n_y tokens in one set alone.
 
-def _similar(a: str, b: str) -> Column:
-    """Filters for two rows that share a key, the second of an earlier line; J >= 4/5 is 9 * overlap >= 4 * (n_a + n_b)."""
-    na, nb, ia, ib = (F.col(f"{x}.{c}") for c in ("n", "i") for x in (a, b))
-    bound = F.least(ia, ib) + 1 + F.least(na - ia - 1, nb - ib - 1)
-    least = F.floor((4 * (na + nb) + 8) / 9)  # tokens that matching sets share
-    earlier = (F.col(f"{b}.doc") < F.col(f"{a}.doc")) | ((F.col(f"{b}.doc") == F.col(f"{a}.doc")) & (F.shiftright(f"{b}.at", 32) < F.shiftright(f"{a}.at", 32)))
-    return (5 * na >= 4 * nb) & (5 * nb >= 4 * na) & (_apart(a, b) <= na + nb - 2 * least) & (9 * bound >= 4 * (na + nb)) & earlier
+    Each of those accounts for one differing bit at most.
+    """
+    nx, ny = F.col("xn"), F.col("yn")
+    return (5 * nx >= 4 * ny) & (5 * ny >= 4 * nx) & (9 * _apart() <= nx + ny)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, table: DataFrame, buckets: int, doc_id: str, text: str) -> DataFrame:
     """doc, at of the later line of each pair (doc, at, doc0, at0) whose similarity is 0.8 or more."""
     wanted = stored(pairs.select("doc", "at").unionByName(pairs.select(F.col("doc0").alias("doc"), F.col("at0").alias("at"))).distinct(), "wanted")
-    few = _broadcast(wanted.select("doc").distinct())
-    own = docs.join(few, F.col(doc_id).cast("long") == F.col("doc"), "left_semi")
+    own = docs.join(_broadcast(wanted.select("doc").distinct()), F.col(doc_id).cast("long") == F.col("doc"), "left_semi")
     found = lines(own, doc_id, text).join(_broadcast(wanted), ["doc", "at"], "left_semi")
     sets = stored(token_sets(found, table, buckets).dropDuplicates(["doc", "at"]), "sets")
     first = sets.select(F.col("doc").alias("doc0"), F.col("at").alias("at0"), F.col("s").alias("s0"))
@@ -202,26 +214,29 @@ def later_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """doc and at (line number and 32 bits of the line) of each line that goes."""
     table, buckets = ranks(docs, doc_id, text)
     placed = stored(_prefixed(docs, table, buckets, doc_id, text), "prefixes")
-    place = F.struct("doc", "at")
-    heavy = ("n", "bits0", "bits1", "unique", "rare", "cold", "tokens")
-    sets = stored(placed.groupBy("a", "b").agg(F.min(place).alias("first"), *[F.first(c).alias(c) for c in heavy]), "sets")
-    keyed = _keys(sets.where("size(tokens) > 0").select("first.doc", "first.at", *heavy))
-    x = F.struct("doc", "at", "n", "i", "bits0", "bits1")
-    columns = [F.col("x.doc").alias("doc"), F.col("x.at").alias("at"), F.col("y.doc").alias("doc0"), F.col("y.at").alias("at0")]
-    # Against some early lines of each frequent key.
-    warm = keyed.where("warm").select("key", x.alias("x"))
-    early = warm.groupBy("key", F.pmod(F.xxhash64("x.doc", "x.at", "key"), F.lit(SALTS)).alias("salt")).agg(F.min("x").alias("y")).select("key", "y")
-    met = warm.join(early, "key").where(_similar("x", "y")).select(*columns, _apart("x", "y").alias("apart"))
-    best = met.groupBy("doc", "at").agg(F.min(F.struct("apart", "doc0", "at0")).alias("y")).select("doc", "at", "y.doc0", "y.at0")
+    # Lines whose set an earlier line has; the others are one for each set.
+    first = placed.groupBy("a", "b").agg(F.min(F.struct("doc", "at", "row")).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").select("a", "b", "first")
+    again = stored(placed.select("doc", "at", "row", "a", "b").join(stored(first, "firsts"), ["a", "b"]).where("row <> first.row").select("doc", "at", "row", F.col("first.doc").alias("ydoc"), F.col("first.at").alias("yat")), "again")
+    sets = placed.where("size(tokens) > 0").join(_broadcast(again.select("row")), "row", "left_anti")
+    # Against some early lines of the rarest frequent tokens.
+    start = F.greatest(F.col("rare"), F.col("unique")) - F.col("unique")
+    warm = sets.where((F.size("tokens") > start) & (F.col("n") - _needed(F.col("n")) >= F.col("rare"))).select(F.explode(F.slice("tokens", start + 1, 2)).alias("key"), "doc", "at", "n", "bits0", "bits1")
+    early = warm.groupBy("key", F.pmod(F.xxhash64("doc", "at", "key"), F.lit(SALTS)).alias("salt")).agg(F.min(F.struct("doc", "at", "n", "bits0", "bits1")).alias("y"))
+    early = early.select("key", *[F.col(f"y.{c}").alias(f"y{c}") for c in ("doc", "at", "n", "bits0", "bits1")])
+    met = _sided(warm, "x").join(early, "key").where(_alike() & _after("x", "y"))
+    best = met.groupBy(F.col("xdoc").alias("doc"), F.col("xat").alias("at")).agg(F.min(F.struct(_apart().alias("apart"), "ydoc", "yat")).alias("y")).select("doc", "at", F.col("y.ydoc").alias("doc0"), F.col("y.yat").alias("at0"))
     gone = stored(_verified(stored(best, "pairs"), docs, table, buckets, doc_id, text), "gone")
-    # What is left, against all earlier lines.
-    open_ = keyed.join(_broadcast(gone), ["doc", "at"], "left_anti").select("key", x.alias("x"))
-    pairs = open_.join(keyed.select("key", x.alias("y")), "key").where(_similar("x", "y")).select(*columns).distinct()
+    # Lines that this leaves, against all earlier lines.  Both sides read one exchange: no condition is on one side alone, as it would be moved below it.
+    settled = _broadcast(gone).select("doc", "at", F.lit(0).alias("open"))
+    keyed = _keys(sets.join(settled, ["doc", "at"], "left").withColumn("open", F.coalesce("open", F.lit(1))), ["doc", "at", "n", "bits0", "bits1", "open"])
+    bound = F.least("xi", "yi") + 1 + F.least(F.col("xn") - F.col("xi"), F.col("yn") - F.col("yi")) - 1
+    wanted = (F.col("xopen") + F.col("yn") > F.col("yn")) & _alike() & (9 * bound >= 4 * (F.col("xn") + F.col("yn"))) & _after("x", "y")
+    pairs = _sided(keyed, "x").join(_sided(keyed, "y"), "key").where(wanted).select(F.col("xdoc").alias("doc"), F.col("xat").alias("at"), F.col("ydoc").alias("doc0"), F.col("yat").alias("at0")).distinct()
     gone = stored(gone.unionByName(_verified(stored(pairs, "pairs"), docs, table, buckets, doc_id, text)), "gone")
     # From the sets back to all their lines.
-    first = sets.select("a", "b", "first").join(gone.select(F.struct("doc", "at").alias("first"), F.lit(True).alias("matched")), "first", "left")
-    later = F.struct("doc", F.shiftright("at", 32)) > F.struct("first.doc", F.shiftright("first.at", 32))
-    return placed.select("doc", "at", "a", "b").join(first, ["a", "b"]).where(F.coalesce("matched", F.lit(False)) | later).select("doc", "at")
+    matched = gone.select(F.col("doc").alias("ydoc"), F.col("at").alias("yat"), F.lit(True).alias("matched"))
+    renamed = again.select(F.col("doc").alias("xdoc"), F.col("at").alias("xat"), "ydoc", "yat").join(matched, ["ydoc", "yat"], "left")
+    return gone.unionByName(renamed.where(F.coalesce("matched", F.lit(False)) | _after("x", "y")).select(F.col("xdoc").alias("doc"), F.col("xat").alias("at"))).distinct()
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
