@@ -42,7 +42,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import plain, stored
+from .shared import discard, plain, stored
 
 SPACES = "\t\x0b\x0c\r"  # white space inside a line besides the blank
 MOST_BUCKETS, BUCKET_TEXT = 1 << 24, 128  # counters, and bytes of text for each while there are fewer
@@ -226,13 +226,18 @@ def later_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     met = _sided(warm, "x").join(early, "key").where(_alike() & _after("x", "y"))
     best = met.groupBy(F.col("xdoc").alias("doc"), F.col("xat").alias("at")).agg(F.min(F.struct(_apart().alias("apart"), "ydoc", "yat")).alias("y")).select("doc", "at", F.col("y.ydoc").alias("doc0"), F.col("y.yat").alias("at0"))
     gone = stored(_verified(stored(best, "pairs"), docs, table, buckets, doc_id, text), "gone")
-    # Lines that this leaves, against all earlier lines.  Both sides read one exchange: no condition is on one side alone, as it would be moved below it.
+    # Lines that this leaves, against all earlier lines.  Both sides read one exchange: its input is a table, both use all columns, and no condition is on one side alone, as it would be moved below it.
     settled = _broadcast(gone).select("doc", "at", F.lit(0).alias("open"))
-    keyed = _keys(sets.join(settled, ["doc", "at"], "left").withColumn("open", F.coalesce("open", F.lit(1))), ["doc", "at", "n", "bits0", "bits1", "open"])
+    columns = ["doc", "at", "n", "bits0", "bits1", "open"]
+    sets = stored(sets.join(settled, ["doc", "at"], "left").select(*columns[:-1], F.coalesce("open", F.lit(1)).alias("open"), "unique", "cold", "tokens"), "sets")
+    keyed = _keys(sets, columns)
+    discard(placed)
     bound = F.least("xi", "yi") + 1 + F.least(F.col("xn") - F.col("xi"), F.col("yn") - F.col("yi")) - 1
-    wanted = (F.col("xopen") + F.col("yn") > F.col("yn")) & _alike() & (9 * bound >= 4 * (F.col("xn") + F.col("yn"))) & _after("x", "y")
+    wanted = (F.col("xopen") + F.col("yopen") > F.col("yopen")) & _alike() & (9 * bound >= 4 * (F.col("xn") + F.col("yn"))) & _after("x", "y")
     pairs = _sided(keyed, "x").join(_sided(keyed, "y"), "key").where(wanted).select(F.col("xdoc").alias("doc"), F.col("xat").alias("at"), F.col("ydoc").alias("doc0"), F.col("yat").alias("at0")).distinct()
-    gone = stored(gone.unionByName(_verified(stored(pairs, "pairs"), docs, table, buckets, doc_id, text)), "gone")
+    pairs = stored(pairs, "pairs")
+    discard(sets)
+    gone = stored(gone.unionByName(_verified(pairs, docs, table, buckets, doc_id, text)), "gone")
     # From the sets back to all their lines.
     matched = gone.select(F.col("doc").alias("ydoc"), F.col("at").alias("yat"), F.lit(True).alias("matched"))
     renamed = again.select(F.col("doc").alias("xdoc"), F.col("at").alias("xat"), "ydoc", "yat").join(matched, ["ydoc", "yat"], "left")
