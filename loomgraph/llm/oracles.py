@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from .substring_dedup import MIN_WORDS
 
-UNITS = f"""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
-u AS (SELECT doc_id, i - 1 AS unit, l[i] AS t FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM s)),
-k AS (SELECT *, list_filter(string_split_regex(lower(t), '\\s+'), lambda x: x <> '') AS w FROM u),
-r AS (SELECT *, len(w) >= {MIN_WORDS} AND row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, unit) > 1 AS gone,
-  coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM k)
-SELECT doc_id, coalesce(string_agg(t, chr(10) ORDER BY unit) FILTER (NOT gone), '') AS text, count(*) FILTER (gone) AS n_removed, coalesce(sum(length(t)) FILTER (gone), 0)::BIGINT AS n_chars_removed,
-coalesce(string_agg(start || '-' || (start + length(t)), ',' ORDER BY unit) FILTER (gone), '') AS removed FROM r GROUP BY doc_id
+UNITS = rf"""WITH l AS (SELECT doc_id, text, string_split(replace(regexp_replace(text, '([.!?]) ', '\1' || chr(1), 'g'), chr(10), chr(1)), chr(1)) AS l FROM documents WHERE text IS NOT NULL),
+i AS (SELECT doc_id, text, l, unnest(range(1, len(l) + 1)) AS i FROM l),
+p AS (SELECT doc_id, text, i - 1 AS piece, i = len(l) AS last, l[i] AS t, list_filter(string_split_regex(lower(l[i]), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM i),
+q AS (SELECT *, len(w) AS n, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY piece) AS upto,
+  coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM p),
+v AS (SELECT * FROM q WHERE n > 0),
+u AS (SELECT a.doc_id, a.piece, b.piece AS final FROM v a ASOF JOIN v b ON a.doc_id = b.doc_id AND a.upto - a.n + {MIN_WORDS} <= b.upto),
+k AS (SELECT u.doc_id, u.piece, u.final, string_agg(array_to_string(v.w, ' '), ' ' ORDER BY v.piece) AS k FROM u JOIN v ON v.doc_id = u.doc_id AND v.piece BETWEEN u.piece AND u.final GROUP BY ALL),
+d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, piece) > 1 AS gone FROM k) WHERE gone),
+c AS (SELECT DISTINCT doc_id, unnest(range(piece, final + 1)) AS piece FROM d), b AS (SELECT DISTINCT doc_id, unnest(range(piece, final)) AS piece FROM d),
+m AS (SELECT q.*, c.piece IS NOT NULL AS gone, b.piece IS NOT NULL AS joined FROM q LEFT JOIN c USING (doc_id, piece) LEFT JOIN b USING (doc_id, piece)),
+o AS (SELECT *, gone AND NOT coalesce(lag(joined) OVER (PARTITION BY doc_id ORDER BY piece), false) AS opens, gone AND NOT joined AS closes FROM m),
+s AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY piece) AS span FROM o),
+r AS (SELECT doc_id, span, min(start) FILTER (opens) AS a, max(start + length(t)) FILTER (closes) AS z FROM s WHERE gone GROUP BY doc_id, span),
+x AS (SELECT doc_id, count(*) AS n_removed, sum(z - a)::BIGINT AS n_chars_removed, string_agg(a || '-' || z, ',' ORDER BY a) AS removed FROM r GROUP BY doc_id),
+y AS (SELECT doc_id, coalesce(string_agg(CASE WHEN gone THEN '' ELSE t END || CASE WHEN joined OR last THEN '' ELSE substr(text, start + length(t) + 1, 1) END, '' ORDER BY piece), '') AS text FROM m GROUP BY doc_id)
+SELECT doc_id, text, coalesce(n_removed, 0) AS n_removed, coalesce(n_chars_removed, 0) AS n_chars_removed, coalesce(removed, '') AS removed FROM y LEFT JOIN x USING (doc_id)
 UNION ALL SELECT doc_id, NULL, 0, 0, '' FROM documents WHERE text IS NULL"""
 
 _COMPONENTS = """reach AS (SELECT id AS node, id AS root FROM nodes UNION SELECT e.b, r.root FROM reach r JOIN links e ON e.a = r.node),

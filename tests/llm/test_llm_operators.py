@@ -124,26 +124,52 @@ def test_suffix_dedup_text(clashing, texts):
     assert got[32] == "" and got[0] == texts[0][1] and got[40] == ""
 
 
-def test_substring_dedup(docs, texts):
-    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in substring_dedup.dedup(docs).collect()}
-    seen = set()
-    for i, text in sorted(texts):
-        kept, n = [], 0
-        for unit in (text or "").split("\n"):
-            key = " ".join(unit.lower().split())
-            if len(key.split()) >= 5 and key in seen:
-                n += 1
-                continue
-            seen.add(key)
-            kept.append(unit)
-        assert got[i] == (None if text is None else "\n".join(kept), n), i
+def naive_units(rows, min_words=20):
+    """Units by the definition: from each piece with a word on, as few pieces as hold ``min_words`` words."""
+    seen, out = {}, {}
+    for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        cuts = [0] + [m.end() for m in re.finditer(r"(?<=[.!?]) |\n", text or "")]
+        ends = [m.start() for m in re.finditer(r"(?<=[.!?]) |\n", text or "")] + [len(text or "")]
+        gone = np.zeros(len(text or ""), bool)
+        for k in range(len(cuts)):
+            unit = []
+            for j in range(k, len(cuts)):
+                unit += words((text or "")[cuts[j] : ends[j]].lower())
+                if not unit or len(unit) >= min_words:
+                    break
+            if len(unit) >= min_words and seen.setdefault(tuple(unit), (i, k)) != (i, k):
+                gone[cuts[k] : ends[j]] = True
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(int), [0]]))).tolist()
+        kept = None if text is None else "".join(c for c, g in zip(text, gone, strict=True) if not g)
+        out[i] = (kept, list(zip(edge[::2], edge[1::2], strict=True)))
+    return out
+
+
+@pytest.mark.parametrize("min_words", [20, 1])
+def test_substring_dedup(docs, texts, min_words):
+    got = {r["doc_id"]: r for r in substring_dedup.dedup(docs, min_words=min_words).collect()}
+    for i, (kept, spans) in naive_units(texts, min_words).items():
+        r = got[i]
+        assert (r["text"], [tuple(x) for x in r["removed"]]) == (kept, spans), i
+        assert (r["n_removed"], r["n_chars_removed"]) == (len(spans), sum(b - a for a, b in spans))
+
+
+def test_substring_passage_within_lines(spark):
+    """A passage that begins and ends inside longer lines goes, and the words around it stay."""
+    r = __import__("random").Random(4)
+    sentence = lambda: " ".join(f"w{r.randint(0, 9999)}" for _ in range(12)) + "."
+    passage = " ".join(sentence() for _ in range(5))
+    rows = [(1, f"{sentence()} {passage} {sentence()}"), (2, f"{sentence()}\n{sentence()} {passage} {sentence()}"), (3, sentence())]
+    got = {x["doc_id"]: x for x in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["n_removed"] == got[3]["n_removed"] == 0
+    assert got[2]["n_removed"] == 1 and passage not in got[2]["text"] and got[2]["n_chars_removed"] == len(passage)
 
 
 def test_substring_offsets(docs, texts):
     by_id = dict(texts)
     for r in substring_dedup.duplicates(substring_dedup.units(docs)).collect():
-        unit = by_id[r["doc_id"]][r["start"] : r["stop"]]
-        assert "\n" not in unit and " ".join(unit.lower().split()) in " ".join(by_id[r["first_doc_id"]][r["first_start"] :].lower().split())
+        unit = words(by_id[r["doc_id"]][r["start"] : r["stop"]].lower())
+        assert len(unit) >= 20 and words(by_id[r["first_doc_id"]][r["first_start"] :].lower())[: len(unit)] == unit
 
 
 def test_packing(docs, texts):
