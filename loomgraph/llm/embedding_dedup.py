@@ -14,8 +14,9 @@ and if the last attempt fails, all pairs are compared.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing, and neither do rows with a null vec_id.  Vectors
-of different lengths never link.  Repeated vectors link with each other.  An
-empty table gives no rows.  Other columns are not read.
+of different lengths never link.  Repeated vectors link with each other, and
+different vectors may share a vec_id.  An empty table gives no rows.  Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -253,7 +254,9 @@ def link(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
     """vec_id, n_links (other vectors linked), component_id (smallest vec_id reached by links) for each row."""
     rows = stored(cleaned(vectors, vec_id, embedding), "vectors")
     usable = rows.where("digest IS NOT NULL AND vec_id IS NOT NULL")
-    classes = stored(usable.groupBy("digest").agg(F.min("vec_id").alias("member"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit")).dropDuplicates(["member"]), "classes")
+    # A class has a number of its own, as different vectors may share a vec_id.
+    classes = usable.groupBy("digest").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit"))
+    classes = stored(classes.withColumn("member", F.monotonically_increasing_id()), "classes")
     count = classes.count()
     owners = classes.select("member", F.col("member").alias("cluster"))
     edges: DataFrame | None = None
@@ -287,7 +290,9 @@ def link(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
             break
         tables *= 2
     roots = components(linked.select(F.col("member").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "member")
-    known = classes.select("digest", "member", "copies").join(roots, "member", "left").join(counts, "member", "left")
-    known = known.select("digest", F.coalesce("root", "member").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"))
+    known = classes.select("digest", "member", "copies", "least").join(roots, "member", "left").join(counts, "member", "left")
+    known = stored(known.select("digest", "least", "root", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n")), "known")
+    smallest = known.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("component"))
+    known = known.join(smallest, "root", "left").select("digest", F.coalesce("component", "least").alias("component"), "n")
     out = rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("digest")).alias("digest")).join(known, "digest", "left")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))

@@ -16,8 +16,9 @@ the survivors form clusters, and all pairs in a cluster are verified tile by
 tile by a product of incidence matrices that only counts links.
 
 Edge cases: texts without a word link with nothing, and neither do rows with a
-null doc_id.  Repeated rows are copies of each other.  An empty table gives no
-rows.  Other columns are not read.
+null doc_id.  Rows are compared by their texts, so rows that share a doc_id may
+be in different classes; repeated rows are copies of each other.  An empty
+table gives no rows.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .linking import CHUNK, LINK_SCHEMA, by_group, components, count_links, tiles
@@ -116,8 +117,13 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
+def _tag(text: str) -> Column:
+    """Tells rows that share a doc_id apart."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def signed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, the digest of the set, its size and its signature; digest is null for an empty set."""
+    """doc_id, a hash of the text, the digest of the set, its size and its signature; digest is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", 1 << 20):
@@ -125,9 +131,9 @@ def signed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             signs = signatures(sets, offsets)
             sizes = np.diff(offsets)
             digests = [blake2b(sets[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(offsets, offsets[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes.astype(np.int32)), pa.array([s.tobytes() for s in signs], pa.binary())], ["doc_id", "digest", "size", "sign"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(digests, pa.binary()), pa.array(sizes.astype(np.int32)), pa.array([s.tobytes() for s in signs], pa.binary())], ["doc_id", "tag", "digest", "size", "sign"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, digest binary, size int, sign binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), _tag(text).alias("tag"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, tag long, digest binary, size int, sign binary")
 
 
 def _pruned(pairs: DataFrame) -> DataFrame:
@@ -206,33 +212,44 @@ def _verify(table: pa.Table) -> pa.RecordBatch | None:
     return count_links(side, within, shared * 5 >= either * 4, ids, copies)
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id (smallest doc_id reached by links), n_links (other documents linked) for each row."""
+def _linked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, tag, class_id and n_links for each row."""
     signs = stored(signed(docs, doc_id, text), "signs")
     usable = signs.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = stored(usable.groupBy("digest").agg(F.min("doc_id").alias("member"), F.count(F.lit(1)).alias("copies"), F.first("sign").alias("sign")), "classes")
+    # A class has a number of its own, as rows of different classes may share a doc_id.
+    classes = usable.groupBy("digest").agg(F.min(F.struct("doc_id", "tag")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("sign").alias("sign"))
+    classes = stored(classes.withColumn("member", F.monotonically_increasing_id()), "classes")
     clusters = stored(candidate_clusters(classes.select("member", "sign")).withColumnRenamed("node", "member"), "clusters")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", 1 << 20):
             sets, offsets = shingle_sets(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("member", "cluster", "copies")), pa.array([sets[a:b].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)], pa.binary())], ["member", "cluster", "copies", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("member"), pa.array([sets[a:b].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)], pa.binary())], ["member", "shingles"])
 
-    wanted = clusters.withColumnRenamed("root", "cluster").join(classes.select("member", "copies"), "member")
-    texts = docs.select(F.col(doc_id).cast("long").alias("member"), F.col(text).alias("text")).join(wanted, "member").select("member", "cluster", "copies", "text")
-    members = stored(texts.mapInArrow(shingled, "member long, cluster long, copies long, shingles binary").dropDuplicates(["member"]), "members")
-    cut = tiles(members, "cluster", "member").select("cluster", "low", "high", "side", "member", "copies", "shingles")
+    wanted = clusters.join(classes.select("member", "first"), "member").select("member", "first.doc_id", "first.tag")
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _tag(text).alias("tag"), F.col(text).alias("text")).join(wanted, ["doc_id", "tag"]).select("member", "text")
+    sets = stored(texts.mapInArrow(shingled, "member long, shingles binary").dropDuplicates(["member"]), "members")
+    members = clusters.withColumnRenamed("root", "cluster").join(classes.select("member", "copies"), "member")
+    cut = tiles(members, "cluster", "member").join(sets, "member").select("cluster", "low", "high", "side", "member", "copies", "shingles")
     linked = stored(by_group(cut, ["cluster", "low", "high"], _verify, LINK_SCHEMA), "links")
     roots = components(linked.select(F.col("member").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "member")
     counts = linked.groupBy("member").agg(F.sum("links").alias("links"))
-    known = classes.select("digest", "member", "copies").join(roots, "member", "left").join(counts, "member", "left")
-    known = known.select("digest", F.coalesce("root", "member").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return signs.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(known, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    known = classes.select("digest", "member", "copies", F.col("first.doc_id").alias("least")).join(roots, "member", "left").join(counts, "member", "left")
+    known = stored(known.select("digest", "least", "root", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "known")
+    smallest = known.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("class_id"))
+    known = known.join(smallest, "root", "left").select("digest", F.coalesce("class_id", "least").alias("class_id"), "n_links")
+    rows = signs.select("doc_id", "tag", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(known, "digest", "left")
+    return rows.select("doc_id", "tag", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, class_id (smallest doc_id reached by links), n_links (other documents linked) for each row."""
+    return _linked(docs, doc_id, text).drop("tag")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group, that of the smallest doc_id; repeated rows of it count once."""
     rows, names = plain(docs)
-    kept = join(rows, names[doc_id], names[text]).where("doc_id = class_id OR doc_id IS NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    left = rows.join(kept, F.col(names[doc_id]).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    kept = _linked(rows, names[doc_id], names[text]).where("doc_id = class_id OR doc_id IS NULL").select(F.col("doc_id").alias("_kept"), F.col("tag").alias("_tag")).distinct()
+    left = rows.join(kept, F.col(names[doc_id]).cast("long").eqNullSafe(F.col("_kept")) & (_tag(names[text]) == F.col("_tag")), "left_semi")
     return left.select(*[F.col(n).alias(c) for c, n in names.items()])
