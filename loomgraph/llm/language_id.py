@@ -9,8 +9,11 @@ context a byte costs 8 bits.  Statistics are frozen after learning, so the
 cost of a byte in its context is a constant, and all constants of all
 languages lie in one table that is looked up for whole blocks of text.
 
-Learning reads a sample of at most ``train_bytes`` bytes a language on
-average (drawn by a hash of doc_id); scoring reads every byte of every text.
+Learning reads a sample of each language (drawn by a hash of doc_id) of at most
+``train_bytes`` bytes on average.  The table has a cost for every gram and
+language, so with L languages a sample also has at most ``MODEL_CELLS / L**2``
+bytes; no language is left out.  Scoring reads every byte of every text, in
+slices that overlap by the order.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0, and
 so is every text if no language could be learned.  Null languages are not
@@ -32,8 +35,8 @@ from pyspark.sql import functions as F
 from .shared import blocks
 
 ORDER = 4
-TRAIN_BYTES = 1_000_000
-MAX_LANGUAGES = 256
+TRAIN_BYTES, MODEL_CELLS = 1_000_000, 100_000_000
+SLICE = 1 << 20
 UNKNOWN = "und"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -127,9 +130,7 @@ class Model:
         for k in range(order + 1):
             counted = []
             for x in data:
-                keys, counts = np.unique(grams(x, k, order), return_counts=True)
-                often = counts >= (1 if k < 3 else 2)  # suffixes of a gram are as frequent, so the tree stays closed
-                counted.append((keys[often], counts[often]))
+                counted.append(np.unique(grams(x, k, order), return_counts=True))
             keys = np.unique(np.concatenate([c[0] for c in counted]))
             contexts = np.unique(keys >> np.uint64(8))
             of = np.searchsorted(contexts, keys >> np.uint64(8))
@@ -157,7 +158,21 @@ class Model:
             self._columns = [np.ascontiguousarray(np.vstack([x, np.zeros((1, x.shape[1]), np.float32)]).T) for x in self.costs]
         top = self.order
         data, starts = prepare(texts, top)
-        data = np.concatenate([data, np.full(1, 32, np.uint8)])  # so that the last text has a place, even an empty one
+        out = np.zeros((len(texts), len(self.languages)))
+        # A text's bytes stand from its first blank + order on.
+        begin, end = starts[:-1] + top, starts[1:]
+        for at in range(top, len(data), SLICE):
+            part = data[at - top : at + SLICE]
+            own = slice(np.searchsorted(end, at, "right"), np.searchsorted(begin, at + SLICE))
+            low, high = (np.clip(x[own] - at, 0, len(part) - top) for x in (begin, end))
+            for column, costs in enumerate(self._costs(part)):
+                sums = np.concatenate([[0.0], np.cumsum(costs, dtype=np.float64)])
+                out[own, column] += sums[high] - sums[low]
+        return out
+
+    def _costs(self, data: np.ndarray) -> list[np.ndarray]:
+        """By language, the cost of each byte behind the first ``order`` ones."""
+        top = self.order
         key = grams(data, top, top)
         row = self._tables[top][0].find(key)
         per = [x[row] for x in self._columns[top]]  # row -1 is the last, of zeros
@@ -178,25 +193,21 @@ class Model:
             for x, column in zip(per, self._columns[k - 1], strict=True):
                 x[todo[hit]] += column[found[hit]]
             todo = todo[~hit]
-        # A text's bytes stand from its first blank + order on; the blanks before the next text are its neighbours and are taken off.
-        begin = starts[:-1]
-        sums = np.stack([np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)]) for x in per], 1)
-        return sums[starts[1:] - top] - sums[begin]
+        return per
 
 
 def learn(docs: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", train_bytes: int = TRAIN_BYTES, order: int = ORDER) -> Model:
     """Fit on a sample of the rows for which ``usable`` holds."""
     rows = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    sizes = rows.groupBy("l").agg(F.sum(F.octet_length("t")).alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()
-    if not sizes:
+    sizes = rows.groupBy("l").agg(F.sum(F.octet_length("t")).alias("n"))
+    count = sizes.count()
+    if not count:
         return Model([], order)
-    draw = F.pmod(F.xxhash64(F.col("i").cast("string"), F.lit("language")), F.lit(1_000_000))
-    wanted = F.lit(False)
-    for r in sizes:
-        share = 1_000_000 if r["n"] <= train_bytes else max(1, train_bytes * 1_000_000 // r["n"])
-        wanted |= (F.col("l") == r["l"]) & (draw < share)
+    wanted = min(train_bytes, MODEL_CELLS // count**2)
+    draw = F.shiftrightunsigned(F.xxhash64(F.col("i").cast("string"), F.lit("language")), 11) / F.lit(float(1 << 53))
+    sampled = rows.join(F.broadcast(sizes), "l").where(draw * F.col("n") < wanted)
     samples: dict[str, list[str]] = {}
-    for r in sorted(rows.where(wanted).select("l", "t").collect()):  # train_bytes for each of MAX_LANGUAGES at most
+    for r in sorted(sampled.select("l", "t").collect()):  # train_bytes for each language on average
         samples.setdefault(r["l"], []).append(r["t"])
     return Model.learn(samples, order)
 
