@@ -23,6 +23,7 @@ encoded alike; other columns are not read.
 from __future__ import annotations
 
 import functools
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -74,17 +75,32 @@ class Pieces:
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def merged(self, text: str) -> list[int]:
-        """Merge by score, the leftmost first: the meaning of a BPE model."""
-        parts, ids, scores = list(text), self.ids, self.scores
-        while True:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                i = ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or scores[i] > best):
-                    best, at = scores[i], k
-            if best is None:
-                return [ids[p] for p in parts]
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        """Merge by score, the leftmost first: the meaning of a BPE model.  A heap holds the merges that neighbours allow."""
+        parts: list[str | None] = list(text)
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        heap: list[tuple[float, int, str]] = []
+
+        def offer(k: int) -> None:
+            if after[k] < len(parts):
+                both = parts[k] + parts[after[k]]
+                i = self.ids.get(both)
+                if i is not None:
+                    heapq.heappush(heap, (-self.scores[i], k, both))
+
+        for k in range(len(parts)):
+            offer(k)
+        while heap:
+            _, k, both = heapq.heappop(heap)
+            if parts[k] is None or after[k] >= len(parts) or parts[k] + parts[after[k]] != both:
+                continue  # one of the two has been merged since
+            gone = after[k]
+            parts[k], parts[gone], after[k] = both, None, after[gone]
+            if after[k] < len(parts):
+                before[after[k]] = k
+            offer(k)
+            if before[k] >= 0:
+                offer(before[k])
+        return [self.ids[p] for p in parts if p is not None]
 
     def stable(self, a: int, b: int) -> bool:
         """Do pieces a and b side by side encode to themselves?  a may be -1, for none."""
