@@ -4,14 +4,17 @@ Features of a text are the distinct hash buckets of its lower-case words, word
 pairs, word triples, and pairs with one word left out.  Words are runs of ASCII
 letters, digits and bytes above 7F.  Learning visits a bounded sample of
 labelled texts one by one with a rate for each coordinate; the L1 term leaves
-few weights other than zero, and these are broadcast.  Classes are sampled
-apart, and the bias takes back what that does to their ratio, so scores mean
-the same at every size.
+few weights other than zero, and these are broadcast.  Of each class a sample
+of at most ``sample_docs`` texts and ``sample_bytes`` bytes on average is drawn
+by a hash of doc_id.  Classes are sampled apart, and the bias takes back what
+that does to their ratio, so scores mean the same at every size.
 
 Edge cases: a null or empty text has no feature, and its score is that of the
 bias.  With no usable label, or one class only, the score is the class's share
 (0 without any label).  Labels that disagree about a document count as toxic.
-Repeated rows are scored alike.  Other columns are not read.
+Repeated rows are scored alike; rows that share a doc_id and differ are scored
+by their own texts and learned from each under the doc_id's label.  Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from .shared import blocks
 from .words import mixed, word_hashes
 
 BITS = 20
-SAMPLE_DOCS = 8_000  # of each class
+SAMPLE_DOCS, SAMPLE_BYTES = 8_000, 32 << 20  # of each class
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
@@ -72,7 +75,7 @@ def fit(texts: list[str | None], labels: list[int], bits: int = BITS, alpha: flo
         part = texts[at : at + 256]
         of, buckets = features(pa.array(part, pa.string()), bits)
         both = np.unique((of << bits) | buckets)
-        rows += np.split(both & ((1 << bits) - 1), np.searchsorted(both >> bits, np.arange(1, len(part))))
+        rows += np.split((both & ((1 << bits) - 1)).astype(np.int32), np.searchsorted(both >> bits, np.arange(1, len(part))))
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     bias = float(np.log(y.mean() / (1 - y.mean())))
     bias_n = 1.0
@@ -95,22 +98,24 @@ def fit(texts: list[str | None], labels: list[int], bits: int = BITS, alpha: flo
     return Weights(bias, kept, (np.sign(z[kept]) * l1 - z[kept]) / ((beta + np.sqrt(n[kept])) / alpha + l2), bits)
 
 
-def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Weights:
-    """Fit on at most about ``sample_docs`` labelled documents of each class for which ``usable`` (over doc_id) holds."""
+def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Weights:
+    """Fit on a sample of the labelled documents of each class for which ``usable`` (over doc_id) holds."""
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max(F.when(F.col("y") > 0, 1).otherwise(0)).alias("y")).where(usable)
-    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")), F.lit(1_000_000))
-    drawn = {y: max(1, min(1_000_000, sample_docs * 1_000_000 // n)) for y, n in counts.items()}  # of a million
+    sizes = docs.select(F.col(doc_id).alias("doc_id"), F.octet_length(F.col(text)).alias("size")).where("size IS NOT NULL")
+    counts = sizes.join(known, "doc_id").groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).collect()
+    shares = {r["y"]: min(1.0, sample_docs / r["n"], sample_bytes / max(1, r["bytes"])) for r in counts}
+    hashed = F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity"))
+    draw = (F.pmod(hashed, F.lit(1_000_000)) + F.pmod(F.shiftright(hashed, 24), F.lit(1 << 20)) / float(1 << 20)) / 1e6
     wanted = F.lit(False)
-    for y, bound in drawn.items():
-        wanted |= (F.col("y") == y) & (draw < bound)
+    for y, share in shares.items():
+        wanted |= (F.col("y") == y) & (draw < share)
     sample = F.broadcast(known.where(wanted))  # two classes of sample_docs
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).where("t IS NOT NULL")
     rows = sorted((r["doc_id"], r["y"], r["t"]) for r in texts.join(sample, "doc_id").collect())
     weights = fit([r[2] for r in rows], [r[1] for r in rows])
     if len({r[1] for r in rows}) == 2:
-        weights.bias -= float(np.log(drawn[1] / drawn[0]))
+        weights.bias -= float(np.log(shares[1] / shares[0]))
     return weights
 
 
