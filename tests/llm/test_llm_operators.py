@@ -235,13 +235,74 @@ def test_sentencepiece(docs, texts):
     assert back == {i: t or "" for i, t in texts}
 
 
+def unigram_model(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    kinds = sentencepiece_model_pb2.ModelProto.SentencePiece.Type
+    for text, kind in (("<unk>", kinds.UNKNOWN), ("<s>", kinds.CONTROL), ("</s>", kinds.CONTROL)):
+        model.pieces.add(piece=text, score=0.0, type=kind)
+    r = __import__("random").Random(5)
+    found = {c for c in "abcd▁"} | {(r.choice(["", "▁"]) + "".join(r.choices("abcd", k=r.randint(2, 5)))) for _ in range(60)}
+    for text in sorted(found):
+        model.pieces.add(piece=text, score=-r.uniform(1, 4) * len(text) ** 0.7, type=kinds.NORMAL)
+    model.trainer_spec.model_type = 1
+    model.trainer_spec.vocab_size = len(model.pieces)
+    model.normalizer_spec.name = "identity"
+    model.normalizer_spec.add_dummy_prefix = True
+    model.normalizer_spec.escape_whitespaces = True
+    model.normalizer_spec.remove_extra_whitespaces = False
+    path = tmp_path / "unigram.model"
+    path.write_bytes(model.SerializeToString())
+    return str(path)
+
+
+def best_sum(pieces, text):
+    """The best sum of scores over all ways to cut ``text``, by trying all."""
+    if not text:
+        return 0.0
+    return max((pieces.scores[i] + best_sum(pieces, text[len(t) :]) for t, i in pieces.ids.items() if text.startswith(t)), default=-np.inf)
+
+
+def test_sentencepiece_unigram(tmp_path):
+    """Viterbi over the automaton finds the best cut, and the library's ids."""
+    import sentencepiece
+
+    path = unigram_model(tmp_path)
+    pieces, codec = sentencepiece_codec.Pieces(path), sentencepiece_codec.Codec(path)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    r = __import__("random").Random(6)
+    assert not pieces.bpe
+    for _ in range(200):
+        run = "▁" + "".join(r.choices("abcd", k=r.randint(1, 9)))
+        ids = pieces.best_path(run)
+        assert "".join(pieces.texts[i] for i in ids) == run
+        assert sum(pieces.scores[i] for i in ids) == pytest.approx(best_sum(pieces, run))
+        text = " ".join("".join(r.choices("abcd", k=r.randint(1, 9))) for _ in range(4))
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == library.encode(text)
+
+
+def test_sentencepiece_long_run():
+    """A long run without a blank, in the order of its merges."""
+    import time
+
+    import sentencepiece
+
+    path = sentencepiece_codec.default_model()
+    library, pieces = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.Pieces(path)
+    r = __import__("random").Random(7)
+    text = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=20_000))
+    began = time.time()
+    assert pieces.merged("▁" + text) == library.encode(text)
+    assert time.time() - began < 5
+
+
 def naive_bits(samples, order, language, text):
     """Code length by the definition, from counts of this language alone."""
     counts = [Counter() for _ in range(order + 1)]
     data = language_id.prepare(language_id.pa.array(samples[language]), order)[0].tobytes()
     for k in range(order + 1):
-        found = Counter(data[j - k : j + 1] for j in range(order, len(data)))
-        counts[k] = Counter({g: c for g, c in found.items() if k < 3 or c > 1})
+        counts[k] = Counter(data[j - k : j + 1] for j in range(order, len(data)))
     totals = [defaultdict(lambda: [0, 0]) for _ in range(order + 1)]
     for k in range(order + 1):
         for g, c in counts[k].items():
@@ -272,6 +333,43 @@ def test_ppm_code_lengths():
             assert row[column] == pytest.approx(naive_bits(samples, 4, language, text), rel=1e-4, abs=1e-3)
 
 
+def test_ppm_slices(monkeypatch):
+    """Slices change nothing, wherever a text begins or ends."""
+    model = language_id.Model.learn({"a": ["the cat sat on the mat"], "b": ["le chat est sur le tapis"]}, 4)
+    asked = language_id.pa.array(["the tapis", "", None, "zzz été 12" * 5, "le chat", "x"])
+    whole = model.bits(asked)
+    for size in (1, 3, 7, 16):
+        monkeypatch.setattr(language_id, "SLICE", size)
+        assert np.allclose(model.bits(asked), whole)
+
+
+def test_many_languages(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 6, f"l{k:03}") for k in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(table, F.lit(True))
+    assert len(model.languages) == 300
+    assert all(r["lang_pred"] == f"l{r['doc_id']:03}" for r in language_id.predict(table, model).collect())
+
+
+def test_predictions_with_odd_rows(spark, clashing, docs, texts, empty):
+    """Nulls, repeats, clashing columns and an empty table, for the two classifiers."""
+    from pyspark.sql import functions as F
+
+    odd = clashing.unionByName(clashing).unionByName(spark.createDataFrame([tuple([None] * len(clashing.columns))], clashing.schema))
+    model = language_id.learn(odd, F.lit(True))
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, toxic int")
+    weights = toxicity.learn(odd, labels, F.lit(True))
+    for name, got, none in (("lang_pred", language_id.predict(odd, model), language_id.predict(empty, model)), ("score", toxicity.score(odd, weights), toxicity.score(empty, weights))):
+        rows = got.collect()
+        assert len(rows) == odd.count() and none.count() == 0
+        by_id = defaultdict(set)
+        for r in rows:
+            by_id[r["doc_id"]].add(r[name])
+        assert all(len(x) == 1 and None not in x for x in by_id.values())
+
+
 def test_language_id(spark, docs, empty):
     from pyspark.sql import functions as F
 
@@ -304,6 +402,59 @@ def test_toxicity(spark, docs, empty):
     assert all(r["score"] < 1e-9 for r in toxicity.score(docs, toxicity.learn(empty, labels, F.lit(True))).collect())
 
 
+def naive_ftrl(texts, labels, bits, alpha=4.0, beta=1.0, l1=4.0, l2=0.02, rounds=6, seed=7):
+    """FTRL-proximal one coordinate at a time, on the same features in the same order."""
+    rows = []
+    for t in texts:
+        _, buckets = toxicity.features(toxicity.pa.array([t]), bits)
+        rows.append(sorted(set(buckets.tolist())))
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    share = sum(labels) / len(labels)
+    bias, bias_n = float(np.log(share / (1 - share))), 1.0
+    order, random = np.arange(len(rows)), np.random.default_rng(seed)
+    for _ in range(rounds):
+        random.shuffle(order)
+        for k in order.tolist():
+            w = {i: weight(i) for i in rows[k]}
+            g = 1 / (1 + np.exp(-min(35, max(-35, bias + sum(w.values()))))) - labels[k]
+            bias_n += g * g
+            bias -= 0.05 * g / bias_n**0.5
+            for i in rows[k]:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * w[i]
+                n[i] += g * g
+    return bias, {i: weight(i) for i in list(z) if weight(i)}
+
+
+def test_toxicity_weights():
+    r = __import__("random").Random(3)
+    vocabulary = [f"word{k}" for k in range(60)]
+    texts = [" ".join(r.choices(vocabulary, k=r.randint(1, 30))) + (" awful fool" if k % 4 == 0 else "") for k in range(400)]
+    labels = [int(k % 4 == 0) for k in range(400)]
+    found = toxicity.fit(texts, labels, bits=14)
+    bias, weights = naive_ftrl(texts, labels, 14)
+    assert found.bias == pytest.approx(bias)
+    assert dict(zip(found.buckets.tolist(), found.values.tolist(), strict=True)) == pytest.approx(weights)
+    assert 0 < len(weights) < 2000
+
+
+def test_toxicity_held_out(spark):
+    """Area under the curve on the documents that were not learned from."""
+    sf = "/root/testdata/sf0.1"
+    rows = registry.op3_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("toxic IS NOT NULL").collect()
+    scores, labels = np.array([r["score"] for r in rows]), np.array([r["toxic"] for r in rows])
+    rank = np.empty(len(rows))
+    rank[np.argsort(scores, kind="stable")] = np.arange(len(rows))
+    positive = labels == 1
+    area = (rank[positive].mean() - (positive.sum() - 1) / 2) / (~positive).sum()
+    assert positive.sum() > 100 and area > 0.95
+
+
 def test_toxicity_scores_do_not_depend_on_the_sample(spark):
     """Thinning the clean class alone leaves the score of a text without told features as it was."""
     from pyspark.sql import functions as F
