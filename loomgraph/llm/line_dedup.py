@@ -13,15 +13,17 @@ better one gives fewer candidates.  The join:
 
 * lines with equal sets are one; the first of them stands for all;
 * a match shares a token within the first ``n - ceil(0.8 n) + 1`` (prefix
-  filter), has similar size (length filter), has enough tokens left behind the
-  shared ones (positional filter), and few bits of its own in a bitmap of 128;
+  filter), has similar size (length filter), has enough tokens left from the
+  first shared one on (positional filter), and few bits of its own in a bitmap
+  of 128;
 * words that stand alone in the corpus have no partner and are left out;
 * a token of fewer than ``HOT`` occurrences is a key of its own, so a line meets
   fewer than ``HOT`` others there.  Where the first shared token is a more
   frequent one, a match shares a second one within one token more, as frequent
   or more; such pairs of tokens are the keys;
-* lines are first held against a few early lines of their two rarest tokens of
-  ``WARM`` or more occurrences, and the most similar of these is verified.  That
+* lines are first held against early lines of two tokens of ``WARM`` or more
+  occurrences (the first and the last in the prefix), and the most similar of
+  these are verified; then again for all tokens of ``CROWD`` or more.  That
   settles groups of like lines without pairing them; what is left meets all
   earlier lines.
 
@@ -46,8 +48,9 @@ from .shared import discard, plain, stored
 
 SPACES = "\t\x0b\x0c\r"  # white space inside a line besides the blank
 MOST_BUCKETS, BUCKET_TEXT = 1 << 24, 128  # counters, and bytes of text for each while there are fewer
-WARM, HOT = 64, 1024  # occurrences of tokens that get representatives, and that make keys in pairs only
-SALTS = 4  # representatives of a key
+WARM, HOT = 64, 4096  # occurrences of tokens that get representatives, and that make keys in pairs only
+SALTS, NEAREST = 16, 4  # representatives of a key, and how many of a line's are verified
+CROWD = 512  # occurrences of tokens that are asked again
 #: Bytes of keys that may be broadcast, at 32 a line; beyond it they are joined by shuffle.
 BROADCAST_BYTES, LINE_BYTES = 64 << 20, 32
 
@@ -140,7 +143,7 @@ def _bits(tokens: Column, half: int) -> Column:
 
 
 def _prefixed(docs: DataFrame, table: DataFrame, buckets: int, doc_id: str, text: str) -> DataFrame:
-    """doc, at, row, a, b (the set's hashes), n, bits0, bits1, and of the prefix with one token more: ends of its unique, its rare and its cold tokens, and the tokens behind the unique ones."""
+    """doc, at, row, a, b (the set's hashes), n, bits0, bits1, and of the prefix with one token more: ends of its unique, rare, thin and cold tokens, and the tokens behind the unique ones."""
 
     def below(count: int) -> Column:
         return F.size(F.filter("p", lambda x: x < (_rank(count) << 56)))
@@ -158,6 +161,7 @@ def _prefixed(docs: DataFrame, table: DataFrame, buckets: int, doc_id: str, text
         *[F.when(F.col("n") >= 4, _bits(F.col("s"), k)).alias(f"bits{k}") for k in (0, 1)],
         below(2).alias("unique"),
         below(WARM).alias("rare"),
+        below(CROWD).alias("thin"),
         below(HOT).alias("cold"),
         # Four bytes of a token do: a clash adds a candidate.
         F.transform(F.filter("p", lambda x: x >= (1 << 56)), lambda x: F.hash(x)).alias("tokens"),
@@ -210,6 +214,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, table: DataFrame, buckets: int,
     return both.where(9 * shared >= 4 * (F.size("s") + F.size("s0"))).select("doc", "at").distinct()
 
 
+def _nearest(open_: DataFrame, rows: DataFrame, seed: int) -> DataFrame:
+    """doc, at, doc0, at0: for each line of ``open_`` the most similar of some early lines that share a key with it in ``rows``."""
+    columns = ["doc", "at", "n", "bits0", "bits1"]
+    early = rows.groupBy("key", F.pmod(F.xxhash64("doc", "at", "key", F.lit(seed)), F.lit(SALTS)).alias("salt")).agg(F.min(F.struct(*columns)).alias("y"))
+    met = _sided(open_, "x").join(early.select("key", *[F.col(f"y.{c}").alias(f"y{c}") for c in columns]), "key").where(_alike() & _after("x", "y"))
+    near = F.slice(F.sort_array(F.collect_set(F.struct(_apart().alias("apart"), "ydoc", "yat"))), 1, NEAREST)  # of 2 * SALTS lines
+    best = met.groupBy(F.col("xdoc").alias("doc"), F.col("xat").alias("at")).agg(near.alias("y")).select("doc", "at", F.explode("y").alias("y"))
+    return best.select("doc", "at", F.col("y.ydoc").alias("doc0"), F.col("y.yat").alias("at0"))
+
+
 def later_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc and at (line number and 32 bits of the line) of each line that goes."""
     table, buckets = ranks(docs, doc_id, text)
@@ -218,22 +232,32 @@ def later_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     first = placed.groupBy("a", "b").agg(F.min(F.struct("doc", "at", "row")).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").select("a", "b", "first")
     again = stored(placed.select("doc", "at", "row", "a", "b").join(stored(first, "firsts"), ["a", "b"]).where("row <> first.row").select("doc", "at", "row", F.col("first.doc").alias("ydoc"), F.col("first.at").alias("yat")), "again")
     sets = placed.where("size(tokens) > 0").join(_broadcast(again.select("row")), "row", "left_anti")
-    # Against some early lines of the rarest frequent tokens.
+    # Against some early lines of frequent tokens.
     start = F.greatest(F.col("rare"), F.col("unique")) - F.col("unique")
-    warm = sets.where((F.size("tokens") > start) & (F.col("n") - _needed(F.col("n")) >= F.col("rare"))).select(F.explode(F.slice("tokens", start + 1, 2)).alias("key"), "doc", "at", "n", "bits0", "bits1")
-    early = warm.groupBy("key", F.pmod(F.xxhash64("doc", "at", "key"), F.lit(SALTS)).alias("salt")).agg(F.min(F.struct("doc", "at", "n", "bits0", "bits1")).alias("y"))
-    early = early.select("key", *[F.col(f"y.{c}").alias(f"y{c}") for c in ("doc", "at", "n", "bits0", "bits1")])
-    met = _sided(warm, "x").join(early, "key").where(_alike() & _after("x", "y"))
-    best = met.groupBy(F.col("xdoc").alias("doc"), F.col("xat").alias("at")).agg(F.min(F.struct(_apart().alias("apart"), "ydoc", "yat")).alias("y")).select("doc", "at", F.col("y.ydoc").alias("doc0"), F.col("y.yat").alias("at0"))
-    gone = stored(_verified(stored(best, "pairs"), docs, table, buckets, doc_id, text), "gone")
+    count = _prefix(F.col("n")) - F.col("unique") - start
+    ends = F.array_distinct(F.array(F.get("tokens", start), F.get("tokens", start + count - 1)))
+    warm = stored(sets.where(count > 0).select(F.explode(ends).alias("key"), "doc", "at", "n", "bits0", "bits1"), "warm")
+    gone = stored(_verified(stored(_nearest(warm, warm, 0), "pairs"), docs, table, buckets, doc_id, text), "gone")
+    # Again, for tokens of crowds and against other early lines, as long as that settles many.
+    first_thick = F.greatest(F.col("thin"), F.col("unique"))
+    thick = sets.where(_prefix(F.col("n")) > first_thick).select(F.explode(F.slice("tokens", first_thick - F.col("unique") + 1, _prefix(F.col("n")) - first_thick)).alias("key"), "doc", "at", "n", "bits0", "bits1")
+    among, seed = stored(thick, "thick"), 1
+    while True:
+        pairs = stored(_nearest(among.join(_broadcast(gone), ["doc", "at"], "left_anti"), among, seed), "pairs")
+        asked = pairs.select("doc", "at").distinct().count()
+        more = stored(_verified(pairs, docs, table, buckets, doc_id, text), "gone") if asked else pairs.select("doc", "at")
+        gone, seed = gone.unionByName(more), seed + 1
+        if more.count() * 10 < asked or not asked:
+            break
     # Lines that this leaves, against all earlier lines.  Both sides read one exchange: its input is a table, both use all columns, and no condition is on one side alone, as it would be moved below it.
     settled = _broadcast(gone).select("doc", "at", F.lit(0).alias("open"))
     columns = ["doc", "at", "n", "bits0", "bits1", "open"]
     sets = stored(sets.join(settled, ["doc", "at"], "left").select(*columns[:-1], F.coalesce("open", F.lit(1)).alias("open"), "unique", "cold", "tokens"), "sets")
     keyed = _keys(sets, columns)
     discard(placed)
-    bound = F.least("xi", "yi") + 1 + F.least(F.col("xn") - F.col("xi"), F.col("yn") - F.col("yi")) - 1
-    wanted = (F.col("xopen") + F.col("yopen") > F.col("yopen")) & _alike() & (9 * bound >= 4 * (F.col("xn") + F.col("yn"))) & _after("x", "y")
+    # A match is met at the first token that both have; what they share stands from there on.
+    rest = F.least(F.col("xn") - F.col("xi"), F.col("yn") - F.col("yi"))
+    wanted = (F.col("xopen") + F.col("yopen") > F.col("yopen")) & (9 * rest >= 4 * (F.col("xn") + F.col("yn"))) & _alike() & _after("x", "y")
     pairs = _sided(keyed, "x").join(_sided(keyed, "y"), "key").where(wanted).select(F.col("xdoc").alias("doc"), F.col("xat").alias("at"), F.col("ydoc").alias("doc0"), F.col("yat").alias("at0")).distinct()
     pairs = stored(pairs, "pairs")
     discard(sets)
