@@ -23,7 +23,7 @@ better one gives fewer candidates.  The join:
   or more; such pairs of tokens are the keys;
 * lines are first held against early lines of two tokens of ``WARM`` or more
   occurrences (the first and the last in the prefix), and the most similar of
-  these are verified; then again for all tokens of ``CROWD`` or more.  That
+  these are verified; then again for all tokens of crowds.  That
   settles groups of like lines without pairing them; what is left meets all
   earlier lines.
 
@@ -38,6 +38,7 @@ different lines of one number are taken for one line with a chance of 2^-32.
 from __future__ import annotations
 
 from functools import reduce
+from math import isqrt
 from operator import or_
 
 import numpy as np
@@ -50,7 +51,7 @@ SPACES = "\t\x0b\x0c\r"  # white space inside a line besides the blank
 MOST_BUCKETS, BUCKET_TEXT = 1 << 24, 128  # counters, and bytes of text for each while there are fewer
 WARM, HOT = 64, 4096  # occurrences of tokens that get representatives, and that make keys in pairs only
 SALTS, NEAREST = 16, 4  # representatives of a key, and how many of a line's are verified
-CROWD = 512  # occurrences of tokens that are asked again
+CROWD_TEXT = 512  # a token is a crowd's if it occurs as often as the root of the number of parts of so many bytes
 #: Bytes of keys that may be broadcast, at 32 a line; beyond it they are joined by shuffle.
 BROADCAST_BYTES, LINE_BYTES = 64 << 20, 32
 
@@ -95,8 +96,8 @@ def _bucket(hashed: Column, buckets: int) -> Column:
     return hashed.bitwiseAND(F.lit(buckets - 1)).cast("int")
 
 
-def ranks(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int]:
-    """One row with the rank of each bucket, eight in a long integer, and the number of buckets."""
+def ranks(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int, int]:
+    """One row with the rank of each bucket, eight in a long integer; the number of buckets; and the occurrences that make a crowd."""
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     buckets = min(MOST_BUCKETS, 1 << max(10, (size // BUCKET_TEXT).bit_length()))
     words = lines(docs, doc_id, text).select(F.explode(F.split("t", " ")).alias("w")).where("w <> ''")
@@ -108,7 +109,7 @@ def ranks(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int]:
         v = np.array(row["v"], np.int32)
         table[row["slice"] * 1024 + (v >> 7)] = v & 127
     found = docs.sparkSession.createDataFrame([(table.view("<i8").tolist(),)], "ranks array<bigint>", verifySchema=False)
-    return stored(found, "ranks"), buckets
+    return stored(found, "ranks"), buckets, max(WARM, isqrt(size // CROWD_TEXT))
 
 
 def token_sets(rows: DataFrame, table: DataFrame, buckets: int) -> DataFrame:
@@ -142,7 +143,7 @@ def _bits(tokens: Column, half: int) -> Column:
     return F.aggregate(tokens, F.lit(0).cast("bigint"), added)
 
 
-def _prefixed(docs: DataFrame, table: DataFrame, buckets: int, doc_id: str, text: str) -> DataFrame:
+def _prefixed(docs: DataFrame, table: DataFrame, buckets: int, crowd: int, doc_id: str, text: str) -> DataFrame:
     """doc, at, row, a, b (the set's hashes), n, bits0, bits1, and of the prefix with one token more: ends of its unique, rare, thin and cold tokens, and the tokens behind the unique ones."""
 
     def below(count: int) -> Column:
@@ -161,7 +162,7 @@ def _prefixed(docs: DataFrame, table: DataFrame, buckets: int, doc_id: str, text
         *[F.when(F.col("n") >= 4, _bits(F.col("s"), k)).alias(f"bits{k}") for k in (0, 1)],
         below(2).alias("unique"),
         below(WARM).alias("rare"),
-        below(CROWD).alias("thin"),
+        below(crowd).alias("thin"),
         below(HOT).alias("cold"),
         # Four bytes of a token do: a clash adds a candidate.
         F.transform(F.filter("p", lambda x: x >= (1 << 56)), lambda x: F.hash(x)).alias("tokens"),
@@ -226,8 +227,8 @@ def _nearest(open_: DataFrame, rows: DataFrame, seed: int) -> DataFrame:
 
 def later_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc and at (line number and 32 bits of the line) of each line that goes."""
-    table, buckets = ranks(docs, doc_id, text)
-    placed = stored(_prefixed(docs, table, buckets, doc_id, text), "prefixes")
+    table, buckets, crowd = ranks(docs, doc_id, text)
+    placed = stored(_prefixed(docs, table, buckets, crowd, doc_id, text), "prefixes")
     # Lines whose set an earlier line has; the others are one for each set.
     first = placed.groupBy("a", "b").agg(F.min(F.struct("doc", "at", "row")).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").select("a", "b", "first")
     again = stored(placed.select("doc", "at", "row", "a", "b").join(stored(first, "firsts"), ["a", "b"]).where("row <> first.row").select("doc", "at", "row", F.col("first.doc").alias("ydoc"), F.col("first.at").alias("yat")), "again")
