@@ -22,6 +22,12 @@ def hashed_embedding(text: Column, size: int = 64) -> Column:
     return F.transform(counts, lambda x: (x / norm).cast("float"))
 
 
+def letter_embedding(text: Column) -> Column:
+    """Counts of the 26 Latin letters; cheap enough to compare the sentences of whole texts."""
+    low = F.lower(text)
+    return F.transform(F.sequence(F.lit(97), F.lit(122)), lambda c: F.regexp_count(low, F.char(c)).cast("double"))
+
+
 def same_score(query: Column, text: Column, score: Column) -> Column:
     """Cross-encoder stand-in: the score stays."""
     return score

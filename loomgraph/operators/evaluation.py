@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.providers import call_model
+from ..functions.scores import answer_type, base_level, overall, retrieval_probability, status_of
+from .enrichment import judged_scores
+
 
 def metrics(runs: DataFrame, judged: DataFrame, ks: Sequence[int] = (1, 3, 5, 10, 20)) -> DataFrame:
     """query_id, k, recall, precision, mrr, ndcg.
@@ -32,3 +36,44 @@ def metrics(runs: DataFrame, judged: DataFrame, ks: Sequence[int] = (1, 3, 5, 10
 
 def averaged(per_query: DataFrame) -> DataFrame:
     return per_query.groupBy("k").agg(*[F.avg(c).alias(c) for c in ("recall", "precision", "mrr", "ndcg")], F.count(F.lit(1)).alias("n_queries"))
+
+
+def run_golden(golden: DataFrame, search: Callable[[DataFrame], DataFrame], most: int | None = None, ks: Sequence[int] = (1, 3, 5, 10, 20)) -> tuple[DataFrame, DataFrame]:
+    """Metrics by query and their means, of a batch search over golden queries (query, relevant_chunk_ids).
+
+    ``search`` takes (query_id, text) and gives (query_id, item_id, rank);
+    queries without a result are left out of the means.
+    """
+    asked = golden.withColumn("query_id", F.sha2("query", 256))
+    if most is not None:
+        asked = asked.orderBy("query_id").limit(most)
+    runs = search(asked.select("query_id", F.col("query").alias("text")))
+    judged = asked.select("query_id", F.explode("relevant_chunk_ids").alias("item_id"), F.lit(1.0).alias("relevance"))
+    each = metrics(runs, judged, ks)
+    return each, averaged(each)
+
+
+def judge(answers: DataFrame, generate: Callable[[list[str]], list[str]]) -> DataFrame:
+    """Judged answers: ``answers`` has question, expected, answer and url; adds answer_type, the four scores and overall."""
+    prompt = F.concat_ws("\n", F.lit("QUESTION"), "question", F.lit("EXPECTED"), "expected", F.lit("ANSWER"), "answer")
+    said = call_model(answers.withColumn("prompt", prompt).withColumnRenamed("answer", "given"), generate)
+    scored = said.withColumn("_s", judged_scores(F.col("answer"))).withColumn("answer_type", answer_type(F.col("given"), F.col("url")))
+    parts = [F.col(f"_s.{n}") for n in ("source_match", "key_info_match", "relevance", "no_contradiction")]
+    out = scored.select(*[F.col("given").alias("answer") if c == "answer" else F.col(c) for c in answers.columns], "answer_type", *[p.alias(n) for p, n in zip(parts, ("source_match", "key_info_match", "relevance", "no_contradiction"), strict=True)])
+    return out.withColumn("overall", overall(F.col("answer_type"), [F.col(n) for n in ("source_match", "key_info_match", "relevance", "no_contradiction")]))
+
+
+def summary(judged: DataFrame) -> DataFrame:
+    """One row: questions, mean scores, and the share of answers of 0.7 and more."""
+    names = ("source_match", "key_info_match", "relevance", "no_contradiction", "overall")
+    return judged.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in names], F.round(F.avg((F.col("overall") >= 0.7).cast("double")), 6).alias("good_share"))
+
+
+def by_answer_type(judged: DataFrame) -> DataFrame:
+    return judged.groupBy("answer_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("overall"), 6).alias("overall"))
+
+
+def activation_table(ages: DataFrame, decay: float = 0.5) -> DataFrame:
+    """Base level, retrieval probability and status for histories (id, history, now), to set thresholds by."""
+    level = base_level(F.col("history"), F.col("now"), decay)
+    return ages.select("id", level.alias("level"), retrieval_probability(level).alias("probability"), status_of(level).alias("status"))

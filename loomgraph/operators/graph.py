@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
@@ -30,31 +30,48 @@ def memories_for(concepts: DataFrame, memory_concept: DataFrame, memories: DataF
     return found if exclude is None else found.join(exclude, "id", "left_anti")
 
 
-def activate(seeds: DataFrame, relations: DataFrame, hops: int = 3, decay: float = 0.85, threshold: float = 0.15, rescale: float = 0.4, per_hop: int = 20, boost: float = 1.5) -> DataFrame:
-    """Spreading activation from ``seeds`` (id): id, activation, hop.
+def activate(seeds: DataFrame, relations: DataFrame, concepts: DataFrame | None = None, relevance: Column | None = None, hops: int = 3, decay: float = 0.85, threshold: float = 0.15, rescale: float = 0.4, per_hop: int = 20, boost: float = 1.5, fan_out: int = 50) -> DataFrame:
+    """Spreading activation from ``seeds`` (id): id, activation, hop, path.
 
+    A node passes activation on along its ``fan_out`` heaviest edges to active
+    ``concepts`` (all nodes, if none are given).  ``relevance`` over an edge's
+    columns weakens it, and under ``threshold`` closes it; null counts as 1.
     Within a hop incoming activation is summed and the ``per_hop`` strongest
     stay; across hops the larger value stays, and only nodes that grew go on.
+    The path is that of the strongest incoming edge, the smallest of equals.
     The frontier has at most ``per_hop`` rows after the first hop, so each hop
     is one join of the edges with a small table.
     """
     start = seeds.select("id")
-    reached = start.withColumn("activation", F.lit(1.0)).withColumn("hop", F.lit(0))
-    frontier = start.withColumn("activation", F.lit(1.0))
+    path = F.col("id").cast("string")
+    reached = start.select("id", F.lit(1.0).alias("activation"), F.lit(0).alias("hop"), path.alias("path"))
+    frontier = start.select("id", F.lit(1.0).alias("activation"), path.alias("path"))
     strong = F.col("is_universal") & F.col("is_semantic")
     for hop in range(1, hops + 1):
-        going = frontier.where(F.col("activation") >= threshold).select(F.col("id").alias("source_id"), F.col("activation").alias("carried"))
-        edges = relations.join(going, "source_id").join(start.select(F.col("id").alias("target_id")), "target_id", "left_anti")
-        moved = F.col("carried") * F.col("weight") * decay * rescale * F.when(strong, boost).otherwise(1.0)
-        arrived = edges.groupBy(F.col("target_id").alias("id")).agg(F.sum(moved).alias("fresh"))
+        going = frontier.where(F.col("activation") >= threshold)
+        edges = relations.join(going.select(F.col("id").alias("source_id")), "source_id", "left_semi") if concepts is None else neighbours(going, relations, concepts, fan_out)
+        edges = edges.join(start.select(F.col("id").alias("target_id")), "target_id", "left_anti")
+        edges = edges.join(going.select(F.col("id").alias("source_id"), F.col("activation").alias("carried"), F.col("path").alias("behind")), "source_id")
+        close = F.lit(1.0) if relevance is None else F.coalesce(relevance, F.lit(1.0))
+        moved = F.round(F.col("carried") * F.col("weight") * close * decay * rescale * F.when(strong, boost).otherwise(1.0), 12)
+        edges = edges.where(close >= threshold).withColumn("moved", moved)
+        arrived = edges.groupBy(F.col("target_id").alias("id")).agg(F.sum("moved").alias("fresh"), F.min_by("behind", F.struct(-F.col("moved"), "behind")).alias("behind"))
         arrived = arrived.orderBy(F.desc(F.round("fresh", 9)), F.asc("id")).limit(per_hop)
         grown = arrived.join(reached, "id", "left").where(F.col("activation").isNull() | (F.col("fresh") > F.col("activation")))
-        frontier = checkpointed(grown.select("id", F.col("fresh").alias("activation")))  # per_hop rows; later hops refer to it more than once
-        best = frontier.withColumn("hop", F.lit(hop))
+        frontier = checkpointed(grown.select("id", F.col("fresh").alias("activation"), F.concat_ws("-", "behind", path).alias("path")))  # per_hop rows; later hops refer to it more than once
+        best = frontier.select("id", "activation", F.lit(hop).alias("hop"), "path")
         reached = reached.join(best.select("id"), "id", "left_anti").unionByName(best)
     return reached
 
 
+def activate_from(query: list[float], vectors: DataFrame, relations: DataFrame, concepts: DataFrame, k: int = 5, **options: float) -> DataFrame:
+    """Activation from the ``k`` concepts whose vectors are nearest to a question's."""
+    from .search import nearest
+
+    asked = vectors.sparkSession.createDataFrame([(0, query)], "query_id int, embedding array<double>")
+    return activate(checkpointed(nearest(asked, vectors, k).select("id")), relations, concepts, **options)
+
+
 def both_ways(relations: DataFrame) -> DataFrame:
     return relations.select("source_id", "target_id").unionByName(relations.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))).distinct()
 
@@ -158,3 +175,84 @@ def co_activated(ids: Sequence[int] | DataFrame, relations: DataFrame) -> DataFr
     """Existing edges between any two of the given concepts."""
     nodes = ids if isinstance(ids, DataFrame) else relations.sparkSession.createDataFrame([(i,) for i in ids], "id bigint")
     return induced(relations, nodes)
+
+
+def merged_small(labels: DataFrame, positions: DataFrame, least: int = 20) -> DataFrame:
+    """id and cluster (numbered from 0 by size, then label): members of clusters under ``least`` go to the nearest centre of the others.
+
+    ``positions`` has id, x, y; without a cluster of that size all are one.
+    """
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    large = sizes.where(F.col("n") >= least)
+    kept = labels.join(large.select("label"), "label", "left_semi")
+    centers = kept.join(positions, "id").groupBy(F.col("label").alias("cluster")).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    moved = nearest_centroid(labels.join(large.select("label"), "label", "left_anti").join(positions, "id").select("id", "x", "y"), centers).withColumnRenamed("cluster", "label")
+    # As many rows as there are large clusters.
+    numbered = large.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "label"))).alias("all")).select(F.posexplode("all").alias("cluster", "c")).select("cluster", "c.label")
+    placed = kept.select("id", "label").unionByName(moved.select("id", "label"))
+    return labels.select("id").join(placed.join(F.broadcast(numbered), "label").select("id", "cluster"), "id", "left").select("id", F.coalesce("cluster", F.lit(0)).alias("cluster"))
+
+
+def layout(nodes: DataFrame, relations: DataFrame, rounds: int = 20, scale: float = 3000.0) -> DataFrame:
+    """id, x, y: nodes start on a circle by a hash of their ids and move towards the weighted mean of their neighbours.
+
+    Spring forces along edges without pairwise repulsion, so a round is one
+    join with the edges; a hash keeps nodes with the same neighbours apart.
+    """
+    angle = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003 * 2 * 3.141592653589793
+    at = nodes.select("id", (F.cos(angle) * scale).alias("x"), (F.sin(angle) * scale).alias("y"))
+    home = at.toDF("id", "hx", "hy")
+    edges = relations.select("source_id", "target_id", "weight").unionByName(relations.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "weight")).distinct()
+    for _ in range(rounds):
+        pulled = edges.join(at.toDF("target_id", "tx", "ty"), "target_id").groupBy(F.col("source_id").alias("id")).agg((F.sum(F.col("weight") * F.col("tx")) / F.sum("weight")).alias("px"), (F.sum(F.col("weight") * F.col("ty")) / F.sum("weight")).alias("py"))
+        at = checkpointed(home.join(pulled, "id", "left").select("id", F.round(0.3 * F.col("hx") + 0.7 * F.coalesce("px", "hx"), 6).alias("x"), F.round(0.3 * F.col("hy") + 0.7 * F.coalesce("py", "hy"), 6).alias("y")))
+    return at
+
+
+def orbits(positions: DataFrame, relations: DataFrame, min_degree: int = 50, size: float = 800.0) -> DataFrame:
+    """id, x, y, hub: other nodes circle their primary hub, at equal angles in order of their ids; a hub's radius grows with its degree."""
+    hubs = primary_hub(relations, min_degree)
+    degree = both_ways(relations).groupBy(F.col("source_id").alias("hub")).agg(F.count(F.lit(1)).alias("degree"))
+    around = Window.partitionBy("hub").orderBy("id")
+    placed = hubs.join(degree, "hub").withColumn("place", F.row_number().over(around)).join(hubs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")), "hub")
+    ring = F.floor((F.col("place") - 1) / 24)
+    angle = (F.col("place") - 1) / F.least(F.col("n"), F.lit(24)) * 2 * 3.141592653589793
+    radius = (2 + F.pow(F.log10(F.col("degree") + 1), 2) * 4) * size / 10 * (1 + ring)
+    centers = positions.toDF("hub", "hx", "hy")
+    moved = placed.join(centers, "hub").select("id", (F.col("hx") + radius * F.cos(angle)).alias("x"), (F.col("hy") + radius * F.sin(angle)).alias("y"), "hub")
+    rest = positions.join(moved.select("id"), "id", "left_anti").select("id", "x", "y", F.lit(None).cast(positions.schema["id"].dataType).alias("hub"))
+    return moved.unionByName(rest)
+
+
+def merge_report(concepts: DataFrame, relations: DataFrame, memory_concept: DataFrame, merged: DataFrame, possible: DataFrame) -> DataFrame:
+    """One row: concepts, merges, edges and links that they touch, and pairs left for review."""
+    ids = merged.where("id <> canonical").select("id")
+    touched = relations.join(ids.select(F.col("id").alias("source_id"), F.lit(True).alias("s")), "source_id", "left").join(ids.select(F.col("id").alias("target_id"), F.lit(True).alias("t")), "target_id", "left").where("s OR t")
+    links = memory_concept.join(ids.withColumnRenamed("id", "concept_id"), "concept_id", "left_semi")
+    counts = [concepts.agg(F.count(F.lit(1)).alias("concepts")), ids.agg(F.count(F.lit(1)).alias("merged")), touched.agg(F.count(F.lit(1)).alias("edges")), links.agg(F.count(F.lit(1)).alias("links")), possible.agg(F.count(F.lit(1)).alias("possible"))]
+    out = counts[0]
+    for row in counts[1:]:
+        out = out.join(F.broadcast(row))  # one row each
+    return out
+
+
+def super_nodes(relations: DataFrame, min_degree: int) -> DataFrame:
+    """id and degree of nodes with ``min_degree`` edges or more, whatever their direction."""
+    ends = relations.select(F.col("source_id").alias("id")).unionAll(relations.select(F.col("target_id").alias("id")))
+    return ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree")).where(F.col("degree") >= min_degree)
+
+
+def quality_report(concepts: DataFrame, relations: DataFrame) -> DataFrame:
+    """One row of structural metrics: nodes, edges, orphans and degrees."""
+    live = concepts.where(is_active(F.col("status"))).agg(F.count(F.lit(1)).alias("active"))
+    alone = orphans(concepts, relations).agg(F.count(F.lit(1)).alias("orphans"))
+    spread = degrees(concepts, relations).agg(F.count(F.lit(1)).alias("nodes"), F.round(F.avg("degree"), 6).alias("avg_degree"), F.max("degree").alias("max_degree"))
+    edges = relations.agg(F.count(F.lit(1)).alias("edges"))
+    return spread.join(F.broadcast(live)).join(F.broadcast(alone)).join(F.broadcast(edges))
+
+
+def report_text(row: Row, kinds: Sequence[Row], most: int = 10) -> str:
+    """A report of ``quality_report`` and the most frequent edge types (relation_type, n)."""
+    top = sorted(kinds, key=lambda r: (-r["n"], r["relation_type"]))[:most]
+    lines = [f"concepts: {row['nodes']} ({row['active']} active, {row['orphans']} orphans)", f"edges: {row['edges']}", f"degree: {row['avg_degree']} on average, {row['max_degree']} at most"]
+    return "\n".join([*lines, *(f"{r['relation_type']}: {r['n']}" for r in top)])

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import text as T
-from ..functions.similarity import string_similarity
-from ..operators import evaluation, graph, learning, ranking, retrieval, search
+from ..functions.providers import letter_embedding
+from ..operators import evaluation, graph, learning, ranking, resolver, retrieval, search
 from ..session import checkpointed
 from ..sources.derive import SQL, Graph
 from ..streaming import events as streams
@@ -24,8 +24,8 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 AS_OF = "1998-12-31 00:00:00"
+RETRIEVED_AT = "2001-08-02 00:00:00"
 EPISODES_AS_OF = "2024-01-20 00:00:00"
-STOPS = ("the", "of", "and", "to", "in", "is")
 SEEDS = "seeds AS (SELECT source_id AS id FROM relations GROUP BY source_id ORDER BY count(*) DESC, source_id LIMIT 3)"
 
 
@@ -284,10 +284,10 @@ def edge_quality(g: Graph) -> DataFrame:
 
 @query("""WITH a AS (SELECT user_id, count(*) FILTER (success_count > failure_count) AS n_successful, round(sum(success_count) / greatest(sum(success_count) + sum(failure_count), 1), 6) AS rate,
 round(avg(importance), 6) AS importance, count(DISTINCT domain) AS n_domains FROM episodes GROUP BY user_id)
-SELECT *, ((n_successful >= 3)::INT + (rate >= 0.85)::INT + (importance >= 7)::INT + (n_domains >= 2)::INT) >= 2 AS ripe FROM a""")
+SELECT *, ((n_successful >= 3)::INT + (rate >= 0.85)::INT + (importance >= 7)::INT + (n_domains >= 2)::INT) >= 3 AS ripe FROM a""")
 def consolidation_candidates(g: Graph) -> DataFrame:
     found = learning.consolidation(g.episodes(), "user_id")
-    return found.select("user_id", "n_successful", F.round("rate", 6).alias("rate"), F.round("importance", 6).alias("importance"), "n_domains", (F.col("met") >= 2).alias("ripe"))
+    return found.select("user_id", "n_successful", F.round("rate", 6).alias("rate"), F.round("importance", 6).alias("importance"), "n_domains", "ripe")
 
 
 @query(f"""WITH r AS (SELECT importance FROM episodes WHERE created_at > TIMESTAMP '{EPISODES_AS_OF}' - INTERVAL 24 HOUR AND created_at <= TIMESTAMP '{EPISODES_AS_OF}' ORDER BY created_at DESC, id LIMIT 100)
@@ -317,15 +317,16 @@ def merge_impact(g: Graph) -> DataFrame:
 
 # Ranking and fusion.
 
-LISTS = """lists AS (SELECT 'bm25' AS source, id, importance AS score FROM memories WHERE id % 3 = 0 UNION ALL SELECT 'graph', id, strength FROM memories WHERE id % 2 = 0
-UNION ALL SELECT 'path', id, confidence + importance FROM memories WHERE id % 5 = 0),
+LISTS = """lists AS (SELECT 'bm25' AS source, id, importance AS score FROM memories UNION ALL SELECT 'graph', id, strength FROM memories
+UNION ALL SELECT 'path', id, confidence + importance FROM memories WHERE memory_type <> 'fact'),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, id) AS rank FROM lists)"""
 
 
 def _lists(g: Graph) -> DataFrame:
+    """Three rankings of the memories; the last one knows no facts, so some memories miss from it."""
     m = g.memories()
-    parts = [("bm25", 3, F.col("importance")), ("graph", 2, F.col("strength")), ("path", 5, F.col("confidence") + F.col("importance"))]
-    frames = [m.where(F.col("id") % n == 0).select(F.lit(s).alias("source"), "id", c.alias("score")) for s, n, c in parts]
+    parts = [("bm25", F.col("importance"), m), ("graph", F.col("strength"), m), ("path", F.col("confidence") + F.col("importance"), m.where("memory_type <> 'fact'"))]
+    frames = [rows.select(F.lit(s).alias("source"), "id", c.alias("score")) for s, c, rows in parts]
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
@@ -350,11 +351,37 @@ def top_neighbours(g: Graph) -> DataFrame:
     return ranking.top_k(g.relations(), ["source_id"], [F.desc("weight"), F.asc("target_id")], 10).select("source_id", "target_id", "weight")
 
 
-@query("""WITH s AS (SELECT doc_id, idx, similarity, lag(similarity) OVER w AS b, lead(similarity) OVER w AS a FROM (SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS idx, (event_id * 37 % 100) / 100.0 AS similarity FROM events) WINDOW w AS (PARTITION BY doc_id ORDER BY idx))
-SELECT doc_id, idx::INT AS idx, similarity < 0.5 OR coalesce(similarity < 0.7 * (b + a) / 2, false) AS is_break FROM s""")
+SENTENCES = r"""t AS (SELECT doc_id, text, string_split(regexp_replace(regexp_replace({held}, '([.!?])\s+([A-ZА-ЯЁ0-9])', '\1' || chr(2) || '\2', 'g'), '\n\s*([-•*])', chr(10) || chr(2) || '\1', 'g'), chr(2)) AS parts FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, text, list_filter(list_transform(parts, lambda x: regexp_replace(replace(x, chr(1), '.'), '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS a,
+  list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS b FROM t),
+sent AS (SELECT doc_id, CASE WHEN len(a) > 1 THEN a WHEN len(b) > 0 THEN b ELSE [text] END AS s FROM p)"""
+_held = "text"
+for _short in sorted(T.ABBREVIATIONS, key=len, reverse=True):
+    _held = f"replace({_held}, '{_short}', '{_short.replace('.', chr(1))}')"
+SENTENCES = SENTENCES.replace("{held}", _held)
+LETTERS = "list_transform(range(97, 123), lambda c: (length(lower(x)) - length(replace(lower(x), chr(c::INT), '')))::DOUBLE)"
+BREAKS = SENTENCES + f""",
+e AS (SELECT doc_id, list_transform(s, lambda x: {LETTERS}) AS v FROM sent), i AS (SELECT doc_id, unnest(range(1, len(v))) AS i, v FROM e),
+sim AS (SELECT doc_id, i AS idx, round(coalesce(CASE WHEN list_sum(v[i]) > 0 AND list_sum(v[i + 1]) > 0 THEN list_cosine_similarity(v[i], v[i + 1]) END, 0), 9) AS similarity FROM i),
+br AS (SELECT doc_id, idx, similarity, similarity < 0.5 OR coalesce(similarity < 0.7 * (lag(similarity) OVER w + lead(similarity) OVER w) / 2, false) AS is_break FROM sim WINDOW w AS (PARTITION BY doc_id ORDER BY idx))"""
+
+
+def sentences_of(g: Graph) -> DataFrame:
+    """doc_id, idx (from 0) and sentence of each text."""
+    return g.table("documents").where("text IS NOT NULL").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("idx", "sentence"))
+
+
+def sentence_breaks(g: Graph) -> DataFrame:
+    """Similarity of each sentence but the first to the one before, by their letters, and whether it is a break."""
+    rows = sentences_of(g).withColumn("v", letter_embedding(F.col("sentence")))
+    before = F.lag("v").over(Window.partitionBy("doc_id").orderBy("idx"))
+    pairs = rows.withColumn("before", before).where("idx > 0").select("doc_id", "idx", F.round(F.coalesce(S.cosine(F.col("before"), F.col("v")), F.lit(0.0)), 9).alias("similarity"))
+    return ranking.semantic_breaks(pairs)
+
+
+@query(f"WITH {BREAKS} SELECT doc_id, idx::INT AS idx, is_break FROM br", graph_views=False)
 def semantic_breaks(g: Graph) -> DataFrame:
-    rows = g.table("events").select(F.col("user_id").alias("doc_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("idx"), (F.col("event_id") * 37 % 100 / 100.0).alias("similarity"))
-    return ranking.semantic_breaks(rows).select("doc_id", "idx", "is_break")
+    return sentence_breaks(g).select("doc_id", "idx", "is_break")
 
 
 @query("SELECT id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY importance DESC, id) AS n FROM memories) WHERE n = 1 ORDER BY importance DESC, id LIMIT 5")
@@ -373,22 +400,30 @@ def rerank_head(g: Graph) -> DataFrame:
 # Graph algorithms.
 
 
-def _hop(n: int) -> str:
+def _hop(n: int, close: str) -> str:
     """Common table expressions of one more hop of activation."""
     p = n - 1
-    return f"""f{n} AS (SELECT r.target_id AS id, sum(f.activation * r.weight * 0.85 * 0.4 * CASE WHEN r.is_universal AND r.is_semantic THEN 1.5 ELSE 1.0 END) AS fresh
-  FROM relations r JOIN g{p} f ON f.id = r.source_id WHERE f.activation >= 0.15 AND r.target_id NOT IN (SELECT id FROM seeds) GROUP BY 1 ORDER BY round(fresh, 9) DESC, id LIMIT 20),
-g{n} AS (SELECT f{n}.id, f{n}.fresh AS activation FROM f{n} LEFT JOIN b{p} b ON b.id = f{n}.id WHERE b.id IS NULL OR f{n}.fresh > b.activation),
-b{n} AS (SELECT id, activation, {n} AS hop FROM g{n} UNION ALL SELECT id, activation, hop FROM b{p} WHERE id NOT IN (SELECT id FROM g{n}))"""
+    return f"""n{n} AS (SELECT r.*, f.activation AS carried, f.path, row_number() OVER (PARTITION BY r.source_id ORDER BY r.weight DESC, r.target_id) AS k
+  FROM edges r JOIN g{p} f ON f.id = r.source_id AND f.activation >= 0.15 JOIN concepts c ON c.id = r.target_id WHERE c.status IS NULL OR c.status = 'active'),
+m{n} AS (SELECT target_id AS id, path, round(carried * weight * {close} * 0.85 * 0.4 * CASE WHEN is_universal AND is_semantic THEN 1.5 ELSE 1.0 END, 12) AS moved
+  FROM n{n} WHERE k <= 50 AND target_id NOT IN (SELECT id FROM seeds) AND {close} >= 0.15),
+f{n} AS (SELECT id, sum(moved) AS fresh, (array_agg(path ORDER BY moved DESC, path))[1] AS behind FROM m{n} GROUP BY 1 ORDER BY round(sum(moved), 9) DESC, id LIMIT 20),
+g{n} AS (SELECT f{n}.id, f{n}.fresh AS activation, behind || '-' || f{n}.id AS path FROM f{n} LEFT JOIN b{p} b ON b.id = f{n}.id WHERE b.id IS NULL OR f{n}.fresh > b.activation),
+b{n} AS (SELECT id, activation, {n} AS hop, path FROM g{n} UNION ALL SELECT id, activation, hop, path FROM b{p} WHERE id NOT IN (SELECT id FROM g{n}))"""
+
+
+def _hops(hops: int, edges: str = "SELECT * FROM relations", close: str = "1.0") -> str:
+    start = f"edges AS ({edges}), g0 AS (SELECT id, 1.0::DOUBLE AS activation, id::VARCHAR AS path FROM seeds), b0 AS (SELECT id, activation, 0 AS hop, path FROM g0)"
+    return ", ".join([start, *[_hop(n, close) for n in range(1, hops + 1)]])
 
 
-def _activation(hops: int) -> str:
-    start = f"WITH {SEEDS}, g0 AS (SELECT id, 1.0::DOUBLE AS activation FROM seeds), b0 AS (SELECT id, activation, 0 AS hop FROM g0)"
-    return ", ".join([start, *[_hop(n) for n in range(1, hops + 1)]]) + f" SELECT id, round(activation, 6) AS activation, hop FROM b{hops}"
+def _activation(hops: int, **options: str) -> str:
+    return f"WITH {SEEDS}, {_hops(hops, **options)} SELECT id, round(activation, 6) AS activation, hop, path FROM b{hops}"
 
 
 def _activated(g: Graph, hops: int) -> DataFrame:
-    return graph.activate(checkpointed(seeds(g)), checkpointed(g.relations()), hops=hops).select("id", F.round("activation", 6).alias("activation"), "hop")
+    found = graph.activate(checkpointed(seeds(g)), checkpointed(g.relations()), checkpointed(g.concepts()), hops=hops)
+    return found.select("id", F.round("activation", 6).alias("activation"), "hop", "path")
 
 
 @query(_activation(1))
@@ -401,6 +436,34 @@ def activation_3_hops(g: Graph) -> DataFrame:
     return _activated(g, 3)
 
 
+CLOSE = """SELECT r.*, round((1 + list_cosine_similarity(v.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0))) / 2, 9) AS close
+  FROM relations r JOIN embeddings v ON v.vec_id = (r.source_id + r.target_id) % 100"""
+
+
+@query(_activation(3, edges=CLOSE, close="close"))
+def activation_by_relevance(g: Graph) -> DataFrame:
+    """Edges carry embeddings, and those far from the question's pass less on."""
+    v = g.table("embeddings")
+    asked = v.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    near = v.where("vec_id < 100").join(F.broadcast(asked)).select("vec_id", F.round((1 + S.cosine(F.col("embedding"), F.col("q"))) / 2, 9).alias("close"))
+    edges = g.relations().withColumn("vec_id", (F.col("source_id") + F.col("target_id")) % 100).join(F.broadcast(near), "vec_id").drop("vec_id")  # 100 rows
+    found = graph.activate(checkpointed(seeds(g)), checkpointed(edges), checkpointed(g.concepts()), F.col("close"))
+    return found.select("id", F.round("activation", 6).alias("activation"), "hop", "path")
+
+
+QUESTION_VECTOR = "WITH qv AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0), cv AS (SELECT c.id, list_cosine_similarity(v.embedding::DOUBLE[], q.e) AS score FROM concepts c JOIN embeddings v ON v.vec_id = c.id % 200, qv q), seeds AS (SELECT id FROM cv ORDER BY round(score, 9) DESC, id LIMIT 5)"
+
+
+@query(f"{QUESTION_VECTOR}, {_hops(2)} SELECT id, round(activation, 6) AS activation, hop, path FROM b2")
+def activation_from_question(g: Graph) -> DataFrame:
+    """The concepts nearest to a question's vector are the seeds."""
+    v = g.table("embeddings")
+    asked = [float(x) for x in v.where("vec_id = 0").first()["embedding"]]
+    vectors = g.concepts().select("id", (F.col("id") % 200).alias("vec_id")).join(v.select("vec_id", "embedding"), "vec_id").select("id", "embedding")
+    found = graph.activate_from(asked, vectors, checkpointed(g.relations()), checkpointed(g.concepts()), hops=2)
+    return found.select("id", F.round("activation", 6).alias("activation"), "hop", "path")
+
+
 PATHS = "WITH " + SEEDS.replace("LIMIT 3", "LIMIT 12") + """, e AS (SELECT source_id AS a, target_id AS b FROM relations UNION SELECT target_id, source_id FROM relations),
 walk AS (SELECT id AS a, id AS tip, [id] AS path, 0 AS length FROM seeds UNION ALL SELECT w.a, e.b, list_append(w.path, e.b), w.length + 1 FROM walk w JOIN e ON e.a = w.tip WHERE w.length < 3 AND NOT list_contains(w.path, e.b))
 """
@@ -522,11 +585,10 @@ def calibrated(g: Graph) -> DataFrame:
 
 
 @query("""WITH n AS (SELECT DISTINCT name FROM concepts), p AS (SELECT a.name AS a, b.name AS b, round(jaro_winkler_similarity(a.name, b.name), 6) AS similarity FROM n a JOIN n b ON a.name < b.name)
-SELECT a, b, similarity, CASE WHEN similarity >= 0.95 THEN 'high' WHEN similarity >= 0.8 THEN 'medium' WHEN similarity >= 0.6 THEN 'low' ELSE 'none' END AS confidence FROM p WHERE left(a, 1) = left(b, 1)""")
+SELECT a, b, similarity, CASE WHEN similarity >= 0.95 THEN 'high' WHEN similarity >= 0.8 THEN 'medium' WHEN similarity >= 0.6 THEN 'low' ELSE 'none' END AS confidence FROM p WHERE similarity >= 0.8""")
 def similar_names(g: Graph) -> DataFrame:
-    names = g.concepts().select("name").distinct().withColumn("block", F.substring("name", 1, 1))
-    pairs = names.withColumnRenamed("name", "a").join(names.withColumnRenamed("name", "b"), "block").where("a < b")
-    scored = pairs.withColumn("similarity", F.round(string_similarity(F.col("a"), F.col("b")), 6))
+    names = g.concepts().select("name").distinct()
+    scored = resolver.alike(names.select(F.col("name").alias("a")), names.select(F.col("name").alias("b"))).where("a < b").withColumn("similarity", F.round("similarity", 6))
     return scored.select("a", "b", "similarity", S.match_confidence(F.col("similarity")).alias("confidence"))
 
 
@@ -553,14 +615,20 @@ def retrieval_metrics(g: Graph) -> DataFrame:
 
 # Text.
 
-QUALITY = """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents),
-c AS (SELECT doc_id, len(w) AS n, len(list_distinct(w)) AS d, len(list_filter(w, lambda x: x NOT IN ('the','of','and','to','in','is'))) AS k, len(list_distinct(list_filter(w, lambda x: x NOT IN ('the','of','and','to','in','is')))) AS kd FROM w)
+_stops = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+QUALITY = f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents),
+c AS (SELECT doc_id, len(w) AS n, len(list_distinct(w)) AS d, len(list_filter(w, lambda x: x NOT IN ({_stops}))) AS k, len(list_distinct(list_filter(w, lambda x: x NOT IN ({_stops})))) AS kd FROM w)
 SELECT doc_id, round(CASE WHEN n < 5 THEN 0.0 ELSE 0.2 * least(1.0, n / 20.0) * CASE WHEN n > 500 THEN 0.9 ELSE 1.0 END + 0.3 * CASE WHEN n < 50 THEN least(1.0, d / n * 1.2) ELSE d / n END + 0.25 * k / n + 0.25 * kd / n END, 6) AS quality FROM c"""
 
 
 @query(QUALITY, graph_views=False)
 def chunk_quality(g: Graph) -> DataFrame:
-    return g.table("documents").select("doc_id", F.round(T.chunk_quality(F.col("text"), STOPS), 6).alias("quality"))
+    return T.with_quality(g.table("documents").select("doc_id", "text"), "text").select("doc_id", F.round("quality", 6).alias("quality"))
+
+
+@query(f"SELECT doc_id FROM ({QUALITY}) WHERE quality >= 0.4", graph_views=False)
+def good_chunks(g: Graph) -> DataFrame:
+    return T.good_chunks(g.table("documents").select("doc_id", "text"), "text").select("doc_id")
 
 
 @query("SELECT doc_id, sha256(text) AS source_hash FROM documents", graph_views=False)
@@ -579,7 +647,7 @@ def page_hosts(g: Graph) -> DataFrame:
     return g.table("pages").select("page_id", F.char_length("html").cast("bigint").alias("n_html"), F.regexp_extract("url", "^([a-z]+)://", 1).alias("scheme"), F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '([^\\s]) {2,}', '\\1 ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g') AS text FROM documents WHERE text NOT LIKE '% ' || chr(10) || '%' AND text NOT LIKE '% '", graph_views=False)
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '([^\s]) {2,}', '\1 ', 'g'), '[ \t]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS text FROM documents""", graph_views=False)
 def clean_whitespace(g: Graph) -> DataFrame:
     return g.table("documents").select("doc_id", T.normalize_whitespace(F.col("text")).alias("text"))
 
@@ -605,18 +673,60 @@ def feedback_counters(g: Graph) -> DataFrame:
     return streams.feedback_counters(g.table("events"))
 
 
-# The flagship: one retrieval from seeds to ranked memories.
+# The flagship: one retrieval from a question to ranked memories.
+
+QUESTION = "q AS (SELECT 'urgent order ' || (SELECT string_agg(id::VARCHAR, ' ' ORDER BY id) FROM seeds) AS text)"
+WORDS_LIST = """toks AS (SELECT id, unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}_]+')) AS token FROM memories), dl AS (SELECT id, count(*) AS dl FROM toks GROUP BY 1), st AS (SELECT (SELECT count(*) FROM memories) AS n, sum(dl) / (SELECT count(*) FROM memories) AS avgdl FROM dl),
+post AS (SELECT token, id, count(*) AS tf FROM toks GROUP BY 1, 2), df AS (SELECT token, count(*) AS df FROM post GROUP BY 1), qt AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS token FROM q),
+bm AS (SELECT post.id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) AS score FROM qt JOIN post USING (token) JOIN df USING (token) JOIN dl ON dl.id = post.id, st GROUP BY 1),
+by_words AS (SELECT bm.id, score FROM bm JOIN memories m ON m.id = bm.id WHERE status IN ('active', 'deprioritized') ORDER BY score DESC, bm.id LIMIT 50)"""
+VECTOR_LIST = """vs AS (SELECT m.id, round(list_cosine_similarity(v.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 9) AS score FROM memories m JOIN embeddings v ON v.vec_id = m.id % 200 WHERE status IN ('active', 'deprioritized')),
+by_vector AS (SELECT id, score FROM vs ORDER BY score DESC, id LIMIT 50)"""
+GRAPH_LIST = """ac AS (SELECT id, activation FROM b3), gm AS (SELECT m.id, m.importance, count(*) AS links FROM memories m JOIN memory_concept k ON k.memory_id = m.id WHERE k.concept_id IN (SELECT id FROM ac WHERE activation >= 0.15) AND status IN ('active', 'deprioritized') GROUP BY 1, 2 ORDER BY links DESC, importance DESC, id LIMIT 200),
+by_graph AS (SELECT gm.id, round(sum(activation), 9) AS score FROM gm JOIN memory_concept k ON k.memory_id = gm.id JOIN ac ON ac.id = k.concept_id GROUP BY 1)"""
+PATH_LIST = """e2 AS (SELECT source_id AS a, target_id AS b FROM relations UNION SELECT target_id, source_id FROM relations),
+w1 AS (SELECT s.id AS a, e.b AS tip, [s.id, e.b] AS path FROM seeds s JOIN e2 e ON e.a = s.id),
+w2 AS (SELECT w.a, e.b AS tip, min(list_append(w.path, e.b)) AS path FROM w1 w JOIN e2 e ON e.a = w.tip WHERE NOT list_contains(w.path, e.b) GROUP BY 1, 2),
+w3 AS (SELECT w.a, e.b AS tip, min(list_append(w.path, e.b)) AS path FROM w2 w JOIN e2 e ON e.a = w.tip WHERE NOT list_contains(w.path, e.b) GROUP BY 1, 2),
+ways AS (SELECT a, tip, path, row_number() OVER (PARTITION BY a, tip ORDER BY len(path)) AS n FROM (SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3) WHERE a < tip AND tip IN (SELECT id FROM seeds)),
+between_ AS (SELECT DISTINCT unnest(path) AS id FROM ways WHERE n = 1), mid AS (SELECT id FROM between_ WHERE id NOT IN (SELECT id FROM seeds)),
+sh AS (SELECT m.id, m.importance, count(*) AS links FROM memories m JOIN memory_concept k ON k.memory_id = m.id WHERE k.concept_id IN (SELECT id FROM seeds) AND status IN ('active', 'deprioritized') GROUP BY 1, 2 HAVING count(*) >= 2 ORDER BY links DESC, importance DESC, id LIMIT 50),
+pm AS (SELECT m.id, m.importance, count(*) AS links FROM memories m JOIN memory_concept k ON k.memory_id = m.id WHERE k.concept_id IN (SELECT id FROM mid) AND status IN ('active', 'deprioritized') AND m.id NOT IN (SELECT id FROM sh) GROUP BY 1, 2 ORDER BY importance DESC, id LIMIT 50),
+by_path AS (SELECT id, round((links / (SELECT count(*) FROM seeds) * 0.6 + importance / 10 * 0.4) * (1 + (links - 1) * 0.5), 9) AS score FROM sh UNION ALL SELECT id, round(importance / 10 * (1 + (links - 1) * 0.3) * 0.7, 9) FROM pm)"""
+FUSED = f"""al AS (SELECT 'bm25' AS source, * FROM by_words UNION ALL SELECT 'graph', * FROM by_graph UNION ALL SELECT 'path', * FROM by_path UNION ALL SELECT 'vector', * FROM by_vector),
+rk AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, id) AS rank FROM al),
+fu AS (SELECT id, sum(CASE source WHEN 'bm25' THEN 0.25 WHEN 'vector' THEN 0.25 WHEN 'graph' THEN 0.2 ELSE 0.3 END / (60 + rank)) AS fused, string_agg(source, '+' ORDER BY source) AS sources FROM rk GROUP BY 1),
+ba AS (SELECT fu.id, sources, fused, 0.2 * pow(0.995, (epoch_us(TIMESTAMP '{RETRIEVED_AT}') - epoch_us(last_accessed::TIMESTAMP)) / 3.6e9) + 0.3 * importance / 10 + 0.5 * fused * 10 AS base FROM fu JOIN memories m ON m.id = fu.id)"""
+RETRIEVE = f"WITH {SEEDS}, {_hops(3)}, {QUESTION}, {WORDS_LIST}, {VECTOR_LIST}, {GRAPH_LIST}, {PATH_LIST}, {FUSED}"
+RETRIEVED = RETRIEVE + " SELECT id, sources, round(fused, 6) AS fused, round(base * 0.8 + base * 1.0 * 0.2, 6) AS score FROM ba ORDER BY score DESC, id LIMIT 20"
+
+
+def memory_vectors(g: Graph) -> DataFrame:
+    return g.memories().select("id", (F.col("id") % 200).alias("vec_id")).join(g.table("embeddings").select("vec_id", "embedding"), "vec_id").select("id", "embedding")
+
+
+def all_lists(g: Graph) -> dict[str, DataFrame]:
+    """BM25, vector, graph and path list of one question about the seeds."""
+    top, relations = checkpointed(seeds(g)), checkpointed(g.relations())
+    concepts, links, memories = checkpointed(g.concepts()), g.memory_concept(), g.memories()
+    asked = top.agg(F.concat(F.lit("urgent order "), F.array_join(F.sort_array(F.collect_list("id")).cast("array<string>"), " ")).alias("text")).select(F.lit(0).alias("query_id"), "text")
+    vector = g.table("embeddings").where("vec_id = 0").select(F.lit(0).alias("query_id"), "embedding")
+    return {
+        "bm25": retrieval.bm25_list(search.Bm25Index(memories), asked, memories),
+        "vector": retrieval.vector_list(memory_vectors(g), vector, memories),
+        "graph": retrieval.graph_list(top, relations, links, memories, concepts=concepts),
+        "path": retrieval.path_result(top, relations, concepts, links, memories)[0],
+    }
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = Graph(spark, sf_dir)
-    top = checkpointed(seeds(g))
-    relations = checkpointed(g.relations())
-    by_graph = retrieval.graph_list(top, relations, g.memory_concept(), g.memories())
-    by_path = retrieval.path_list(top, relations, g.memory_concept(), g.memories())
-    return retrieval.retrieve(by_graph.unionByName(by_path), g.memories(), now(), 20)
+    lists = None
+    for rows in all_lists(g).values():
+        lists = rows if lists is None else lists.unionByName(rows)
+    return retrieval.retrieve(lists, g.memories(), now(RETRIEVED_AT), 20)
 
 
-@query()
+@query(RETRIEVED)
 def retrieve_bm25_graph(g: Graph) -> DataFrame:
     return flagship(g.spark, g.dir)

@@ -1,7 +1,9 @@
 """The graph as versioned Parquet tables.
 
-Parquet has no MERGE, so a write makes a new version of a table and then moves
-a small pointer; readers of the old version are not disturbed.
+Parquet has no MERGE, so a write makes a new version of a table and then adds a
+small pointer file with the next number; the pointer of the highest number
+counts.  A pointer is written under another name and renamed, so a reader sees
+it whole or not at all, and a crash before that leaves the table as it was.
 """
 
 from __future__ import annotations
@@ -15,11 +17,10 @@ from ..schema import KEYS, TABLES, conform, schema_of
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """One row for each key: the last by ``order`` (by input order, if none is named)."""
-    by = F.col(order) if order else F.monotonically_increasing_id()
-    numbered = rows.withColumn("_at", by)
-    newest = Window.partitionBy(*keys).orderBy(F.desc("_at"))
-    return numbered.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").drop("_at", "_rank")
+    """One row for each key: the last by ``order``; without one, the greatest by all other columns, as rows have no order of their own."""
+    others = [c for c in rows.columns if c not in keys and not rows.schema[c].dataType.typeName() == "map"]
+    newest = Window.partitionBy(*keys).orderBy(*([F.desc_nulls_last(order)] if order else []), *[F.desc_nulls_last(c) for c in others or keys])
+    return rows.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").drop("_rank")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -45,8 +46,14 @@ class GraphStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointer(self, table: str) -> str:
-        return f"{self.root}/{table}/_current"
+    def _files(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _pointers(self, table: str) -> list[str]:
+        """Names number-version of all pointers, in order."""
+        at, files = self._files(f"{self.root}/{table}/_pointers")
+        return sorted(x.getPath().getName() for x in files.listStatus(at) if not x.getPath().getName().startswith((".", "_"))) if files.exists(at) else []
 
     def setup(self) -> None:
         """Empty tables where there are none."""
@@ -55,11 +62,10 @@ class GraphStore:
                 self.write(table, self.spark.createDataFrame([], schema_of(table)))
 
     def exists(self, table: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._pointer(table))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return bool(self._pointers(table))
 
     def version(self, table: str) -> str:
-        return self.spark.read.text(self._pointer(table)).first()[0]
+        return self._pointers(table)[-1].partition("-")[2]
 
     def read(self, table: str, version: str | None = None) -> DataFrame:
         if not self.exists(table):
@@ -73,7 +79,16 @@ class GraphStore:
         return version
 
     def _point(self, table: str, version: str) -> None:
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(self._pointer(table))
+        """The file's name is the pointer.  Of two writers that take one number the second fails."""
+        found = self._pointers(table)
+        number = int(found[-1].partition("-")[0]) + 1 if found else 0
+        at, files = self._files(f"{self.root}/{table}/_pointers/_{uuid.uuid4().hex}")
+        files.create(at).close()
+        taken = [x for x in self._pointers(table) if int(x.partition("-")[0]) == number]
+        to, _ = self._files(f"{self.root}/{table}/_pointers/{number:012}-{version}")
+        if taken or not files.rename(at, to):
+            files.delete(at, False)
+            raise RuntimeError(f"another writer has moved {table}")
 
     def save(self, table: str, rows: DataFrame) -> str:
         """Upsert of nodes or edges; edges with a missing end are left out, as with a match on both ends."""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.streaming import StreamingQuery
 
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
@@ -47,3 +49,23 @@ def drain(stream: DataFrame, checkpoint: str, apply: Callable[[DataFrame, int],
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start()
     query.awaitTermination()
     return query
+
+
+def access_history(accesses: DataFrame, keep: int = 100) -> DataFrame:
+    """id and its last ``keep`` access times in order, of (id, ts); on a stream the state is the list, and every batch gives the changed ids."""
+    if not accesses.isStreaming:
+        newest = Window.partitionBy("id").orderBy(F.desc("ts"))
+        kept = accesses.select("id", "ts").distinct().withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= keep)
+        return kept.groupBy("id").agg(F.array_sort(F.collect_list("ts")).alias("history"))
+    kind = accesses.schema["id"].dataType.simpleString()
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen = set(state.get[0]) if state.exists else set()
+        for frame in frames:
+            seen |= {int(t.value // 1000) for t in frame["ts"]}
+        last = sorted(seen)[-keep:]
+        state.update((last,))
+        yield pd.DataFrame({"id": [key[0]], "history": [last]})
+
+    changed = accesses.select("id", "ts").groupBy("id").applyInPandasWithState(update, f"id {kind}, history array<bigint>", "history array<bigint>", "update", "NoTimeout")
+    return changed.select("id", F.transform("history", lambda t: F.timestamp_micros(t)).alias("history"))

@@ -187,15 +187,17 @@ def test_clean_whitespace_keeps_every_document(spark, tmp_path):
 
 
 def test_structure(spark):
-    body = "# Rates\n\n| Name | Price | Free |\n|---|---|---|\n| A | 1 | да |\n| B | 2 | |\n\ntext\n\n1. one\n2. two\n   more\n4. four\n8. gone\n\n- [ ] x\n- [x] y\n"
+    body = "# Rates\n\n| Name | Price | Free |\n|---|---|---|\n| A | 1 | да |\n| B | 2 | |\n\ntext\n\n1. one\n2. two\n    more\n4. four\n8. gone\n\n- [ ] x\n- [x] y\n"
     found = structure.find_tables(body)
     assert (found[0].title, found[0].headers, found[0].rows) == ("Rates", ["Name", "Price", "Free"], [["A", "1", "да"], ["B", "2", ""]])
-    assert found[0].row_texts()[0] == "A — Price: 1, Free: да" and "[ТАБЛИЦА]" in structure.without_tables(body)
-    assert [(x.kind, x.items) for x in structure.find_lists(body)] == [("numbered", ["one", "two more", "four"]), ("checklist", ["x", "y"])]
+    assert "[ТАБЛИЦА]" in structure.without_tables(body) and structure.without_lists(body).count("[СПИСОК]") == 2
+    assert [(x.kind, x.items) for x in structure.find_lists(body)] == [("numbered", ["one", "two", "four"]), ("checklist", ["x", "y"])]
     chunks = structure.char_chunks("\n\n".join("p" * 900 for _ in range(4)))
     assert len(chunks) == 3 and all(len(c) <= 2200 for c, _, _ in chunks)
     docs = spark.createDataFrame([(1, body), (2, None), (3, "")], "doc_id long, text string")
     assert structure.tables(docs).count() == 1 and structure.lists(docs).count() == 2 and structure.table_memories(structure.tables(docs)).count() == 3
+    shown = structure.with_renderings(structure.tables(docs)).first()
+    assert shown["row_texts"] == ["A — Price: 1, Free: да", "B — Price: 2"] and shown["column_texts"] == ["Price: A: 1, B: 2", "Free: A: да"]
 
 
 def test_protocol(spark):
@@ -221,6 +223,9 @@ def test_store(spark, tmp_path):
     assert store.read("concepts").count() == 0
     store.rollback(before)
     assert {r["name"] for r in store.get("concepts", ["b"]).collect()} == {"y"}
+    store._point("concepts", before["concepts"])
+    (tmp_path / "g/concepts/_pointers/_half-written").write_text("x")
+    assert store.version("concepts") == before["concepts"]
 
 
 def test_upsert_keeps_other_columns(spark):
