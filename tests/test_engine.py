@@ -18,12 +18,12 @@ MEMORY|short|fact|1|x
 PERSON|Иван Петров|тимлид|core"""
 
 
-def answers(prompts):
-    return [f"answer to {p.splitlines()[-1]}\nСТРАТЕГИЯ: Look up — ask the graph" for p in prompts]
-
-
 @pytest.fixture(scope="module")
 def engine(spark, tmp_path_factory):
+    # Inside, so that it is pickled by value: the workers cannot import this module.
+    def answers(prompts):
+        return [f"answer to {p.splitlines()[-1]}\nСТРАТЕГИЯ: Look up — ask the graph" for p in prompts]
+
     made = Engine(spark, f"file://{tmp_path_factory.mktemp('engine')}/g", answers)
     docs = spark.createDataFrame([("d1", "text"), ("d2", "# T\n\n| a | b |\n|---|---|\n| one thing | two |\n")], "doc_id string, text string")
     counts = made.ingest(docs, spark.createDataFrame([("d1", RAW)], "id string, raw string"))
