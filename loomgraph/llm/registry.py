@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import embedding_dedup, language_id, line_dedup, ngram_join, oracles, packing, quality_rules, sentencepiece_codec, substring_dedup, suffix_dedup, toxicity
+from . import decontamination, divergence, embedding_dedup, fill_in_middle, language_id, line_dedup, ngram_join, oracles, packing, quality_rules, sentencepiece_codec, substring_dedup, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,20 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.transform(_table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    n_items, digest = F.size("items").cast("long"), F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", n_items.alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -82,9 +96,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_ngram_join": op10_ngram_join,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_decontamination": op12_decontamination,
+    "op13_source_divergence": op13_source_divergence,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = oracles.ORACLES | {
     "op7_quality_rules": f"WITH {quality_rules.oracle_cte()} SELECT {', '.join(_OP7)} FROM q_rules",
+    "op11_fill_in_middle": fill_in_middle.ORACLE,
+    "op12_decontamination": decontamination.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }
