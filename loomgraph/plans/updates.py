@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import text as T
 from ..functions.similarity import string_similarity
-from ..operators import enrichment, evaluation, graph, ingestion, learning, ranking, reasoning, resolver, retrieval, search, structure
-from ..session import checkpointed
+from ..operators import communities, enrichment, evaluation, graph, ingestion, learning, ranking, reasoning, resolver, retrieval, search, structure
+from ..session import checkpointed, written
 from ..sources import readers, store
 from ..sources.derive import Graph
 from ..streaming import events as streams
@@ -542,3 +542,34 @@ def map_stats(g: Graph) -> DataFrame:
 def concept_union(g: Graph) -> DataFrame:
     rows = g.episodes().join(g.episode_concept().withColumnRenamed("episode_id", "id"), "id")
     return rows.groupBy("user_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("concept_id")), 1, 10).cast("array<string>"), "|").alias("concepts"))
+
+
+# Communities.
+
+LINKED = "e AS (SELECT DISTINCT source_id AS a, target_id AS b FROM relations)"
+
+
+@query(f"""WITH {LINKED}, k AS (SELECT a AS id, count(*) AS k FROM e GROUP BY a), m AS (SELECT sum(k) AS m FROM k),
+g AS (SELECT e.a AS id, e.b AS target, m - x.k * (y.k - x.k + x.k) AS gain FROM e JOIN k x ON x.id = e.a JOIN k y ON y.id = e.b, m)
+SELECT id, target, gain::BIGINT AS gain FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY gain DESC, target) AS r FROM g WHERE gain > 0) WHERE r = 1""")
+def first_moves(g: Graph) -> DataFrame:
+    """The best move of every node out of a community of its own."""
+    edges = written(communities.adjacency(g.relations()))
+    alone = edges.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")).withColumn("label", F.col("id"))
+    moves = communities.candidates(edges, alone, edges.agg(F.sum("w")).first()[0])
+    return moves.select("id", "target", F.col("gain").cast("long").alias("gain"))
+
+
+@query(f"""WITH {LINKED}, w AS (SELECT x.cluster AS c, y.cluster AS d FROM e JOIN concepts x ON x.id = e.a JOIN concepts y ON y.id = e.b),
+t AS (SELECT c, sum((c = d)::INT) AS i, count(*) AS t FROM w GROUP BY c), s AS (SELECT sum(t)::DOUBLE AS s FROM t)
+SELECT (SELECT count(DISTINCT cluster) FROM concepts) AS communities, round(sum(i) / s - sum((t / s) * (t / s)), 9) AS modularity FROM t, s GROUP BY s""")
+def cluster_modularity(g: Graph) -> DataFrame:
+    return communities.modularity(g.concepts().select("id", F.col("cluster").alias("label")), written(communities.adjacency(g.relations())))
+
+
+@query()
+def louvain_clusters(g: Graph) -> DataFrame:
+    """Communities of all concepts; small ones join the nearest larger one on the map."""
+    nodes = g.concepts().select("id", F.col("layout_x").alias("x"), F.col("layout_y").alias("y"))
+    labels = written(communities.louvain(nodes, communities.adjacency(g.relations(), nodes), rounds=6, levels=4))
+    return labels.join(communities.clusters(labels, nodes), "id")
