@@ -7,12 +7,15 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.providers import call_model
 from .functions.text import dynamic_top_k
 from .operators import graph, learning, ranking, reasoning, resolver, retrieval
 from .operators.enrichment import memory_context
-from .operators.ingestion import ingest
+from .operators.ingestion import document_rows, ingest, processed
 from .operators.search import Bm25Index
-from .session import checkpointed
+from .schema import KEYS
+from .session import checkpointed, written
+from .sources.readers import directory
 from .sources.store import GraphStore
 
 INSTRUCTION = "Ответь на вопрос по этим воспоминаниям."
@@ -27,14 +30,24 @@ class Engine:
         self.store.setup()
 
     def ingest(self, docs: DataFrame, raw: DataFrame) -> dict[str, int]:
-        """Save what extraction found in documents; rows by table."""
-        found = ingest(docs, raw, self.store.read("concepts"))
-        counts = {}
-        for table in ("concepts", "relations", "memories", "memory_concept", "memory_document"):
-            rows = checkpointed(found[table].withColumnRenamed("doc_id", "_doc").withColumnRenamed("_doc", "doc_id"))
-            counts[table] = rows.count()
-            self.store.save(table, rows)
-        return counts
+        """Save documents (doc_id, text [, title, doc_type, source_path]) with what extraction found in them (id, raw), in one commit; rows in store by table."""
+        own = self.store.begin()
+        docs = written(docs.dropDuplicates(["doc_id"]), "docs")
+        found = ingest(docs, raw, own.read("concepts"))
+        rows = {t: written(found[t], t) for t in ("concepts", "relations", "memories", "memory_concept", "memory_document")}
+        documents = written(processed(document_rows(docs), rows["memory_document"], rows["memory_concept"], F.current_timestamp()), "documents")
+        rows = {"documents": documents} | rows
+        for table, part in rows.items():
+            own.save(table, part)
+        number = own.commit()
+        # What is in the store, not what was offered: links without both ends are not saved.
+        return {table: self.store.read(table, number).join(part.select(*KEYS[table]).distinct(), KEYS[table], "left_semi").count() for table, part in rows.items()}
+
+    def ingest_directory(self, path: str, extract: Callable[[list[str]], list[str]], glob: str = "*.{md,txt,markdown}") -> dict[str, int]:
+        """Ingest all documents below ``path``; ``extract`` (picklable) answers batches of texts in the line protocol."""
+        docs = written(directory(self.spark, path, glob).select(F.col("id").alias("doc_id"), F.col("content").alias("text"), "title", "doc_type", "source_path", "source_hash"), "read")
+        raw = call_model(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("prompt")), extract).select("id", F.col("answer").alias("raw"))
+        return self.ingest(docs, written(raw, "raw"))
 
     def retrieve(self, question: str, names: Sequence[str], k: int | None = None) -> DataFrame:
         """Memories for a question whose concept names are known: BM25, graph and path lists, fused; id, sources, fused, score, place."""
@@ -69,8 +82,11 @@ class Engine:
         used = rows.groupBy("query_id").agg(F.array_sort(F.collect_set("id")).alias("ids"))
         active = activated.groupBy(F.lit(0).alias("query_id")).agg(F.array_sort(F.collect_set("id")).alias("ids"))
         answers, episodes = reasoning.reason(asked, memory_context(rows, "query_id"), active, used, estimates, self.generate, F.current_timestamp(), INSTRUCTION)
-        self.store.save("episodes", checkpointed(episodes))
-        self.store.save("memories", checkpointed(learning.touch_memories(memories, found.select("id"), F.current_timestamp())))
+        own = self.store.begin()
+        own.save("episodes", written(episodes, "episodes"))
+        used = own.read("memories").join(found.select("id"), "id", "left_semi")
+        own.save("memories", written(learning.touch_memories(used, found.select("id"), F.current_timestamp()), "touched"))
+        own.commit()
         return answers.first()["answer"]
 
     def feedback(self, episode_id: str, kind: str, correction: str | None = None) -> None:
@@ -81,8 +97,10 @@ class Engine:
         used = own.select(F.col("id").alias("episode_id"), F.explode("memories_used").alias("memory_id"))
         active = own.select(F.col("id").alias("episode_id"), F.explode("concepts_activated").alias("concept_id"))
         changed = learning.feedback(kind, episodes, self.store.read("memories"), self.store.read("relations"), events, used, active, now)
+        own = self.store.begin()
         for table, rows in changed.items():
-            self.store.save("memories" if table == "new_memories" else table, checkpointed(rows))
+            own.save("memories" if table == "new_memories" else table, written(rows, table))
+        own.commit()
 
     def re_reason(self, episode_id: str) -> tuple[DataFrame, DataFrame]:
         """Untried memories and other behaviours for a failed episode."""
@@ -124,8 +142,10 @@ class Engine:
             concepts, relations, links = (self.store.read(t) for t in ("concepts", "relations", "memory_concept"))
             moved = links.join(table.withColumnRenamed("id", "concept_id"), "concept_id", "left").select("memory_id", F.coalesce("canonical", "concept_id").alias("concept_id")).distinct()
             marked = concepts.join(table, "id", "left").withColumn("status", F.when(F.col("canonical").isNotNull(), "merged").otherwise(F.col("status"))).withColumn("canonical_id", F.coalesce("canonical", "canonical_id")).drop("canonical")
+            own = self.store.begin()
             for name, rows in (("relations", graph.redirect(relations, table)), ("memory_concept", moved), ("concepts", marked)):
-                self.store.write(name, checkpointed(rows))
+                own.write(name, written(rows, name))
+            own.commit()
         return merged
 
     def delete_episode(self, episode_id: str) -> bool:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import with_quality
@@ -47,6 +47,26 @@ def ingest(docs: DataFrame, raw: DataFrame, known: DataFrame) -> dict[str, DataF
     return {"concepts": concepts, "relations": relations, "memories": memories.drop("concepts"), "memory_concept": links, "memory_document": memories.select(F.col("id").alias("memory_id"), "doc_id")}
 
 
+def document_rows(docs: DataFrame) -> DataFrame:
+    """Rows of the documents table from doc_id, text and, where there are such columns, title, doc_type, source_path and source_hash."""
+    given = lambda name, other: F.coalesce(F.col(name), other) if name in docs.columns else other
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(
+        F.col("doc_id").cast("string").alias("id"), given("title", F.col("doc_id").cast("string")).alias("title"), text.alias("content"), given("doc_type", F.lit("text")).alias("doc_type"),
+        given("source_path", F.lit(None).cast("string")).alias("source_path"), given("source_hash", F.sha2(text, 256)).alias("source_hash"), F.lit("processing").alias("status"),
+    )
+
+
+def processed(documents: DataFrame, memory_document: DataFrame, memory_concept: DataFrame, now: Column) -> DataFrame:
+    """``documents`` with the ids of their memories and of the concepts these are about, marked as done."""
+    links = memory_document.select("memory_id", F.col("doc_id").cast("string").alias("id"))
+    memories = links.groupBy("id").agg(F.array_sort(F.collect_set("memory_id")).alias("extracted_memory_ids"))
+    concepts = links.join(memory_concept.select("memory_id", "concept_id"), "memory_id").groupBy("id").agg(F.array_sort(F.collect_set("concept_id")).alias("extracted_concept_ids"))
+    none = F.array().cast("array<string>")
+    full = documents.join(memories, "id", "left").join(concepts, "id", "left")
+    return full.select(*documents.drop("status").columns, F.lit("completed").alias("status"), F.coalesce("extracted_memory_ids", none).alias("extracted_memory_ids"), F.coalesce("extracted_concept_ids", none).alias("extracted_concept_ids"), now.alias("processed_at"))
+
+
 def all_edges(relations: DataFrame, memory_concept: DataFrame, episode_concept: DataFrame) -> DataFrame:
     """source, target and kind of the edges of three tables; repeats stay."""
     parts = [

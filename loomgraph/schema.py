@@ -65,8 +65,8 @@ DEFAULTS: dict[str, dict[str, object]] = {
 EMPTY_ARRAYS = {"concepts": ["aliases"], "memories": ["concept_ids", "source_doc_ids", "source_episode_ids", "access_history"], "episodes": ["concepts_activated", "memories_used"], "documents": ["tags"]}
 
 
-def conform(rows: DataFrame, table: str) -> DataFrame:
-    """The columns of ``table``, missing ones null, defaults filled in; extra columns go."""
+def conform(rows: DataFrame, table: str, beside: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of ``table``, missing ones null, defaults filled in; extra columns go, but for those ``beside``."""
     schema = schema_of(table)
     out = []
     for field in schema.fields:
@@ -77,4 +77,4 @@ def conform(rows: DataFrame, table: str) -> DataFrame:
         elif field.name in EMPTY_ARRAYS.get(table, []):
             column = F.coalesce(column, F.array().cast(field.dataType))
         out.append(column.alias(field.name))
-    return rows.select(*out)
+    return rows.select(*out, *beside)

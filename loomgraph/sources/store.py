@@ -1,19 +1,31 @@
-"""The graph as versioned Parquet tables.
+"""The graph as Parquet tables of layers, under one commit log.
 
-Parquet has no MERGE, so a write makes a new version of a table and then adds a
-small pointer file with the next number; the pointer of the highest number
-counts.  A pointer is written under another name and renamed, so a reader sees
-it whole or not at all, and a crash before that leaves the table as it was.
+A write adds a layer: the rows that it brings or takes away, dealt into buckets
+by a hash of the key.  Readers merge layers, newest first, so an upsert costs
+what its rows weigh, not what the table does.  ``compact`` makes one layer of
+many.
+
+A commit is a file of the log with the next number.  It names the layers of all
+tables, so several tables change at once or not at all, a reader sees one state,
+and to roll back is to commit an old state anew.  Creating that file is the one
+step that can be won or lost: a writer that comes second takes up the new state
+and puts its own layers on top, or fails with ``Conflict`` if the tables that it
+replaces or has read have changed.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import KEYS, TABLES, conform, schema_of
+from ..session import written
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
@@ -40,102 +52,309 @@ def only_linked(links: DataFrame, left: DataFrame, right: DataFrame, left_id: st
     return ends.select(*links.columns)
 
 
+class Conflict(RuntimeError):
+    """Another writer has changed a table that this one replaces or has read."""
+
+
+#: Tables that the ends of links are found in.
+ENDS = {"relations": ("concepts", "concepts"), "memory_concept": ("memories", "concepts"), "memory_document": ("memories", "documents"), "episode_concept": ("episodes", "concepts"), "episode_memory": ("episodes", "memories")}
+BUCKETS = 8
+BUCKET_BYTES = 128 << 20
+#: A table with more layers than this is compacted by the next save.
+MOST_LAYERS = 12
+_ATTEMPTS = 20
+State = dict[str, list[dict]]
+
+
+def _layer_schema(table: str) -> T.StructType:
+    return T.StructType([*schema_of(table).fields, T.StructField("_gone", T.BooleanType()), T.StructField("_bucket", T.IntegerType())])
+
+
+def _bucket(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+@dataclass
+class Transaction:
+    """Changes of several tables that become visible together; reads see what it has written."""
+
+    store: GraphStore
+    number: int
+    base: State
+    state: State
+    added: dict[str, list[dict]] = field(default_factory=dict)
+    replaced: set[str] = field(default_factory=set)
+    used: set[str] = field(default_factory=set)
+
+    def read(self, table: str) -> DataFrame:
+        self.used.add(table)
+        return self.store._merged(table, self.state[table])
+
+    def _layer(self, table: str, rows: DataFrame, buckets: int = BUCKETS) -> dict:
+        """Write ``rows`` (the columns of the table and _gone) as a layer."""
+        path = f"data/{table}/{uuid.uuid4().hex}"
+        dealt = rows.withColumn("_bucket", _bucket(KEYS[table], buckets)).repartition("_bucket")
+        dealt.write.partitionBy("_bucket").parquet(f"{self.store.root}/{path}")
+        return {"path": path, "buckets": buckets}
+
+    def _add(self, table: str, layer: dict) -> None:
+        self.state[table] = [*self.state[table], layer]
+        self.added.setdefault(table, []).append(layer)
+
+    def write(self, table: str, rows: DataFrame) -> None:
+        """``rows`` take the place of the table."""
+        layer = self._layer(table, conform(rows, table).withColumn("_gone", F.lit(False)))
+        self.replaced.add(table)
+        self.added[table], self.state[table] = [layer], [layer]
+
+    def save(self, table: str, rows: DataFrame) -> None:
+        """Upsert.  Missing columns keep their values, rows that change nothing are not written, links need both ends."""
+        keys = KEYS[table]
+        if table in ENDS:
+            for key, end in zip(keys, ENDS[table], strict=True):
+                rows = rows.join(self.read(end).select(F.col("id").alias(key)), key, "left_semi")
+        given = [c for c in rows.columns if c in schema_of(table).names]
+        new = written(last_wins(rows.select(*given), keys), f"new-{table}")
+        if self.state[table]:
+            wanted = new.select(*keys)
+            old = self.store._merged(table, self.state[table], wanted)
+            kept = old.select(*keys, F.struct(*[c for c in old.columns if c not in keys]).alias("_old"))
+            both = new.join(kept, keys, "left")
+            filled = both.select(*given, *[F.col(f"_old.{c}").alias(c) for c in old.columns if c not in given], "_old")
+            names = [c for c in old.columns if c not in keys]
+            changed = conform(filled, table, ("_old",)).where(F.col("_old").isNull() | ~F.struct(*names).eqNullSafe(F.col("_old")))
+            out = changed.drop("_old")
+        else:
+            out = conform(new, table)
+        self._add(table, self._layer(table, out.withColumn("_gone", F.lit(False))))
+
+    def delete(self, table: str, keys: DataFrame) -> None:
+        """Rows that match ``keys`` on all of its columns go."""
+        old = self.store._merged(table, self.state[table])
+        gone = old.join(keys.distinct(), keys.columns, "left_semi").select(*old.columns)
+        self._add(table, self._layer(table, gone.withColumn("_gone", F.lit(True))))
+
+    def clear(self) -> None:
+        for table in self.state:
+            self.replaced.add(table)
+            self.added[table], self.state[table] = [], []
+
+    def commit(self) -> int:
+        """The number of the commit.  Layers on top of tables that others have changed stay; what was replaced or read must not have changed."""
+        for _ in range(_ATTEMPTS):
+            if self.store._create(self.number + 1, self.state):
+                self.number += 1
+                return self.number
+            self.number, latest = self.store.latest()
+            for table in self.replaced | self.used:
+                if latest[table] != self.base[table]:
+                    raise Conflict(f"another writer has changed {table}")
+            self.base = latest
+            self.state = {t: self.added.get(t, []) if t in self.replaced else [*latest[t], *self.added.get(t, [])] for t in latest}
+        raise Conflict("too many writers")
+
+
 class GraphStore:
     """Named tables below a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    # The commit log.
+
     def _files(self, path: str):
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _pointers(self, table: str) -> list[str]:
-        """Names number-version of all pointers, in order."""
-        at, files = self._files(f"{self.root}/{table}/_pointers")
-        return sorted(x.getPath().getName() for x in files.listStatus(at) if not x.getPath().getName().startswith((".", "_"))) if files.exists(at) else []
+    def _commits(self) -> list[int]:
+        at, files = self._files(f"{self.root}/_log")
+        names = [x.getPath().getName() for x in files.listStatus(at)] if files.exists(at) else []
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith((".", "_")))
+
+    def _state(self, number: int) -> State:
+        at, files = self._files(f"{self.root}/_log/{number:012}.json")
+        stream = files.open(at)
+        try:
+            found = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+        return {table: found.get(table, []) for table in TABLES}
+
+    def latest(self) -> tuple[int, State]:
+        found = self._commits()
+        if not found:
+            raise FileNotFoundError(f"{self.root}/_log")
+        return found[-1], self._state(found[-1])
+
+    def _create(self, number: int, state: State) -> bool:
+        """Make the file of a commit, whole or not at all; False if it is there already."""
+        jvm = self.spark._jvm
+        at, files = self._files(f"{self.root}/_log/_{uuid.uuid4().hex}")
+        to, _ = self._files(f"{self.root}/_log/{number:012}.json")
+        stream = files.create(at, False)
+        stream.write(bytearray(json.dumps(state).encode()))
+        stream.close()
+        try:
+            if files.getUri().getScheme() == "file":  # Hadoop's local rename replaces; a link does not
+                jvm.java.nio.file.Files.createLink(jvm.java.io.File(to.toUri().getPath()).toPath(), jvm.java.io.File(at.toUri().getPath()).toPath())
+            else:
+                context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), self.spark._jsc.hadoopConfiguration())
+                none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                context.rename(at, to, none)  # atomic, and fails if the target is there
+            return True
+        except Exception as failure:
+            if "AlreadyExists" in str(failure):
+                return False
+            raise
+        finally:
+            if files.exists(at):
+                files.delete(at, False)
+
+    # Layers.
+
+    def _rows(self, table: str, layer: dict, keys: DataFrame | None = None) -> DataFrame:
+        """One layer, or what it holds of ``keys``, read from their buckets alone if these are few."""
+        rows = self.spark.read.schema(_layer_schema(table)).parquet(f"{self.root}/{layer['path']}")
+        if keys is not None:
+            rows = rows.withColumn("_b", F.col("_bucket"))
+            asked = keys.select(*keys.columns, _bucket(KEYS[table], layer["buckets"]).alias("_b"))
+            rows = rows.join(asked, [*keys.columns, "_b"], "left_semi").drop("_b")
+        return rows.drop("_bucket")
+
+    def _merged(self, table: str, layers: Sequence[dict], keys: DataFrame | None = None) -> DataFrame:
+        """Rows of all layers, the newest of each key; with ``keys`` (the key columns) those alone."""
+        columns, names = KEYS[table], schema_of(table).names
+        if not layers:
+            return self.spark.createDataFrame([], schema_of(table))
+        newest: DataFrame | None = None
+        for number, layer in enumerate(layers[1:], 1):
+            rows = self._rows(table, layer, keys).withColumn("_layer", F.lit(number))
+            newest = rows if newest is None else newest.unionByName(rows)
+        first = self._rows(table, layers[0], keys)
+        if newest is None:
+            return first.where("NOT _gone").select(*names)
+        rest = [c for c in newest.columns if c not in columns and c != "_layer"]
+        last = newest.groupBy(*columns).agg(F.max_by(F.struct(*rest), "_layer").alias("_row")).select(*columns, "_row.*")
+        # Layers on top are small beside the first, so Spark can broadcast their keys and leave it unshuffled.
+        return first.join(last.select(*columns), columns, "left_anti").unionByName(last.select(*first.columns)).where("NOT _gone").select(*names)
+
+    # What users call.
 
     def setup(self) -> None:
         """Empty tables where there are none."""
-        for table in TABLES:
-            if not self.exists(table):
-                self.write(table, self.spark.createDataFrame([], schema_of(table)))
+        if not self._commits():
+            self._create(0, {table: [] for table in TABLES})
 
     def exists(self, table: str) -> bool:
-        return bool(self._pointers(table))
-
-    def version(self, table: str) -> str:
-        return self._pointers(table)[-1].partition("-")[2]
-
-    def read(self, table: str, version: str | None = None) -> DataFrame:
-        if not self.exists(table):
-            raise FileNotFoundError(f"{self.root}/{table}")
-        return self.spark.read.schema(schema_of(table)).parquet(f"{self.root}/{table}/{version or self.version(table)}")
-
-    def write(self, table: str, rows: DataFrame) -> str:
-        version = f"v-{uuid.uuid4().hex}"
-        conform(rows, table).write.parquet(f"{self.root}/{table}/{version}")
-        self._point(table, version)
-        return version
-
-    def _point(self, table: str, version: str) -> None:
-        """The file's name is the pointer.  Of two writers that take one number the second fails."""
-        found = self._pointers(table)
-        number = int(found[-1].partition("-")[0]) + 1 if found else 0
-        at, files = self._files(f"{self.root}/{table}/_pointers/_{uuid.uuid4().hex}")
-        files.create(at).close()
-        taken = [x for x in self._pointers(table) if int(x.partition("-")[0]) == number]
-        to, _ = self._files(f"{self.root}/{table}/_pointers/{number:012}-{version}")
-        if taken or not files.rename(at, to):
-            files.delete(at, False)
-            raise RuntimeError(f"another writer has moved {table}")
+        return table in TABLES and bool(self._commits())
 
-    def save(self, table: str, rows: DataFrame) -> str:
-        """Upsert of nodes or edges; edges with a missing end are left out, as with a match on both ends."""
-        ends = {"relations": ("concepts", "concepts"), "memory_concept": ("memories", "concepts"), "memory_document": ("memories", "documents"), "episode_concept": ("episodes", "concepts"), "episode_memory": ("episodes", "memories")}
-        if table in ends:
-            names = KEYS[table]
-            kept = rows.join(self.read(ends[table][0]).select(F.col("id").alias(names[0])), names[0], "left_semi")
-            rows = kept.join(self.read(ends[table][1]).select(F.col("id").alias(names[1])), names[1], "left_semi")
-        return self.write(table, upsert(self.read(table), rows, KEYS[table]))
+    def version(self) -> int:
+        return self.latest()[0]
 
-    def get(self, table: str, ids: list[str]) -> DataFrame:
-        """Rows by id, whatever their status; a single id is a pushed-down filter."""
-        if len(ids) < 100:
-            return self.read(table).where(F.col("id").isin(ids))
-        return self.read(table).join(self.spark.createDataFrame([(i,) for i in ids], "id string"), "id", "left_semi")
+    def begin(self) -> Transaction:
+        number, state = self.latest()
+        return Transaction(self, number, state, dict(state))
+
+    def read(self, table: str, version: int | None = None) -> DataFrame:
+        return self._merged(table, (self._state(version) if version is not None else self.latest()[1])[table])
+
+    def _retried(self, change) -> int:
+        """Begin anew as often as others have changed what the change has read."""
+        for attempt in range(_ATTEMPTS):
+            own = self.begin()
+            change(own)
+            try:
+                return own.commit()
+            except Conflict:
+                if attempt == _ATTEMPTS - 1:
+                    raise
+        raise AssertionError
 
-    def delete(self, table: str, keys: DataFrame) -> str:
-        return self.write(table, self.read(table).join(keys, keys.columns, "left_anti"))
+    def write(self, table: str, rows: DataFrame) -> int:
+        """``rows`` take the place of the table; ``Conflict`` if another writer changes it meanwhile."""
+        own = self.begin()
+        own.write(table, rows)
+        return own.commit()
+
+    def save(self, table: str, rows: DataFrame) -> int:
+        """Upsert of nodes or links in a commit of its own."""
+        number = self._retried(lambda own: own.save(table, rows))
+        return self.compact(table) if len(self._state(number)[table]) > MOST_LAYERS else number
+
+    def delete(self, table: str, keys: DataFrame) -> int:
+        return self._retried(lambda own: own.delete(table, keys))
+
+    def compact(self, table: str) -> int:
+        """One layer without what is gone, in buckets by its size; if others change the table meanwhile, nothing is done."""
+        own = self.begin()
+        size = 0
+        for layer in own.state[table]:
+            at, files = self._files(f"{self.root}/{layer['path']}")
+            size += files.getContentSummary(at).getLength()
+        layer = own._layer(table, own.read(table).withColumn("_gone", F.lit(False)), max(BUCKETS, -(-size // BUCKET_BYTES)))
+        own.replaced.add(table)
+        own.added[table], own.state[table] = [layer], [layer]
+        try:
+            return own.commit()
+        except Conflict:
+            return self.version()
+
+    def vacuum(self, keep: int = 100) -> int:
+        """Delete layers that none of the last ``keep`` commits names, and older commits; how many layers went.  No writer may be at work."""
+        commits = self._commits()
+        named = {layer["path"] for n in commits[-keep:] for layers in self._state(n).values() for layer in layers}
+        gone = 0
+        for table in TABLES:
+            at, files = self._files(f"{self.root}/data/{table}")
+            for x in files.listStatus(at) if files.exists(at) else []:
+                if f"data/{table}/{x.getPath().getName()}" not in named:
+                    gone += bool(files.delete(x.getPath(), True))
+        for n in commits[:-keep]:
+            at, files = self._files(f"{self.root}/_log/{n:012}.json")
+            files.delete(at, False)
+        return gone
+
+    def get(self, table: str, ids: list[str]) -> DataFrame:
+        """Rows by id, whatever their status, read from the buckets of these ids."""
+        return self._merged(table, self.latest()[1][table], self.spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "id string"))
 
     def delete_episode(self, episode_id: str) -> bool:
-        """The episode and its edges; False if there is none."""
+        """The episode and its edges, in one commit; False if there is none."""
         gone = self.spark.createDataFrame([(episode_id,)], "id string")
         found = not self.get("episodes", [episode_id]).isEmpty()
-        self.delete("episodes", gone)
-        for table in ("episode_concept", "episode_memory", "episode_crystallized"):
-            self.delete(table, gone.withColumnRenamed("id", "episode_id"))
+
+        def change(own: Transaction) -> None:
+            own.delete("episodes", gone)
+            for table in ("episode_concept", "episode_memory", "episode_crystallized"):
+                own.delete(table, gone.withColumnRenamed("id", "episode_id"))
+
+        if found:
+            self._retried(change)
         return found
 
     def pending_documents(self, limit: int = 100) -> DataFrame:
         return self.read("documents").where("status = 'pending'").orderBy("created_at", "id").limit(limit)
 
     def clear(self) -> None:
-        for table in TABLES:
-            self.write(table, self.spark.createDataFrame([], schema_of(table)))
+        own = self.begin()
+        own.clear()
+        own.commit()
 
-    def backup(self) -> dict[str, str]:
-        """Versions of all tables; nothing is copied, as versions never change."""
-        return {table: self.version(table) for table in TABLES}
+    def backup(self) -> int:
+        """The number of the present state; nothing is copied, as layers never change."""
+        return self.version()
 
-    def rollback(self, versions: dict[str, str]) -> None:
-        """Lossless: all tables go back, edges to memories and episodes too."""
-        for table, version in versions.items():
-            self._point(table, version)
+    def rollback(self, version: int) -> int:
+        """Lossless and for all tables at once: the state of ``version`` is committed anew."""
+        number, _ = self.latest()
+        state = self._state(version)
+        while not self._create(number + 1, state):
+            number, _ = self.latest()
+        return number + 1
 
     def query(self, sql: str, **args: object) -> DataFrame:
-        """SQL with named parameters over the tables as views."""
+        """SQL with named parameters over the tables as views, all of one state."""
+        number, _ = self.latest()
         for table in TABLES:
-            if self.exists(table):
-                self.read(table).createOrReplaceTempView(table)
+            self.read(table, number).createOrReplaceTempView(table)
         return self.spark.sql(sql, args=args)

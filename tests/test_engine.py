@@ -132,3 +132,27 @@ def test_access_history_on_a_stream(spark, tmp_path):
     events.drain(events.access_history(stream, keep=3), f"{tmp_path}/state", keep, mode="update")
     whole = events.access_history(spark.read.parquet(f"{tmp_path}/in"), keep=3)
     assert seen == {r["id"]: r["history"] for r in whole.collect()}
+
+
+def test_ingested_documents_and_links(spark, tmp_path):
+    def extract(texts):
+        return [RAW if "docker" in t else "" for t in texts]
+
+    made = Engine(spark, f"file://{tmp_path}/g")
+    docs = spark.createDataFrame([("d1", "text"), ("d2", "# T\n\n| a | b |\n|---|---|\n| one thing | two |\n"), ("d3", None)], "doc_id string, text string")
+    raw = spark.createDataFrame([("d1", RAW), ("d2", None)], "id string, raw string")
+    counts = made.ingest(docs, raw)
+    for table, n in counts.items():
+        assert made.store.read(table).count() == n, table
+    assert counts["documents"] == 3 and counts["memory_document"] >= counts["memories"] >= 2
+    rows = {r["id"]: r for r in made.store.read("documents").collect()}
+    assert {r["status"] for r in rows.values()} == {"completed"} and len(rows["d1"]["extracted_memory_ids"]) >= 1 and len(rows["d1"]["extracted_concept_ids"]) == 2
+    assert made.ingest(docs, raw) == counts | {"concepts": 0} and made.store.read("memories").count() == counts["memories"]
+    (tmp_path / "in/deep").mkdir(parents=True)
+    (tmp_path / "in/one.md").write_text("# Docker\n\nAll about docker.")
+    (tmp_path / "in/deep/two.txt").write_text("nothing")
+    (tmp_path / "in/three.bin").write_text("docker")
+    other = Engine(spark, f"file://{tmp_path}/h")
+    counts = other.ingest_directory(f"{tmp_path}/in", extract)
+    assert counts["documents"] == 2 and counts["concepts"] == 2 and counts["memory_document"] == counts["memories"] > 0
+    assert {(r["title"], r["doc_type"]) for r in other.store.read("documents").collect()} == {("Docker", "markdown"), ("two", "text")}
