@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
@@ -136,3 +138,30 @@ def greedy_merges(pairs: Sequence[tuple[int, int, float]]) -> dict[int, int]:
         if a not in merged and b not in merged:
             merged[b] = a
     return merged
+
+
+def merges(pairs: DataFrame) -> DataFrame:
+    """id and canonical: what ``greedy_merges`` decides for pairs (a, b, similarity), for any number of them.
+
+    A pair is decided once no earlier pair that could merge one of its ends is
+    open, so all pairs that come first at both ends are decided in one round.
+    """
+    open_ = written(pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity")).where("a <> b").select(F.struct((-F.col("similarity")).alias("s"), "a", "b").alias("place"), "a", "b"), "pairs")
+    done: DataFrame | None = None
+    while not open_.isEmpty():
+        first = open_.groupBy(F.col("b").alias("node")).agg(F.min("place").alias("first"))
+        ends = open_.join(first.select(F.col("node").alias("a"), F.col("first").alias("of_a")), "a", "left").join(first.select(F.col("node").alias("b"), F.col("first").alias("of_b")), "b")
+        made = written(ends.where("place = of_b AND (of_a IS NULL OR place < of_a)").select(F.col("b").alias("id"), F.col("a").alias("canonical"), "place"), "merged")
+        done = made if done is None else done.unionByName(made)
+        at = made.select("id", F.col("place").alias("merged"))
+        left = open_.join(at.withColumnsRenamed({"id": "a", "merged": "ma"}), "a", "left").join(at.withColumnsRenamed({"id": "b", "merged": "mb"}), "b", "left")
+        open_ = written(left.where("(ma IS NULL OR place < ma) AND (mb IS NULL OR place < mb)").select("place", "a", "b"), "pairs")
+    if done is None:
+        return pairs.select(F.col("b").alias("id"), F.col("a").alias("canonical")).where("false")
+    return done.select("id", "canonical")
+
+
+def bernoulli(rows: DataFrame, item: str, sample: float, seed: int = 0) -> DataFrame:
+    """Each row with a chance of 1 / ``sample``, decided by a hash of seed and ``item``: the same rows on every run and cluster."""
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(item).cast("string")).cast("binary")), 1, 8), 16, 10).cast("double")
+    return rows.where(draw * sample < float(1 << 32))

@@ -480,11 +480,10 @@ def prompt_contexts(g: Graph) -> DataFrame:
 
 @query("SELECT id AS canonical, id + 1 AS id FROM concepts WHERE id % 10 = 0 AND id + 1 IN (SELECT id FROM concepts)")
 def greedy_merges(g: Graph) -> DataFrame:
-    """Reviewed pairs, a bounded list; those of every tenth concept do not touch each other."""
+    """Pairs of every tenth concept (user input), which do not touch each other; ``merged_duplicates`` has pairs that do."""
     c = g.concepts().select("id")
     pairs = c.where("id % 10 = 0").select(F.col("id").alias("a"), (F.col("id") + 1).alias("id")).join(c, "id").select("a", F.col("id").alias("b"))
-    merged = ranking.greedy_merges([(r["a"], r["b"], 1.0 / (1 + r["a"])) for r in pairs.collect()])
-    return g.spark.createDataFrame([(b, a) for a, b in merged.items()], "canonical bigint, id bigint")
+    return ranking.merges(pairs.withColumn("similarity", 1.0 / (1 + F.col("a")))).select("canonical", "id")
 
 
 @query("""SELECT k, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, count(*) AS n_queries FROM (
@@ -573,3 +572,18 @@ def louvain_clusters(g: Graph) -> DataFrame:
     nodes = g.concepts().select("id", F.col("layout_x").alias("x"), F.col("layout_y").alias("y"))
     labels = written(communities.louvain(nodes, communities.adjacency(g.relations(), nodes), rounds=6, levels=4))
     return labels.join(communities.clusters(labels, nodes), "id")
+
+
+@query()
+def merged_duplicates(g: Graph) -> DataFrame:
+    """Of all names that are alike, what each is merged into, most similar pairs first."""
+    names = g.concepts().select("name").distinct()
+    pairs = resolver.alike(names.select(F.col("name").alias("a")), names.select(F.col("name").alias("b")), 0.8).where("a < b")
+    return ranking.merges(pairs.withColumn("similarity", F.round("similarity", 9)))
+
+
+@query("""SELECT id, name, layout_x AS x, layout_y AS y FROM concepts WHERE layout_x BETWEEN 100 AND 900 AND layout_y BETWEEN 50 AND 950 AND ('0x' || md5('7:' || id)[1:8])::UBIGINT * 4.0::DOUBLE < 4294967296""")
+def sampled_map(g: Graph) -> DataFrame:
+    """About a quarter of the concepts in view."""
+    seen = g.concepts().where("layout_x BETWEEN 100 AND 900 AND layout_y BETWEEN 50 AND 950")
+    return ranking.bernoulli(seen, "id", 4.0, seed=7).select("id", "name", F.col("layout_x").alias("x"), F.col("layout_y").alias("y"))

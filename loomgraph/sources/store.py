@@ -15,7 +15,6 @@ replaces or has read have changed.
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -26,6 +25,7 @@ from pyspark.sql import types as T
 
 from ..schema import KEYS, TABLES, conform, schema_of
 from ..session import written
+from .log import CommitLog, Conflict
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
@@ -52,10 +52,6 @@ def only_linked(links: DataFrame, left: DataFrame, right: DataFrame, left_id: st
     return ends.select(*links.columns)
 
 
-class Conflict(RuntimeError):
-    """Another writer has changed a table that this one replaces or has read."""
-
-
 #: Tables that the ends of links are found in.
 ENDS = {"relations": ("concepts", "concepts"), "memory_concept": ("memories", "concepts"), "memory_document": ("memories", "documents"), "episode_concept": ("episodes", "concepts"), "episode_memory": ("episodes", "memories")}
 BUCKETS = 8
@@ -142,7 +138,7 @@ class Transaction:
     def commit(self) -> int:
         """The number of the commit.  Layers on top of tables that others have changed stay; what was replaced or read must not have changed."""
         for _ in range(_ATTEMPTS):
-            if self.store._create(self.number + 1, self.state):
+            if self.store.log.create(self.number + 1, self.state):
                 self.number += 1
                 return self.number
             self.number, latest = self.store.latest()
@@ -159,56 +155,15 @@ class GraphStore:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-
-    # The commit log.
-
-    def _files(self, path: str):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _commits(self) -> list[int]:
-        at, files = self._files(f"{self.root}/_log")
-        names = [x.getPath().getName() for x in files.listStatus(at)] if files.exists(at) else []
-        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith((".", "_")))
+        self.log = CommitLog(spark, f"{self.root}/_log")
 
     def _state(self, number: int) -> State:
-        at, files = self._files(f"{self.root}/_log/{number:012}.json")
-        stream = files.open(at)
-        try:
-            found = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        found = self.log.read(number)
         return {table: found.get(table, []) for table in TABLES}
 
     def latest(self) -> tuple[int, State]:
-        found = self._commits()
-        if not found:
-            raise FileNotFoundError(f"{self.root}/_log")
-        return found[-1], self._state(found[-1])
-
-    def _create(self, number: int, state: State) -> bool:
-        """Make the file of a commit, whole or not at all; False if it is there already."""
-        jvm = self.spark._jvm
-        at, files = self._files(f"{self.root}/_log/_{uuid.uuid4().hex}")
-        to, _ = self._files(f"{self.root}/_log/{number:012}.json")
-        stream = files.create(at, False)
-        stream.write(bytearray(json.dumps(state).encode()))
-        stream.close()
-        try:
-            if files.getUri().getScheme() == "file":  # Hadoop's local rename replaces; a link does not
-                jvm.java.nio.file.Files.createLink(jvm.java.io.File(to.toUri().getPath()).toPath(), jvm.java.io.File(at.toUri().getPath()).toPath())
-            else:
-                context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), self.spark._jsc.hadoopConfiguration())
-                none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-                context.rename(at, to, none)  # atomic, and fails if the target is there
-            return True
-        except Exception as failure:
-            if "AlreadyExists" in str(failure):
-                return False
-            raise
-        finally:
-            if files.exists(at):
-                files.delete(at, False)
+        number = self.log.last()
+        return number, self._state(number)
 
     # Layers.
 
@@ -242,11 +197,11 @@ class GraphStore:
 
     def setup(self) -> None:
         """Empty tables where there are none."""
-        if not self._commits():
-            self._create(0, {table: [] for table in TABLES})
+        if not self.log.numbers():
+            self.log.create(0, {table: [] for table in TABLES})
 
     def exists(self, table: str) -> bool:
-        return table in TABLES and bool(self._commits())
+        return table in TABLES and bool(self.log.numbers())
 
     def version(self) -> int:
         return self.latest()[0]
@@ -289,7 +244,7 @@ class GraphStore:
         own = self.begin()
         size = 0
         for layer in own.state[table]:
-            at, files = self._files(f"{self.root}/{layer['path']}")
+            at, files = self.log.files(f"{self.root}/{layer['path']}")
             size += files.getContentSummary(at).getLength()
         layer = own._layer(table, own.read(table).withColumn("_gone", F.lit(False)), max(BUCKETS, -(-size // BUCKET_BYTES)))
         own.replaced.add(table)
@@ -301,17 +256,16 @@ class GraphStore:
 
     def vacuum(self, keep: int = 100) -> int:
         """Delete layers that none of the last ``keep`` commits names, and older commits; how many layers went.  No writer may be at work."""
-        commits = self._commits()
+        commits = self.log.numbers()
         named = {layer["path"] for n in commits[-keep:] for layers in self._state(n).values() for layer in layers}
         gone = 0
         for table in TABLES:
-            at, files = self._files(f"{self.root}/data/{table}")
+            at, files = self.log.files(f"{self.root}/data/{table}")
             for x in files.listStatus(at) if files.exists(at) else []:
                 if f"data/{table}/{x.getPath().getName()}" not in named:
                     gone += bool(files.delete(x.getPath(), True))
         for n in commits[:-keep]:
-            at, files = self._files(f"{self.root}/_log/{n:012}.json")
-            files.delete(at, False)
+            self.log.remove(n)
         return gone
 
     def get(self, table: str, ids: list[str]) -> DataFrame:
@@ -348,7 +302,7 @@ class GraphStore:
         """Lossless and for all tables at once: the state of ``version`` is committed anew."""
         number, _ = self.latest()
         state = self._state(version)
-        while not self._create(number + 1, state):
+        while not self.log.create(number + 1, state):
             number, _ = self.latest()
         return number + 1
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from datetime import datetime
 
@@ -70,6 +71,27 @@ def test_diverse_selection():
     assert ranking.select_diverse(np.array([1.0, 0.1]), vectors, 3, balance=1.0) == [1, 0, 2]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_merges_in_rounds(spark, seed):
+    r = random.Random(seed)
+    pairs = [(r.randint(0, 25), r.randint(0, 25), r.choice([0.9, 0.91, 0.92, 0.95])) for _ in range(60)] + [(k, k + 1, 0.8 + k / 1000) for k in range(30, 40)] + [(k + 1, k, 0.7) for k in range(50, 58)]
+    pairs = [p for p in pairs if p[0] != p[1]]
+    best = {}
+    for a, b, s in pairs:
+        best[a, b] = max(best.get((a, b), 0), s)
+    wanted = ranking.greedy_merges([(a, b, s) for (a, b), s in best.items()])
+    got = {x["id"]: x["canonical"] for x in ranking.merges(spark.createDataFrame(pairs, "a long, b long, similarity double")).collect()}
+    assert got == wanted
+    assert ranking.merges(spark.createDataFrame([], "a long, b long, similarity double")).count() == 0
+
+
+def test_bernoulli(spark):
+    rows = spark.range(8000)
+    got = ranking.bernoulli(rows, "id", 4.0).count()
+    assert 1800 < got < 2200 and ranking.bernoulli(rows, "id", 1.0).count() == 8000
+    assert ranking.bernoulli(rows.repartition(3), "id", 4.0).exceptAll(ranking.bernoulli(rows, "id", 4.0)).count() == 0
+
+
 def test_greedy_merges():
     assert ranking.greedy_merges([(1, 2, 0.99), (2, 3, 0.98), (1, 4, 0.97), (4, 5, 0.96)]) == {2: 1, 4: 1}
 
