@@ -35,16 +35,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import blocks, stored, utf8
+from .shared import blocks, release, stored, utf8
 from .words import ASCII_LOWER, byte_class, word_spans
 
 SCALE = 1_000_000_000
 TILE = 256
-SLICE_ROWS = 200_000
+SLICE_ROWS = 50_000
 #: Tables of groups up to this size are broadcast.
 BROADCAST_BYTES = 32 << 20
-_HELD_ROWS = 1 << 20
-_BLOCK = 8 << 20
+_HELD_ROWS = 1 << 19
+_BLOCK = 4 << 20
 _LETTER = byte_class((0x61, 0x7A), (0x80, 0xFF))
 _NAMES = ["lang", "source", "term", "c", "d"]
 
@@ -94,6 +94,8 @@ def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from held.pop().to_batches(max_chunksize=1 << 16)
     if held:
         yield from _added(held).to_batches(max_chunksize=1 << 16)
+    held.clear()
+    release()
 
 
 def _share(count: Column, total: Column) -> Column:
