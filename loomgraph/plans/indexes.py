@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.lexical import LexicalIndex
+from ..operators.vectors import VectorIndex
 from ..session import shared_dir
 from ..sources.derive import Graph
 from .catalogue import BM25, query
@@ -42,3 +43,37 @@ def lexical_after_changes(g: Graph) -> DataFrame:
     index.append(docs.where("source = 'src2'").select("doc_id", F.concat_ws(" ", "source", "lang").alias("text")), item="doc_id", text="text")
     index.merge()
     return index.search(_questions(g), k=10).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+NEAREST = """WITH kept AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE label <> 3), q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT query_id, id, list_cosine_similarity(q, v) AS score FROM q, kept)
+SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS n FROM s) WHERE n <= 10"""
+
+
+def _upkeep(g: Graph) -> tuple[VectorIndex, DataFrame]:
+    """An index of all vectors in two additions, after the vectors of one label were deleted, opened anew; and the questions."""
+    rows = g.table("embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+    index = VectorIndex(g.spark, index_path(g))
+    index.fit(rows)
+    index.add(rows.where("label < 5"))
+    index.add(rows.where("label >= 5 OR label IS NULL"))
+    index.delete(rows.where("label = 3").select("id"))
+    asked = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    return VectorIndex(g.spark, index.path), asked
+
+
+@query(NEAREST, graph_views=False)
+def vector_upkeep(g: Graph) -> DataFrame:
+    """The ten nearest with all cells and a wide choice of codes, which finds what comparing all vectors does."""
+    index, asked = _upkeep(g)
+    cells = 64
+    return index.search(asked, 10, probes=cells, refine=64).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query()
+def vector_recall(g: Graph) -> DataFrame:
+    """Recall after calibration on stored vectors, measured on the questions."""
+    index, asked = _upkeep(g)
+    own = index.calibrate()
+    state = index.state()
+    return g.spark.createDataFrame([(state["probes"], state["refine"], float(own), float(index.recall(asked, 10)))], "probes long, refine long, calibrated double, recall double")
