@@ -99,13 +99,13 @@ _ru = "regexp_extract_all(lower(t), '[а-яёa-z](?:[а-яёa-z\\-]*[а-яёa-z]
 _stem = "regexp_replace(w, '^(.{3,}?)(ами|ями|ого|его|ому|ему|ыми|ими|ая|яя|ое|ее|ые|ие|ый|ий|ой|ов|ев|ам|ям|ах|ях|ом|ем|а|я|о|е|ы|и|у|ю|ь)$', '\\1')"
 
 
-@query(f"""WITH t AS (SELECT doc_id, {_sql_cyrillic("left(text, 400)")} || '  не только это!!! но и то...' AS t FROM documents WHERE text IS NOT NULL),
+@query(f"""WITH t AS (SELECT doc_id, {_sql_cyrillic("text")} || '  не только это!!! но и то...' AS t FROM documents WHERE text IS NOT NULL),
 k AS (SELECT doc_id, t, list_filter({_ru}, lambda w: length(w) > 1 OR w IN ('я', 'в', 'с', 'к', 'у', 'о', 'а', 'и')) AS w FROM t),
 s AS (SELECT *, list_filter(w, lambda x: x NOT IN ({_stop_list})) AS kept FROM k)
 SELECT doc_id, array_to_string(kept, ' ') AS plain, array_to_string(list_filter(list_transform(kept, lambda w: {_stem}), lambda x: x NOT IN ({_stop_list})), ' ') AS lemmas,
 trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\\s+', ' ', 'g'), '[.]{{2,}}', '.', 'g'), '[!]{{2,}}', '!', 'g'), '[?]{{2,}}', '?', 'g')) AS clean FROM s""", graph_views=False)
 def search_texts(g: Graph) -> DataFrame:
-    rows = g.table("documents").where("text IS NOT NULL").select("doc_id", F.concat(_cyrillic(F.substring("text", 1, 400)), F.lit("  не только это!!! но и то...")).alias("t"))
+    rows = g.table("documents").where("text IS NOT NULL").select("doc_id", F.concat(_cyrillic(F.col("text")), F.lit("  не только это!!! но и то...")).alias("t"))
     return rows.select("doc_id", T.prepare_search_text(F.col("t"), lemmas=False).alias("plain"), T.prepare_search_text(F.col("t")).alias("lemmas"), T.clean_text(F.col("t")).alias("clean"))
 
 
