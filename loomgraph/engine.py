@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.providers import call_model
+from .functions.providers import call_model, hashed_embedding
+from .functions.scores import cosine
 from .functions.text import dynamic_top_k
 from .operators import graph, learning, ranking, reasoning, resolver, retrieval
 from .operators.enrichment import memory_context
@@ -19,13 +20,15 @@ from .sources.readers import directory
 from .sources.store import GraphStore
 
 INSTRUCTION = "Ответь на вопрос по этим воспоминаниям."
+REWRITE = "Переформулируй вопрос другими словами."
+SUPPOSE = "Напиши предполагаемый короткий ответ на вопрос."
 
 
 class Engine:
-    """A graph store with a model; ``generate`` answers a batch of prompts and must be picklable."""
+    """A graph store with models: ``generate`` answers a batch of prompts and must be picklable, ``embed`` makes an expression of a text's vector."""
 
-    def __init__(self, spark: SparkSession, root: str, generate: Callable[[list[str]], list[str]] | None = None):
-        self.spark, self.store = spark, GraphStore(spark, root)
+    def __init__(self, spark: SparkSession, root: str, generate: Callable[[list[str]], list[str]] | None = None, embed: Callable[[Column], Column] = hashed_embedding):
+        self.spark, self.store, self.embed = spark, GraphStore(spark, root), embed
         self.generate = generate or (lambda prompts: [""] * len(prompts))
         self.store.setup()
 
@@ -36,6 +39,7 @@ class Engine:
         found = ingest(docs, raw, own.read("concepts"))
         rows = {t: written(found[t], t) for t in ("concepts", "relations", "memories", "memory_concept", "memory_document")}
         documents = written(processed(document_rows(docs), rows["memory_document"], rows["memory_concept"], F.current_timestamp()), "documents")
+        rows["memories"] = written(rows["memories"].withColumn("embedding", self.embed(F.col("content"))), "memories")
         rows = {"documents": documents} | rows
         for table, part in rows.items():
             own.save(table, part)
@@ -49,21 +53,56 @@ class Engine:
         raw = call_model(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("prompt")), extract).select("id", F.col("answer").alias("raw"))
         return self.ingest(docs, written(raw, "raw"))
 
-    def retrieve(self, question: str, names: Sequence[str], k: int | None = None) -> DataFrame:
-        """Memories for a question whose concept names are known: BM25, graph and path lists, fused; id, sources, fused, score, place."""
-        asked = self.spark.createDataFrame([(0, question)], "query_id int, text string")
+    def _lists(self, question: str, names: Sequence[str]) -> tuple[dict[str, DataFrame], DataFrame]:
+        """Lists (id, score) of one question by source, and its row (query_id, text, embedding)."""
+        asked = self.spark.createDataFrame([(0, question)], "query_id int, text string").withColumn("embedding", self.embed(F.col("text")))
         concepts, relations, links, memories = (self.store.read(t) for t in ("concepts", "relations", "memory_concept", "memories"))
         named = self.spark.createDataFrame([(0, n) for n in names], "query_id int, name string")
         by_words = Bm25Index(concepts, text="name").search(asked, k=5)
         matched = resolver.matched(named, concepts).select("query_id", F.col("concept_id").alias("id"))
-        seeds = checkpointed(reasoning.fallback_seeds(matched, by_words.where("false"), by_words).select("id").distinct())
+        seeds = written(reasoning.fallback_seeds(matched, by_words.where("false"), by_words).select("id").distinct(), "seeds")
         told = concepts.join(seeds, "id", "left_semi").select(F.lit(0).alias("query_id"), "name", "aliases")
-        words = retrieval.bm25_list(Bm25Index(memories), retrieval.expanded_question(asked, told), memories)
-        by_graph = retrieval.graph_list(seeds, relations, links, memories, concepts=concepts)
-        by_path, _ = retrieval.path_result(seeds, relations, concepts, links, memories)
+        lists = {
+            "bm25": retrieval.bm25_list(Bm25Index(memories), retrieval.expanded_question(asked.select("query_id", "text"), told), memories),
+            "vector": retrieval.vector_list(memories.select("id", "embedding"), asked.select("query_id", "embedding"), memories),
+            "graph": retrieval.graph_list(seeds, relations, links, memories, concepts=concepts),
+            "path": retrieval.path_result(seeds, relations, concepts, links, memories)[0],
+        }
+        return {name: rows.select("id", "score") for name, rows in lists.items()}, asked
+
+    def _chosen(self, lists: dict[str, DataFrame], asked: DataFrame, k: int | None) -> DataFrame:
+        memories = self.store.read("memories")
+        whole: DataFrame | None = None
+        for name, rows in lists.items():
+            own = rows.select("id", "score", F.lit(name).alias("source"))
+            whole = own if whole is None else whole.unionByName(own)
         if k is None:
             k = asked.select(dynamic_top_k(F.col("text"))).first()[0]
-        return retrieval.retrieve_all(words.unionByName(by_graph).unionByName(by_path), memories, F.current_timestamp(), k)
+        vectors = memories.select("id", "embedding")
+        relevance = vectors.join(F.broadcast(asked.select(F.col("embedding").alias("q")))).select("id", cosine(F.col("embedding"), F.col("q")).alias("relevance"))  # one question
+        return retrieval.retrieve_all(whole, memories, F.current_timestamp(), k, relevance, vectors, asked, weights=retrieval.WEIGHTS | retrieval.MORE_WEIGHTS)
+
+    def retrieve(self, question: str, names: Sequence[str], k: int | None = None) -> DataFrame:
+        """Memories for a question whose concept names are known: BM25, vector, graph and path lists, fused and diverse; id, sources, fused, score, place."""
+        return self._chosen(*self._lists(question, names), k)
+
+    def retrieve_rewritten(self, question: str, names: Sequence[str], k: int | None = None) -> DataFrame:
+        """Like ``retrieve``, with the lists of two more forms of the question, which the model is asked for.
+
+        A paraphrase is searched for by its words, a made-up answer by its
+        vector; a form that the model does not give adds no list.
+        """
+        lists, asked = self._lists(question, names)
+        memories = self.store.read("memories")
+        forms = self.spark.createDataFrame([(0, "rewrite", f"{REWRITE}\n{question}"), (0, "hyde", f"{SUPPOSE}\n{question}")], "query_id int, form string, prompt string")
+        told = written(call_model(forms, self.generate), "forms").where("trim(answer) <> ''").select("query_id", "form", F.col("answer").alias("text"))
+        given = {r["form"] for r in told.select("form").collect()}  # two rows at most
+        form = lambda name: told.where(F.col("form") == name)
+        if "rewrite" in given:
+            lists["rewrite"] = retrieval.bm25_list(Bm25Index(memories), form("rewrite").select("query_id", "text"), memories)
+        if "hyde" in given:
+            lists["hyde"] = retrieval.vector_list(memories.select("id", "embedding"), form("hyde").select("query_id", self.embed(F.col("text")).alias("embedding")), memories)
+        return self._chosen(lists, asked, k)
 
     def reason(self, question: str, names: Sequence[str], include: Sequence[str] = (), exclude: Sequence[str] = (), k: int | None = None) -> str:
         """An answer; the episode that records it is saved, and the memories it used are counted as read."""

@@ -80,9 +80,9 @@ def path_result(seeds: DataFrame, relations: DataFrame, concepts: DataFrame, mem
     return path_list(asked, relations, memory_concept, memories, limit), bridges(asked, relations, concepts)
 
 
-def retrieve_all(lists: DataFrame, memories: DataFrame, now: Column, k: int, relevance: DataFrame | None = None, vectors: DataFrame | None = None, question: DataFrame | None = None) -> DataFrame:
+def retrieve_all(lists: DataFrame, memories: DataFrame, now: Column, k: int, relevance: DataFrame | None = None, vectors: DataFrame | None = None, question: DataFrame | None = None, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
     """Fusion of all given lists, base score, source weight and, with vectors, a diverse choice: id, sources, fused, score, place."""
-    scored = retrieve(lists, memories, now, 200 if vectors is not None else k, relevance)
+    scored = retrieve(lists, memories, now, 200 if vectors is not None else k, relevance, weights=weights)
     if vectors is not None and question is not None:
         near = scored.join(vectors.select("id", "embedding"), "id", "left").join(F.broadcast(question.select("query_id", F.col("embedding").alias("query_embedding"))))
         chosen = mmr(near.select("query_id", "id", "score", "embedding", "query_embedding"), "query_id", k)

@@ -156,3 +156,25 @@ def test_ingested_documents_and_links(spark, tmp_path):
     counts = other.ingest_directory(f"{tmp_path}/in", extract)
     assert counts["documents"] == 2 and counts["concepts"] == 2 and counts["memory_document"] == counts["memories"] > 0
     assert {(r["title"], r["doc_type"]) for r in other.store.read("documents").collect()} == {("Docker", "markdown"), ("two", "text")}
+
+
+def test_vector_list_and_rewritten_questions(spark, tmp_path):
+    def model(prompts):
+        # Stands for a model: a paraphrase with a word of its own, and a made-up answer in the words of one memory.
+        return ["zebra crossing" if "Переформулируй" in p else "striped animals live in herds and run from lions across the wide plains all day long" for p in prompts]
+
+    made = Engine(spark, f"file://{tmp_path}/g", model)
+    facts = [
+        "striped animals live in herds and run from lions across the wide plains all day long in the sun of the savanna until night comes",
+        "every zebra has its own pattern of lines that no other one shares so that they know each other by sight in the large groups they form",
+        "a bridge of stone spans the river near the old town and carries carts and people from one bank to the other since many hundred years ago",
+    ]
+    raw = "\n".join(["CONCEPT|bridge|resource|A way over water", *(f"MEMORY|{f}|fact|6|bridge" for f in facts)])
+    made.ingest(spark.createDataFrame([("d", "text")], "doc_id string, text string"), spark.createDataFrame([("d", raw)], "id string, raw string"))
+    by = {r["content"][:6]: r["id"] for r in made.store.read("memories").collect()}
+    plain = {r["id"]: set(r["sources"].split("+")) for r in made.retrieve("stone bridge", ["bridge"]).collect()}
+    assert {"bm25", "vector", "graph"} <= plain[by["a brid"]]
+    more = {r["id"]: set(r["sources"].split("+")) for r in made.retrieve_rewritten("stone bridge", ["bridge"]).collect()}
+    assert "rewrite" in more[by["every "]] and "rewrite" not in more[by["a brid"]] and "hyde" in more[by["stripe"]]
+    silent = Engine(spark, f"file://{tmp_path}/g")
+    assert {r["id"]: set(r["sources"].split("+")) for r in silent.retrieve_rewritten("stone bridge", ["bridge"]).collect()} == plain
