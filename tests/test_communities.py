@@ -97,8 +97,8 @@ def test_louvain(spark, pairs, extra):
     table = spark.createDataFrame([(i,) for i in nodes], "id long")
     edges = communities.adjacency(spark.createDataFrame(pairs + [p[::-1] for p in pairs[:3]] + [(0, 999)], "source_id long, target_id long"), table)
     assert {(r["src"], r["dst"]): r["w"] for r in edges.collect()} == dict(both(pairs))
-    got = {r["id"]: r["label"] for r in communities.louvain(table, edges).collect()}
-    wanted, history = plain_louvain(nodes, both(pairs))
+    got = {r["id"]: r["label"] for r in communities.louvain(table, edges, rounds=4, levels=3).collect()}
+    wanted, history = plain_louvain(nodes, both(pairs), rounds=4, levels=3)
     assert got == wanted
     assert all(b >= a - 1e-12 for a, b in zip(history, history[1:], strict=False))
     row = communities.modularity(spark.createDataFrame(list(got.items()), "id long, label long"), edges).first()
