@@ -197,7 +197,12 @@ class Model:
 
 
 def learn(docs: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", train_bytes: int = TRAIN_BYTES, order: int = ORDER) -> Model:
-    """Fit on a sample of the rows for which ``usable`` holds."""
+    """Fit on a sample of the rows for which ``usable`` holds.
+
+    A language's sample has about ``train_bytes``, or less where there are many
+    languages, and always holds one document at least: where chance draws none,
+    that with the smallest hash, cut to as many characters.
+    """
     rows = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l"))
     sizes = rows.groupBy("l").agg(F.sum(F.octet_length("t")).alias("n"))
     count = sizes.count()
@@ -209,6 +214,10 @@ def learn(docs: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "
     samples: dict[str, list[str]] = {}
     for r in sorted(sampled.select("l", "t").collect()):  # train_bytes for each language on average
         samples.setdefault(r["l"], []).append(r["t"])
+    if len(samples) < count:
+        first = rows.where(~F.col("l").isin(list(samples))).groupBy("l").agg(F.min_by(F.substring("t", 1, max(wanted, 1)), F.struct(draw.alias("d"), F.col("i").cast("string").alias("i"))).alias("t"))
+        samples |= {r["l"]: [r["t"]] for r in first.collect()}  # a text for each language left
+        samples = dict(sorted(samples.items()))
     return Model.learn(samples, order)
 
 

@@ -176,3 +176,21 @@ def test_audit_of_odd_tables(spark, clashing, docs, empty):
 def test_share_beyond_64_bits(spark):
     got = spark.range(1).select(divergence._share(F.lit(3 * 10**12), F.lit(7 * 10**12)).alias("p")).first()["p"]
     assert got == 1 + 10**9 * (3 * 10**12 + 2) // (7 * 10**12)
+
+
+def test_many_languages_with_long_texts(spark):
+    """300 languages, whose documents are longer than the bytes that each may be learned from: none is lost."""
+    from loomgraph.llm import language_id
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(300):
+        r = random.Random(k)
+        vocabulary = ["".join(r.choice(letters) for _ in range(r.randint(3, 8))) for _ in range(60)]
+        rows += [(4 * k + j, " ".join(r.choice(vocabulary) for _ in range(800)), f"l{k:03}") for j in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    model = language_id.learn(docs, F.col("doc_id") % 4 != 3)
+    assert len(model.languages) == 300
+    held = docs.where("doc_id % 4 = 3")
+    right = language_id.predict(held, model).join(held.select("doc_id", "lang"), "doc_id").where("lang_pred = lang").count()
+    assert right > 0.9 * 300
