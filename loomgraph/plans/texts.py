@@ -57,7 +57,7 @@ def _one_of_patterns(patterns: tuple[str, ...]) -> str:
     return "regexp_matches(trim(lower(q)), '" + "|".join(patterns) + "')"
 
 
-QUESTIONS = f"""WITH c AS (SELECT conv_id, turn, {_prefix} || regexp_extract(text, '^\\S+') || ' (a+b) [c]: "d"?' AS q FROM conversations WHERE role = 'user'),
+QUESTIONS = f"""WITH c AS (SELECT conv_id, turn, {_prefix} || replace(text, chr(10), ' ') || ' (a+b) [c]: "d"?' AS q FROM conversations WHERE role = 'user'),
 k AS (SELECT *, CASE WHEN {_one_of_patterns(T.SIMPLE_QUERIES)} THEN 'simple' WHEN {_one_of_patterns(T.COMPLEX_QUERIES)} THEN 'complex' ELSE 'moderate' END AS complexity,
   length(regexp_replace(q, '[^а-яА-ЯёЁ]', '', 'g')) AS cyr, length(regexp_replace(q, '[^a-zA-Z]', '', 'g')) AS lat FROM c)"""
 
@@ -65,7 +65,7 @@ k AS (SELECT *, CASE WHEN {_one_of_patterns(T.SIMPLE_QUERIES)} THEN 'simple' WHE
 def _questions(g: Graph) -> DataFrame:
     asked = g.table("conversations").where("role = 'user'")
     prefix = F.element_at(F.array(*[F.lit(p) for p in PREFIXES]), (F.col("conv_id") % 6).cast("int") + 1)
-    return asked.select("conv_id", "turn", F.concat(prefix, F.regexp_extract("text", r"^\S+", 0), F.lit(' (a+b) [c]: "d"?')).alias("q"))
+    return asked.select("conv_id", "turn", F.concat(prefix, F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(' (a+b) [c]: "d"?')).alias("q"))
 
 
 @query(QUESTIONS + f""" SELECT conv_id, turn, regexp_replace(q, '([+\\-&|!(){{}}\\[\\]^"~*?:\\\\/])', '\\\\\\1', 'g') AS escaped, complexity, CASE complexity WHEN 'simple' THEN 4 WHEN 'complex' THEN 8 ELSE 6 END AS top_k,

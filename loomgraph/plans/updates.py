@@ -21,10 +21,10 @@ SEEDS30 = SEEDS.replace("LIMIT 3", "LIMIT 30")
 # Learning.
 
 
-@query("""WITH h AS (SELECT order_id AS id, count(*) AS n FROM (SELECT l_orderkey AS order_id FROM lineitem WHERE l_linenumber <= 3) GROUP BY 1)
+@query("""WITH h AS (SELECT order_id AS id, count(*) AS n FROM (SELECT l_orderkey AS order_id FROM lineitem) GROUP BY 1)
 SELECT m.id, round(CASE WHEN n > 0 THEN least(2.5, strength + 0.1 * n) ELSE strength END, 6) AS strong, round(CASE WHEN n > 0 THEN greatest(1.3, strength * pow(0.95, n)) ELSE strength END, 6) AS weak, access_count + coalesce(n, 0) AS access_count FROM memories m LEFT JOIN h USING (id)""")
 def strengthened(g: Graph) -> DataFrame:
-    ids = g.table("lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("id"))
+    ids = g.table("lineitem").select(F.col("l_orderkey").alias("id"))
     weak = learning.weaken(g.memories(), ids).select("id", F.round("strength", 6).alias("weak"))
     return learning.strengthen(g.memories(), ids).select("id", F.round("strength", 6).alias("strong"), "access_count").join(weak, "id")
 
@@ -182,10 +182,10 @@ def resolved_names(g: Graph) -> DataFrame:
     return resolver.resolve(names, g.concepts()).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("""SELECT c.id, n.turn AS place FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN (SELECT upper(name) FROM concepts ORDER BY id LIMIT 1) ELSE 'none such' END AS name FROM conversations WHERE conv_id < 20) n JOIN concepts c ON lower(c.name) = lower(n.name)""")
+@query("""SELECT c.id, n.turn AS place FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN (SELECT upper(name) FROM concepts ORDER BY id LIMIT 1) ELSE 'none such' END AS name FROM conversations) n JOIN concepts c ON lower(c.name) = lower(n.name)""")
 def matched_names(g: Graph) -> DataFrame:
     first = g.concepts().orderBy("id").limit(1).select(F.upper("name").alias("first"))
-    names = g.table("conversations").where("conv_id < 20").join(F.broadcast(first)).select(F.col("turn").alias("place"), F.when(F.col("turn") % 2 == 0, F.col("first")).otherwise("none such").alias("name"))
+    names = g.table("conversations").join(F.broadcast(first)).select(F.col("turn").alias("place"), F.when(F.col("turn") % 2 == 0, F.col("first")).otherwise("none such").alias("name"))
     return resolver.matched(names, g.concepts()).select(F.col("concept_id").alias("id"), "place")
 
 
@@ -352,10 +352,10 @@ def hydrated_hits(g: Graph) -> DataFrame:
     return found.select("id", "place", F.coalesce("content", F.lit("")).alias("content"), F.col("content").isNull().alias("missing"))
 
 
-@query("""SELECT s.id AS summary_id, m.id::VARCHAR AS raw_id, m.content FROM memories s JOIN memories m ON m.id = s.id + 1 WHERE s.id % 50 = 0""")
+@query("""SELECT s.id AS summary_id, m.id::VARCHAR AS raw_id, m.content FROM memories s JOIN memories m ON m.id = s.id + 1""")
 def raw_tables(g: Graph) -> DataFrame:
     link = F.to_json(F.struct((F.col("id") + 1).cast("string").alias("linked_raw_id")))
-    return structure.raw_tables(g.memories().where("id % 50 = 0").select("id", link.alias("metadata")), g.memories())
+    return structure.raw_tables(g.memories().select("id", link.alias("metadata")), g.memories())
 
 
 # Ingestion, stores and reports.
@@ -456,9 +456,9 @@ def classified_edges(g: Graph) -> DataFrame:
     return enrichment.classify_edges(structure.enhanced_relations(rows)).select("id", F.round("weight", 6).alias("weight"), "is_semantic", "is_universal")
 
 
-@query("""WITH c AS (SELECT lower(name) AS name, id FROM concepts), d AS (SELECT p_partkey AS id, lower(p_name) AS n FROM part WHERE p_partkey % 10 = 0) SELECT d.id AS source_id, c.id AS target_id, 'contains' AS relation_type, 0.8::DOUBLE AS weight FROM d JOIN c ON c.name = d.n WHERE d.id <> c.id""")
+@query("""WITH c AS (SELECT lower(name) AS name, id FROM concepts), d AS (SELECT p_partkey AS id, lower(p_name) AS n FROM part) SELECT d.id AS source_id, c.id AS target_id, 'contains' AS relation_type, 0.8::DOUBLE AS weight FROM d JOIN c ON c.name = d.n WHERE d.id <> c.id""")
 def defined_edges(g: Graph) -> DataFrame:
-    rows = g.table("part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("id"), F.concat(F.lit("A thing|contains: "), F.lower("p_name"), F.lit("|uses: nothing")).alias("answer"))
+    rows = g.table("part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("A thing|contains: "), F.lower("p_name"), F.lit("|uses: nothing")).alias("answer"))
     return enrichment.defined_edges(enrichment.definitions(rows), g.concepts()).select("source_id", "target_id", "relation_type", "weight")
 
 
