@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import text as T
 from ..functions.similarity import string_similarity
-from ..operators import communities, enrichment, evaluation, graph, ingestion, learning, ranking, reasoning, resolver, retrieval, search, structure
+from ..operators import communities, enrichment, evaluation, graph, ingestion, learning, ranking, reasoning, resolver, retrieval, search, spacing, structure
 from ..session import checkpointed, written
 from ..sources import readers, store
 from ..sources.derive import Graph
@@ -587,3 +587,16 @@ def sampled_map(g: Graph) -> DataFrame:
     """About a quarter of the concepts in view."""
     seen = g.concepts().where("layout_x BETWEEN 100 AND 900 AND layout_y BETWEEN 50 AND 950")
     return ranking.bernoulli(seen, "id", 4.0, seed=7).select("id", "name", F.col("layout_x").alias("x"), F.col("layout_y").alias("y"))
+
+
+@query("""WITH d AS (SELECT source_id AS id, count(*) AS n FROM (SELECT source_id FROM relations UNION ALL SELECT target_id FROM relations) GROUP BY 1),
+p AS (SELECT c.id, layout_x AS x, layout_y AS y, 1.0 + coalesce(n, 0) / 20.0 AS r FROM concepts c LEFT JOIN d ON d.id = c.id),
+q AS (SELECT a.id AS a, b.id AS b, b.x - a.x AS dx, b.y - a.y AS dy, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS d, (a.r + b.r) * 2.5 AS m FROM p a JOIN p b ON a.id < b.id),
+u AS (SELECT a, b, round((m - d) / 2 * (CASE WHEN d > 0 THEN dx / d ELSE 1 END) * 1000000)::BIGINT AS px, round((m - d) / 2 * (CASE WHEN d > 0 THEN dy / d ELSE 0 END) * 1000000)::BIGINT AS py FROM q WHERE d < m * 0.999),
+s AS (SELECT a AS id, -px AS px, -py AS py FROM u UNION ALL SELECT b, px, py FROM u)
+SELECT id, sum(px)::BIGINT AS px, sum(py)::BIGINT AS py FROM s GROUP BY id""")
+def pushed_nodes(g: Graph) -> DataFrame:
+    """One round of pushes (millionths) between all concepts of the map, whose circles grow with their edges."""
+    degree = graph.degrees(g.concepts(), g.relations())
+    rows = g.concepts().select("id", F.col("layout_x").alias("x"), F.col("layout_y").alias("y")).join(degree, "id")
+    return spacing.pushes(rows.withColumn("radius", 1 + F.col("degree") / 20), 2.5)
