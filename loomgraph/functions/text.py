@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .stemming import stem
+
 WORD = r"[\p{L}\p{N}_]+"
 CYRILLIC, LATIN = "[а-яА-ЯёЁ]", "[a-zA-Z]"
 
@@ -215,11 +217,6 @@ def without_stopwords(tokens: Column) -> Column:
     return F.filter(tokens, lambda w: ~w.isin(*STOPWORDS))
 
 
-def stem(word: Column) -> Column:
-    """Lemma stand-in: the longest of some frequent endings goes if three letters stay.  A dictionary can be joined instead."""
-    return F.regexp_replace(word, r"^(.{3,}?)(ами|ями|ого|его|ому|ему|ыми|ими|ая|яя|ое|ее|ые|ие|ый|ий|ой|ов|ев|ам|ям|ах|ях|ом|ем|а|я|о|е|ы|и|у|ю|ь)$", "$1")
-
-
 def prepare_search_text(text: Column, lemmas: bool = True, stopwords: bool = True) -> Column:
     """Text as it is indexed and asked: tokens without stop words before and after lemmatising, or the text itself."""
     if not lemmas and not stopwords:

@@ -76,31 +76,44 @@ def both_ways(relations: DataFrame) -> DataFrame:
     return relations.select("source_id", "target_id").unionByName(relations.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))).distinct()
 
 
+def reach(ends: DataFrame, relations: DataFrame, hops: int) -> DataFrame:
+    """Nodes within ``hops`` undirected edges of each of ``ends`` (id): a, at, d, ahead, back.
+
+    ``ahead`` is the smallest shortest path from a to the node, ``back`` that from
+    the node to a.  A node is reached once for each end, at its distance d; nodes
+    reached before are not extended again.
+    """
+    step = both_ways(relations).select(F.col("source_id").alias("at"), F.col("target_id").alias("next"))
+    level = ends.select(F.col("id").alias("a"), F.col("id").alias("at"), F.lit(0).alias("d"), F.array("id").alias("ahead"), F.array("id").alias("back")).distinct()
+    seen = level
+    for hop in range(1, hops + 1):
+        fresh = level.join(step, "at").select("a", F.col("next").alias("at"), F.concat("ahead", F.array("next")).alias("ahead"), F.concat(F.array("next"), "back").alias("back"))
+        # Of equally long paths to a node only the smallest can be part of an answer.
+        fresh = fresh.groupBy("a", "at").agg(F.min("ahead").alias("ahead"), F.min("back").alias("back"))
+        level = fresh.join(seen.select("a", "at"), ["a", "at"], "left_anti").select("a", "at", F.lit(hop).alias("d"), "ahead", "back")
+        seen = seen.unionByName(level)
+    return seen
+
+
 def shortest_paths(ends: DataFrame, relations: DataFrame, max_length: int = 3) -> DataFrame:
-    """One shortest undirected path for each pair of ``ends`` (id): a, b, length, path; ties go to the smallest path."""
-    edges = both_ways(relations)
-    paths = ends.select(F.col("id").alias("a"), F.col("id").alias("at"), F.array("id").alias("path"))
-    found: DataFrame | None = None
-    for length in range(1, max_length + 1):
-        step = edges.select(F.col("source_id").alias("at"), F.col("target_id").alias("next"))
-        paths = paths.join(step, "at").where(~F.array_contains("path", F.col("next"))).select("a", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path"))
-        # Of equally long paths to a node only the smallest can be part of the answer.
-        paths = paths.groupBy("a", "at").agg(F.min("path").alias("path"))
-        hits = paths.join(ends.select(F.col("id").alias("at")), "at", "left_semi").where(F.col("a") < F.col("at")).select("a", F.col("at").alias("b"), F.lit(length).alias("length"), "path")
-        found = hits if found is None else found.unionByName(hits.join(found.select("a", "b"), ["a", "b"], "left_anti"))
-    return found
+    """One shortest undirected path for each pair of ``ends`` (id): a, b, length, path; ties go to the smallest path.
+
+    Both ends are extended by half of the length only and meet in the middle, so
+    the last and largest step of a search from one end is never taken.
+    """
+    around = checkpointed(reach(ends, relations, (max_length + 1) // 2))
+    far = around.select(F.col("a").alias("b"), "at", F.col("d").alias("rest"), "back")
+    # A path of length n is cut after the larger half of its edges.
+    met = around.drop("back").join(far, "at").where((F.col("a") < F.col("b")) & (F.col("d") - F.col("rest")).isin(0, 1) & (F.col("d") + F.col("rest") <= max_length))
+    met = met.select("a", "b", F.struct((F.col("d") + F.col("rest")).alias("length"), F.concat("ahead", F.slice("back", 2, max_length + 1)).alias("path")).alias("p"))
+    return met.groupBy("a", "b").agg(F.min("p").alias("p")).select("a", "b", "p.*")
 
 
 def bridges(asked: DataFrame, relations: DataFrame, concepts: DataFrame, max_hops: int = 2, limit: int = 20) -> DataFrame:
     """Active concepts outside ``asked`` (id) within reach of two or more of these: id, reached."""
-    edges = both_ways(relations).select(F.col("source_id").alias("at"), F.col("target_id").alias("next"))
-    level = asked.select(F.col("id").alias("q"), F.col("id").alias("at"))
-    seen: DataFrame | None = None
-    for _ in range(max_hops):
-        level = level.join(edges, "at").select("q", F.col("next").alias("at")).distinct()
-        seen = level if seen is None else seen.unionByName(level)
+    seen = reach(asked, relations, max_hops).select("a", "at")
     live = concepts.where(is_active(F.col("status"))).select(F.col("id").alias("at"))
-    counted = seen.distinct().join(asked.select(F.col("id").alias("at")), "at", "left_anti").join(live, "at", "left_semi")
+    counted = seen.join(asked.select(F.col("id").alias("at")), "at", "left_anti").join(live, "at", "left_semi")
     counted = counted.groupBy(F.col("at").alias("id")).agg(F.count(F.lit(1)).alias("reached")).where("reached >= 2")
     return counted.orderBy(F.desc("reached"), "id").limit(limit)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import text as T
 from ..functions.similarity import phonetic_similarity
+from ..functions.stemming import stem_sql
 from ..operators import enrichment, structure
 from ..sources import readers
 from ..sources.derive import Graph
@@ -96,7 +97,7 @@ def script_forms(g: Graph) -> DataFrame:
 
 _stop_list = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 _ru = "regexp_extract_all(lower(t), '[а-яёa-z](?:[а-яёa-z\\-]*[а-яёa-z])?')"
-_stem = "regexp_replace(w, '^(.{3,}?)(ами|ями|ого|его|ому|ему|ыми|ими|ая|яя|ое|ее|ые|ие|ый|ий|ой|ов|ев|ам|ям|ах|ях|ом|ем|а|я|о|е|ы|и|у|ю|ь)$', '\\1')"
+_stem = stem_sql("w")
 
 
 @query(f"""WITH t AS (SELECT doc_id, {_sql_cyrillic("text")} || '  не только это!!! но и то...' AS t FROM documents WHERE text IS NOT NULL),

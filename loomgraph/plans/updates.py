@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import text as T
 from ..functions.similarity import string_similarity
-from ..operators import communities, enrichment, evaluation, graph, ingestion, learning, ranking, reasoning, resolver, retrieval, search, spacing, structure
+from ..operators import communities, enrichment, evaluation, graph, ingestion, learning, ranking, reasoning, repulsion, resolver, retrieval, search, spacing, structure
 from ..session import checkpointed, written
 from ..sources import readers, store
 from ..sources.derive import Graph
@@ -600,3 +600,29 @@ def pushed_nodes(g: Graph) -> DataFrame:
     degree = graph.degrees(g.concepts(), g.relations())
     rows = g.concepts().select("id", F.col("layout_x").alias("x"), F.col("layout_y").alias("y")).join(degree, "id")
     return spacing.pushes(rows.withColumn("radius", 1 + F.col("degree") / 20), 2.5)
+
+
+def _bodies(g: Graph) -> DataFrame:
+    degree = graph.degrees(g.concepts(), g.relations())
+    return g.concepts().select("id", F.col("layout_x").alias("x"), F.col("layout_y").alias("y")).join(degree, "id").select("id", "x", "y", (1.0 + F.col("degree")).alias("m"))
+
+
+@query("""WITH g AS (SELECT source_id AS id, count(*) AS n FROM (SELECT source_id FROM relations UNION ALL SELECT target_id FROM relations) GROUP BY 1),
+p AS (SELECT c.id, layout_x AS x, layout_y AS y, 1.0::DOUBLE + coalesce(n, 0) AS m FROM concepts c LEFT JOIN g ON g.id = c.id),
+e AS (SELECT min(x) AS ox, min(y) AS oy, greatest(max(x) - min(x), max(y) - min(y)) AS side FROM p),
+c AS (SELECT p.*, l, least(floor((x - ox) / side * (1 << l)), (1 << l) - 1)::BIGINT AS i, least(floor((y - oy) / side * (1 << l)), (1 << l) - 1)::BIGINT AS j FROM p, e, range(13) AS r(l)),
+k AS (SELECT l::BIGINT AS l, i, j, count(*) AS n, sum(m) AS m, sum(m * x) / sum(m) AS x, sum(m * y) / sum(m) AS y FROM c GROUP BY ALL),
+u AS (SELECT k.*, coalesce(a.n, 9) AS above FROM k LEFT JOIN k a ON a.l = k.l - 1 AND a.i = k.i // 2 AND a.j = k.j // 2),
+b AS (SELECT a.l, a.i, a.j, s.i AS si, s.j AS sj, s.m, s.x, s.y, abs(a.i - s.i) <= 1 AND abs(a.j - s.j) <= 1 AS near, greatest(a.n, s.n) <= 8 AS few FROM u a JOIN u s ON s.l = a.l AND abs(a.i // 2 - s.i // 2) <= 1 AND abs(a.j // 2 - s.j // 2) <= 1 AND greatest(a.above, s.above) > 8),
+f AS (SELECT l, i, j, m, x, y FROM b WHERE NOT near UNION ALL SELECT b.l, b.i, b.j, c.m, c.x, c.y FROM b JOIN c ON c.l = b.l AND c.i = b.si AND c.j = b.sj WHERE near AND few),
+t AS (SELECT c.id, c.m * f.m / (pow(c.x - f.x, 2) + pow(c.y - f.y, 2)) AS w, c.x - f.x AS dx, c.y - f.y AS dy FROM c JOIN f USING (l, i, j) WHERE c.x <> f.x OR c.y <> f.y)
+SELECT p.id, round(coalesce(sum(w * dx), 0), 6) AS fx, round(coalesce(sum(w * dy), 0), 6) AS fy FROM p LEFT JOIN t ON t.id = p.id GROUP BY p.id""")
+def map_repulsions(g: Graph) -> DataFrame:
+    """What pushes each concept of the map away from all others, whose masses grow with their edges."""
+    return repulsion.repulsions(_bodies(g)).select("id", *[F.round(c, 6).alias(c) for c in ("fx", "fy")])
+
+
+@query()
+def arranged_nodes(g: Graph) -> DataFrame:
+    """A map of all concepts after ten rounds of pulls along edges and pushes between all."""
+    return repulsion.arrange(g.concepts(), g.relations(), rounds=10)
