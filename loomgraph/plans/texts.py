@@ -7,14 +7,15 @@ parses nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import text as T
 from ..functions.similarity import phonetic_similarity
 from ..functions.stemming import stem_sql
-from ..operators import enrichment, structure
+from ..operators import enrichment, meaning, ranking, structure
+from ..session import written
 from ..sources import readers
 from ..sources.derive import Graph
 from .catalogue import BREAKS, SENTENCES, now, query, sentence_breaks, sentences_of
@@ -411,3 +412,13 @@ def score_parts(g: Graph) -> DataFrame:
         "combined": S.combined_similarity(F.col("importance") / 10, F.col("confidence"), F.lit(0.5)), "shared": S.shared_memory_score(F.lit(2), F.lit(3), F.col("importance")), "path": S.path_memory_score(F.lit(2), F.col("importance")), "probability": S.retrieval_probability(F.col("confidence") - 3),
     }
     return m.select("id", *[F.round(c, 9).alias(n) for n, c in values.items()])
+
+
+@query()
+def topic_breaks(g: Graph) -> DataFrame:
+    """Similarity of each sentence of all documents to the one before, by what its words occur with, and whether it is a break; sentences without words are like none."""
+    rows = written(sentences_of(g), "sentences")
+    seen = meaning.learn(rows).embed(rows, ["doc_id", "idx"])
+    before = F.lag("embedding").over(Window.partitionBy("doc_id").orderBy("idx"))
+    pairs = seen.withColumn("before", before).where("idx > 0").select("doc_id", "idx", F.round(F.coalesce(S.cosine(F.col("before"), F.col("embedding")), F.lit(0.0)), 6).alias("similarity"))
+    return ranking.semantic_breaks(pairs)
