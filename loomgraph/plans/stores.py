@@ -11,6 +11,8 @@ from ..engine import Engine
 from ..session import shared_dir
 from ..sources.derive import Graph
 from ..sources.store import GraphStore
+from ..streaming import events as streams
+from ..streaming import feedback
 from .catalogue import query
 
 
@@ -110,3 +112,21 @@ def ingested_documents(g: Graph) -> DataFrame:
     same = engine.store.read("documents").join(docs.select(F.col("doc_id").cast("string").alias("id"), F.sha2("text", 256).alias("h")), "id").where("source_hash = h AND status = 'completed'").select("id").distinct()
     rows = [(t, counts[t]) for t in ("documents", "concepts", "relations")] + [("stored", same.count())]
     return g.spark.createDataFrame(rows, "name string, n long")
+
+
+@query("""WITH k AS (SELECT event_type, user_id, ts, CASE WHEN event_type IN ('purchase', 'signup', 'error') THEN 'episode' ELSE 'memory' END AS node FROM events)
+SELECT node, user_id::VARCHAR AS id, count_if(event_type IN ('purchase', 'signup')) AS successes, count_if(event_type = 'error') AS failures, count_if(node = 'memory') AS accesses, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last FROM k GROUP BY node, user_id""", graph_views=False)
+def feedback_stream(g: Graph) -> DataFrame:
+    """All events as a stream of files in no order, some of them delivered twice (user input), applied to a store batch by batch."""
+    kind = F.when(F.col("event_type").isin("purchase", "signup"), "positive").when(F.col("event_type") == "error", "negative").otherwise("access")
+    node = F.when(kind == "access", "memory").otherwise("episode")
+    rows = g.table("events").select("event_id", node.alias("node"), F.col("user_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"))
+    store, path = _store(g), f"{_root(g)}-events"
+    rows.repartition(2, "event_id").write.parquet(path)
+    rows.where("event_id % 7 = 0").coalesce(1).write.mode("append").parquet(path)
+    changes = feedback.tallies(feedback.stream_of(g.spark, path), "40 days", keep=20)
+    streams.drain(changes, f"{path}-state", feedback.applied(store), mode="update")
+    none = F.lit(0).cast("long")
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias("last")
+    episodes = store.read("episodes").select(F.lit("episode").alias("node"), "id", F.col("success_count").cast("long").alias("successes"), F.col("failure_count").cast("long").alias("failures"), none.alias("accesses"), shown("last_used"))
+    return episodes.unionByName(store.read("memories").select(F.lit("memory").alias("node"), "id", none.alias("successes"), none.alias("failures"), F.col("access_count").alias("accesses"), shown("last_accessed")))
