@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scores import base_level, cosine, sm2_strength, status_of, success_rate, synthetic_history
+from ..functions.scores import base_level, sm2_strength, status_of, success_rate, synthetic_history
 from ..functions.text import behavior_of
 from .graph import induced
-from .ranking import top_k
+from .search import nearest
 
 # Fixed values.
 PROCEDURE_WORDS = ("чтобы", "нужно", "следует", "используй")
@@ -180,12 +180,15 @@ def feedback(kind: str, episodes: DataFrame, memories: DataFrame, relations: Dat
     return out | {"memories": weaken(memories, ids), "relations": hebbian(relations, nodes, -0.02)}
 
 
+def _most_similar(rows: DataFrame, asked: DataFrame, k: int, least: float) -> DataFrame:
+    near = nearest(asked.select(F.col("id").alias("asked_id"), "embedding"), rows.select("id", "embedding"), k, "asked_id", itself=False)
+    return near.where(F.col("score") >= least).withColumnRenamed("score", "similarity")
+
+
 def similar_episodes(episodes: DataFrame, asked: DataFrame, k: int = 10, least: float = 0.7, successful: bool = True) -> DataFrame:
-    """asked_id, id, similarity: the most similar other episodes by embedding of their behaviour; ``asked`` is a bounded set and is broadcast."""
+    """asked_id, id, similarity: the most similar other episodes by embedding of their behaviour."""
     rows = episodes.where("success_count > failure_count") if successful else episodes
-    both = rows.select("id", F.col("embedding").alias("v")).join(F.broadcast(asked.select(F.col("id").alias("asked_id"), F.col("embedding").alias("q"))), F.col("id") != F.col("asked_id"))
-    scored = both.select("asked_id", "id", cosine(F.col("q"), F.col("v")).alias("similarity")).where(F.col("similarity") >= least)
-    return top_k(scored, ["asked_id"], [F.desc(F.round("similarity", 9)), F.asc("id")], k)
+    return _most_similar(rows, asked, k, least)
 
 
 def crystallize(episodes: DataFrame, groups: DataFrame, now: Column, cap: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -219,11 +222,8 @@ def reflections(answers: DataFrame, now: Column) -> DataFrame:
 
 
 def contradiction_candidates(memories: DataFrame, asked: DataFrame, k: int = 10, least: float = 0.7) -> DataFrame:
-    """asked_id, id, similarity: active memories most similar to each of a bounded set ``asked`` (id, embedding)."""
-    rows = memories.where("status = 'active'").select("id", F.col("embedding").alias("v"))
-    both = rows.join(F.broadcast(asked.select(F.col("id").alias("asked_id"), F.col("embedding").alias("q"))), F.col("id") != F.col("asked_id"))
-    scored = both.select("asked_id", "id", cosine(F.col("q"), F.col("v")).alias("similarity")).where(F.col("similarity") >= least)
-    return top_k(scored, ["asked_id"], [F.desc(F.round("similarity", 9)), F.asc("id")], k)
+    """asked_id, id, similarity: active memories most similar to each of ``asked`` (id, embedding)."""
+    return _most_similar(memories.where("status = 'active'"), asked, k, least)
 
 
 def parse_contradictions(answers: DataFrame) -> DataFrame:
