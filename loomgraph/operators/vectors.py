@@ -32,7 +32,7 @@ from ..functions.scores import cosine
 from ..session import written
 from ..sources.log import CommitLog, Conflict
 from .ranking import top_k
-from .search import BLOCK, nearest
+from .search import BLOCK, best_of_block, blocks, cosines, last_scores, may_hold, nearest, sides_of
 
 CODES = 256
 MOST_SEGMENTS = 12
@@ -145,7 +145,7 @@ class VectorIndex:
         state = self.state()
         model = self.spark.sparkContext.broadcast(self._model(state))
         kind = vectors.schema[item].dataType
-        schema = f"id {kind.simpleString()}, cell int, codes binary, embedding array<double>"
+        schema = f"id {kind.simpleString()}, cell int, codes binary, to_centre double, embedding array<double>"
         rows = vectors.select(F.col(item).alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).dropDuplicates(["id"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +158,10 @@ class VectorIndex:
                     continue
                 at = at[good]
                 cell, codes = model.value.encode(units)
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column("embedding").take(pa.array(at))], ["id", "cell", "codes", "embedding"])
+                centres = model.value.centres[cell]
+                norm = np.sqrt((centres * centres).sum(1))
+                to_centre = (units * centres).sum(1) / np.where(norm > 0, norm, np.nan)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(to_centre), batch.column("embedding").take(pa.array(at))], ["id", "cell", "codes", "to_centre", "embedding"])
 
         path, number = f"segments/{uuid.uuid4().hex}", self.log.last() + 1
         rows.mapInArrow(run, schema).repartition("cell").write.partitionBy("cell").parquet(f"{self.path}/{path}")
@@ -177,7 +180,7 @@ class VectorIndex:
     def merge(self) -> None:
         """One segment of all rows that are not hidden, codes as they are."""
         state, number, path = self.state(), self.log.last() + 1, f"segments/{uuid.uuid4().hex}"
-        rows = self._rows(state, "codes", "embedding")
+        rows = self._rows(state, "codes", "to_centre", "embedding")
         if rows is not None:
             rows.repartition("cell").write.partitionBy("cell").parquet(f"{self.path}/{path}")
             self._commit(number, state | {"segments": [{"path": path, "kind": "rows", "number": number, "hides": False}]})
@@ -218,8 +221,8 @@ class VectorIndex:
             def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
                 names, centre, tables = shared.value
                 best: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
-                for batch in batches:
-                    if not batch.num_rows or not names:
+                for batch in (whole.slice(begin, BLOCK) for whole in batches for begin in range(0, whole.num_rows, BLOCK)):
+                    if not names:
                         continue
                     ids, cell = batch.column("id").to_numpy(zero_copy_only=False), batch.column("cell").to_numpy()
                     codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
@@ -242,6 +245,29 @@ class VectorIndex:
         scored = exact.select(F.col("q").alias(query), "id", cosine(F.col("v"), F.col("embedding")).alias("score"))
         return top_k(scored, [query], [F.desc(F.round("score", 9)), F.asc("id")], k)
 
+    def search_exact(self, queries: DataFrame, k: int, query: str = "query_id") -> DataFrame:
+        """query, id, score as ``nearest`` finds them: the codes find ``k``, then the cells are compared that may hold one as near.
+
+        Copies have equal codes, and of more copies than a search keeps some
+        with smaller ids may be left out; so all rows of these cells are compared.
+        """
+        state = self.state()
+        model, first = self._model(state), written(self.search(queries, k, query, probes=4, refine=1).withColumnRenamed(query, "q"), "first")
+        rows = self._rows(state, "to_centre", "embedding")
+        if rows is None:
+            return first.withColumnRenamed("q", query)
+        radii = {r["cell"]: r["near"] for r in rows.groupBy("cell").agg(F.min("to_centre").alias("near"), F.max(F.isnan("to_centre")).alias("open")).where("NOT open").collect()}  # as many as cells
+        radius = np.arccos(np.clip([radii.get(c, np.nan) for c in range(len(model.centres))], -1, 1))
+        rows, width, found = rows.select("id", "cell", F.col("embedding").alias("v")), model.centres.shape[1], None
+        for own, mine in blocks(queries, query):
+            names, units = sides_of(own).get(width, ([], np.zeros((0, width))))
+            open_cells = may_hold(cosines(units, model.centres), radius, last_scores(first.where(mine), names, k))
+            near = best_of_block(rows, {width: (names, units)}, k, queries.schema[query].dataType, cells=open_cells)
+            found = near if found is None else found.unionByName(near)
+        best = written(top_k(found, ["q"], [F.desc("score"), F.asc("id")], k).select("q", "id"), "best")
+        asked = queries.select(F.col(query).alias("q"), F.col("embedding").cast("array<double>").alias("asked"))
+        return rows.join(best, "id").join(asked, "q").select(F.col("q").alias(query), "id", cosine(F.col("asked"), F.col("v")).alias("score"))
+
     def recall(self, queries: DataFrame, k: int, query: str = "query_id", true: DataFrame | None = None, **how: int) -> float:
         """Share of the true ``k`` nearest of the questions (``true``, if known) that a search finds."""
         if true is None:

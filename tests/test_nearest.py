@@ -49,3 +49,25 @@ def test_similar_episodes_are_found_by_products_not_by_a_nested_loop(vectors):
 
 def test_products_held_at_once_are_bounded():
     assert search.STEP * search.BLOCK * 8 <= 16 << 20
+
+
+def test_upkeep_takes_the_smallest_ids_of_more_copies_than_a_search_keeps(spark, tmp_path):
+    from loomgraph.plans.indexes import vector_upkeep
+    from loomgraph.sources.derive import Graph
+
+    r = np.random.default_rng(5)
+    one, others = r.normal(size=8), r.normal(size=(60, 8))
+    ids = r.permutation(6_000).tolist()
+    rows = [(i, [float(x) for x in (one if i >= 60 else others[i])], i % 10) for i in ids]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {(x["query_id"], x["id"]) for x in vector_upkeep(Graph(spark, str(tmp_path))).where("query_id = 100").collect()}
+    assert found == {(100, i) for i in range(60, 71) if i % 10 != 3}
+
+
+def test_partitioned_search_multiplies_matrices(spark, vectors):
+    data, df = vectors
+    rows = df.where("id >= 0").select("id", "embedding")
+    asked = rows.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+    found = search.IvfIndex(rows, cells=4).search(asked, 60, probes=1)
+    assert "zip_with" not in _plan(found) and "CartesianProduct" not in _plan(found)
+    assert {(x["query_id"], x["id"]) for x in found.collect()} == {(x["query_id"], x["id"]) for x in search.nearest(asked, rows, 60).collect()}
