@@ -10,8 +10,11 @@ matching.  Words without a Russian vowel stay as they are.
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # The endings of the published algorithm.  Those of a group named
 # AFTER_A count after "а" or "я" only, which stay.
@@ -66,6 +69,26 @@ def stem(word: Column) -> Column:
     return word
 
 
+def stem_all(words: pa.Array) -> pa.Array:
+    """The same for an array of words."""
+    words = pc.replace_substring(words.cast(pa.string()), "ё", "е")
+    for pattern, groups, marked in STEPS:
+        words = pc.replace_substring_regex(words, pattern, "".join(f"\\{k + 1}" for k in range(groups)) + (MARK if marked else ""))
+    return words
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def stems(tokens: pa.Array) -> pa.Array:
+    """The stems of lists of words; of the words of a batch each different one is cut once."""
+    if isinstance(tokens, pa.ChunkedArray):
+        tokens = tokens.combine_chunks()
+    different = tokens.flatten().dictionary_encode()
+    found = stem_all(different.dictionary).take(different.indices)
+    lengths = pc.fill_null(pc.list_value_length(tokens), 0)
+    ends = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(lengths).cast(pa.int32())])
+    return pa.ListArray.from_arrays(ends, found, mask=pc.is_null(tokens))
+
+
 def stem_sql(word: str) -> str:
     """The same as an expression of DuckDB over the expression ``word``."""
     word = f"translate({word}, 'ё', 'е')"

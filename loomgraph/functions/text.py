@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .stemming import stem
+from .stemming import stems
 
 WORD = r"[\p{L}\p{N}_]+"
 CYRILLIC, LATIN = "[а-яА-ЯёЁ]", "[a-zA-Z]"
@@ -223,11 +223,17 @@ def prepare_search_text(text: Column, lemmas: bool = True, stopwords: bool = Tru
         return text
     tokens = without_stopwords(russian_tokens(text)) if stopwords else russian_tokens(text)
     if lemmas:
-        tokens = F.transform(tokens, stem)
+        tokens = stems(tokens)
         tokens = without_stopwords(tokens) if stopwords else tokens
     return F.array_join(tokens, " ")
 
 
+def with_search_texts(docs: DataFrame, text: str) -> DataFrame:
+    """Adds plain and lemmas, the two forms of ``prepare_search_text`` without stop words; words are split once."""
+    once = docs.withColumn("_w", without_stopwords(russian_tokens(F.col(text))))
+    return once.withColumns({"plain": F.array_join("_w", " "), "lemmas": F.array_join(without_stopwords(stems("_w")), " ")}).drop("_w")
+
+
 def clean_text(text: Column) -> Column:
     """One blank for white space, and one of a run of full stops, exclamation or question marks."""
     text = F.regexp_replace(text, r"\s+", " ")

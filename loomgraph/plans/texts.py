@@ -108,7 +108,7 @@ SELECT doc_id, array_to_string(kept, ' ') AS plain, array_to_string(list_filter(
 trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\\s+', ' ', 'g'), '[.]{{2,}}', '.', 'g'), '[!]{{2,}}', '!', 'g'), '[?]{{2,}}', '?', 'g')) AS clean FROM s""", graph_views=False)
 def search_texts(g: Graph) -> DataFrame:
     rows = g.table("documents").where("text IS NOT NULL").select("doc_id", F.concat(_cyrillic(F.col("text")), F.lit("  не только это!!! но и то...")).alias("t"))
-    return rows.select("doc_id", T.prepare_search_text(F.col("t"), lemmas=False).alias("plain"), T.prepare_search_text(F.col("t")).alias("lemmas"), T.clean_text(F.col("t")).alias("clean"))
+    return T.with_search_texts(rows, "t").select("doc_id", "plain", "lemmas", T.clean_text(F.col("t")).alias("clean"))
 
 
 @query("""SELECT conv_id, turn, 'Let me think: ' || h || chr(10) || chr(10) || 'end' AS shown, h || chr(10) || chr(10) || 'end' AS said, 'plan ' || conv_id AS thought, true AS leaks, 'Let me think: ' || h || ' end' AS flat

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph.functions.stemming import stem
+from loomgraph.functions.stemming import stem, stems
+from loomgraph.functions.text import prepare_search_text
 
 # Words and stems of the vocabulary published with the algorithm.
 PUBLISHED = """в в, вавиловка вавиловк, вагнера вагнер, вагон вагон, вагона вагон, вагоне вагон, вагонов вагон, вагоном вагон, вагоны вагон,
@@ -28,3 +29,14 @@ def test_odd_words(spark):
     words = [None, "", "docker", "вдоль-по", "взгляд" * 3000, "ёлками", "мгновенность"]
     got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(stem(F.col("w"))).collect()]
     assert got == [None, "", "docker", "вдоль-п", "взгляд" * 3000, "елк", "мгновен"]
+
+
+def test_lists_of_words(spark):
+    """Lists give the stems of their words, as the rules do one by one; of a batch each different word is cut once."""
+    pairs = [p.split() for p in PUBLISHED.replace("\n", " ").split(", ")]
+    lists = [[w for w, _ in pairs], None, [], ["ёлками", None, "docker", "вдоль-по", ""], [w for w, _ in pairs[:5]] * 3]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(lists)], "id int, w array<string>")
+    got = rows.select("id", stems("w").alias("got"), F.transform("w", stem).alias("wanted")).orderBy("id").collect()
+    assert [r["got"] for r in got] == [r["wanted"] for r in got] and got[0]["got"] == [s for _, s in pairs]
+    plan = rows.select(prepare_search_text(F.lit("слова словами"))).limit(1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan  # no dozen of native replacements for each word of each text
