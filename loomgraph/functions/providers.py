@@ -7,9 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from .text import words
 
@@ -28,6 +32,30 @@ def letter_embedding(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(97), F.lit(122)), lambda c: F.regexp_count(low, F.char(c)).cast("double"))
 
 
+def _letters(texts: pa.Array) -> np.ndarray:
+    """Counts of the bytes a to z by text."""
+    size = pc.binary_length(texts.cast(pa.string()).fill_null("")).to_numpy(zero_copy_only=False)
+    data = np.frombuffer("".join(texts.fill_null("").to_pylist()).encode(), np.uint8)
+    at = np.flatnonzero((data >= 97) & (data <= 122))
+    return np.bincount(np.repeat(np.arange(len(size)), size)[at] * 26 + data[at] - 97, minlength=26 * len(size)).astype(np.float64, copy=False).reshape(-1, 26)
+
+
+@F.arrow_udf(ArrayType(DoubleType()))
+def letter_similarities(texts: pa.Array) -> pa.Array:
+    """Of lists of lower-case texts: the cosine of the letters of each but the first to those of the one before, 0 without letters."""
+    lengths = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = texts.flatten()
+    value = np.zeros(len(flat))
+    for low in range(1, len(flat), 1 << 16):
+        v = _letters(flat.slice(low - 1, (1 << 16) + 1))
+        norm = np.sqrt((v[:-1] * v[:-1]).sum(1) * (v[1:] * v[1:]).sum(1))
+        value[low : low + len(norm)] = (v[:-1] * v[1:]).sum(1) / np.where(norm > 0, norm, 1)
+    first = np.zeros(len(flat), bool)
+    first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+    ends = np.concatenate([[0], np.cumsum(np.maximum(lengths - 1, 0))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(value[~first]))
+
+
 def same_score(query: Column, text: Column, score: Column) -> Column:
     """Cross-encoder stand-in: the score stays."""
     return score

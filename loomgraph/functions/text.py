@@ -273,7 +273,9 @@ def sentences(text: Column) -> Column:
     trimmed = lambda x: F.regexp_replace(F.replace(x, F.lit("\u0001"), F.lit(".")), r"\A\s+|\s+\z", "")
     parts = F.filter(F.transform(F.split(marked, "\u0000"), trimmed), lambda x: x != "")
     by_line = F.filter(F.transform(F.split(text, "\n"), trimmed), lambda x: x != "")
-    return F.when(F.size(parts) > 1, parts).otherwise(F.when(F.size(by_line) > 0, by_line).otherwise(F.array(text)))
+    once = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+    lines = once(by_line, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(text)))
+    return once(parts, lambda x: F.when(F.size(x) > 1, x).otherwise(lines))
 
 
 def fix_lookalikes(text: Column) -> Column:

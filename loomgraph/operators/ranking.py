@@ -111,6 +111,16 @@ def semantic_breaks(similarities: DataFrame, doc: str = "doc_id", at: str = "idx
     return similarities.withColumn("is_break", (F.col(value) < floor) | F.coalesce(F.col(value) < dip * (before + after) / 2, F.lit(False)))
 
 
+def breaks_in(similarities: Column, floor: float = 0.5, dip: float = 0.7) -> Column:
+    """The same for all similarities of one text as a list."""
+
+    def told(m: Column) -> Column:
+        inside = lambda x, k: (k > 0) & (x < dip * (F.get(m, k - 1) + F.get(m, k + 1)) / 2)
+        return F.transform(m, lambda x, k: (x < floor) | F.coalesce(inside(x, k), F.lit(False)))
+
+    return F.get(F.transform(F.array(similarities), told), F.lit(0))  # the list is made once, not for each of its items
+
+
 def budget_chunks(sizes: Iterator[int], most: int = 1024) -> list[int]:
     """Chunk number of each sentence: a chunk ends before it would exceed ``most`` tokens."""
     out, total, chunk = [], 0, 0

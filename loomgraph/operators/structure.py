@@ -11,8 +11,10 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions.text import importance_of, one_of
 from ..schema import CONCEPT_TYPES, MEMORY_TYPES, RELATION_TYPES
@@ -467,6 +469,18 @@ def semantic_chunks(parts: DataFrame, most: int = 1024, least: int = 512, overla
     return parts.select("doc_id", "idx", "n_tokens", "is_break").groupBy("doc_id").applyInPandas(cut, f"doc_id {kind}, idx int, first int, last int, n_tokens int")
 
 
+def chunks_of(sizes: Column, breaks: Column, most: int = 1024, least: int = 512, overlap: int = 50) -> Column:
+    """The chunks of one text as a list of first, last and n_tokens, from the tokens of its sentences and whether each but the first is a break."""
+
+    @F.arrow_udf(ArrayType(StructType([StructField(c, IntegerType()) for c in ("first", "last", "n_tokens")])))
+    def cut(sizes: pa.Array, breaks: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([(c, pa.int32()) for c in ("first", "last", "n_tokens")]))
+        found = [cut_sentences(n, {k + 1 for k, x in enumerate(b) if x}, most, least, overlap) for n, b in zip(sizes.to_pylist(), breaks.to_pylist(), strict=True)]
+        return pa.array([[(a, b - 1, n) for a, b, n in one] for one in found], kind)
+
+    return cut(sizes, breaks)
+
+
 def person_roles(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, name and role by three patterns; the first role of a name counts."""
     patterns = ((rf"({PERSON})\s*[—–-]\s*({ROLES})[а-яё]*", 1, 2), (rf"(?:^|[^а-яёА-ЯЁa-zA-Z])({ROLES})[а-яё]*\s*[:—–-]\s*({PERSON})", 2, 1), (rf"({PERSON})\s*\(({ROLES})[а-яё]*\)", 1, 2))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import text as T
-from ..functions.providers import letter_embedding
+from ..functions.providers import letter_similarities
 from ..operators import evaluation, graph, learning, ranking, resolver, retrieval, search
 from ..session import checkpointed
 from ..sources.derive import SQL, Graph
@@ -372,16 +372,16 @@ def sentences_of(g: Graph) -> DataFrame:
 
 
 def sentence_breaks(g: Graph) -> DataFrame:
-    """Similarity of each sentence but the first to the one before, by their letters, and whether it is a break."""
-    rows = sentences_of(g).withColumn("v", letter_embedding(F.col("sentence")))
-    before = F.lag("v").over(Window.partitionBy("doc_id").orderBy("idx"))
-    pairs = rows.withColumn("before", before).where("idx > 0").select("doc_id", "idx", F.round(F.coalesce(S.cosine(F.col("before"), F.col("v")), F.lit(0.0)), 9).alias("similarity"))
-    return ranking.semantic_breaks(pairs)
+    """doc_id, sentences of each text, and for each sentence but the first whether it is a break to the one before, by their letters; a text is a row, so nothing is shuffled."""
+    rows = g.table("documents").where("text IS NOT NULL").select("doc_id", T.sentences(F.col("text")).alias("sentences"))
+    near = rows.withColumn("similarities", F.transform(letter_similarities(F.transform("sentences", F.lower)), lambda x: F.round(x, 9)))
+    return near.select("doc_id", "sentences", ranking.breaks_in(F.col("similarities")).alias("breaks"))
 
 
 @query(f"WITH {BREAKS} SELECT doc_id, idx::INT AS idx, is_break FROM br", graph_views=False)
 def semantic_breaks(g: Graph) -> DataFrame:
-    return sentence_breaks(g).select("doc_id", "idx", "is_break")
+    # posexplode alone would add a filter on the list, for which all sentences are split once more.
+    return sentence_breaks(g).select("doc_id", F.posexplode_outer("breaks").alias("idx", "is_break")).where("idx IS NOT NULL").withColumn("idx", (F.col("idx") + 1).cast("int"))
 
 
 @query("SELECT id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY importance DESC, id) AS n FROM memories) WHERE n = 1 ORDER BY importance DESC, id LIMIT 5")

@@ -198,9 +198,9 @@ fold AS (SELECT doc_id, chunk, 0 AS part, tokens FROM ch WHERE chunk = 0
 SELECT doc_id, part::INT AS idx, min(first)::INT AS first, max(last)::INT AS last, max(fold.tokens)::INT AS n_tokens FROM fold JOIN ch USING (doc_id, chunk) GROUP BY doc_id, part""", graph_views=True)
 def sentence_chunks(g: Graph) -> DataFrame:
     """Chunks of 20 to 60 tokens without an overlap; the tests cover overlaps."""
-    rows = sentences_of(g).select("doc_id", "idx", T.token_count(F.col("sentence")).alias("n_tokens"))
-    told = rows.join(sentence_breaks(g).select("doc_id", "idx", "is_break"), ["doc_id", "idx"], "left").withColumn("is_break", F.coalesce("is_break", F.lit(False)))
-    return structure.semantic_chunks(told, most=60, least=20, overlap=0)
+    rows = sentence_breaks(g).select("doc_id", F.transform("sentences", T.token_count).alias("sizes"), "breaks")
+    found = rows.select("doc_id", F.posexplode(structure.chunks_of(F.col("sizes"), F.col("breaks"), most=60, least=20, overlap=0)).alias("idx", "c"))
+    return found.select("doc_id", "idx", "c.*")
 
 
 # Pages put together from regions and nations.
