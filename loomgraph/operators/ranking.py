@@ -16,18 +16,33 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: s
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
 
 
+def ranked_wide(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """``ranked`` for few groups of any size: ranges of the order are numbered each for itself, after the rows of all ranges before."""
+    placed = written(df.repartitionByRange(*[F.col(g) for g in group], *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = placed.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.withColumn("_before", before).drop("_n")
+    numbered = ranked(placed, [*group, "_part"], order, "_own")
+    same = F.lit(True)
+    for c in (*group, "_part"):
+        same &= numbered[c].eqNullSafe(starts[c])
+    found = numbered.join(F.broadcast(starts), same).select(*[numbered[c] for c in df.columns], (F.col("_own") + F.col("_before")).cast("int").alias(name))
+    return found
+
+
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """The first ``k`` of each group; Spark limits groups before the shuffle."""
     return ranked(df, group, order, "_rank").where(F.col("_rank") <= k).drop("_rank")
 
 
-def fuse(lists: DataFrame, query: Sequence[str] = (), item: str = "id", source: str = "source", score: str = "score", k: int = 60, weights: Mapping[str, float] | None = None) -> DataFrame:
+def fuse(lists: DataFrame, query: Sequence[str] = (), item: str = "id", source: str = "source", score: str = "score", k: int = 60, weights: Mapping[str, float] | None = None, wide: bool = False) -> DataFrame:
     """Reciprocal rank fusion: the sum of weight / (k + rank) over the lists that hold an item.
 
     Adds sources, original scores and ranks by source.  Weights of absent lists
-    are not spread over the others.  Ties within a list go by item.
+    are not spread over the others.  Ties within a list go by item.  ``wide`` is
+    for lists that are too long for one task each.
     """
-    numbered = ranked(lists, [*query, source], [F.desc(score), F.asc(item)])
+    numbered = (ranked_wide if wide else ranked)(lists, [*query, source], [F.desc(score), F.asc(item)])
     weight = F.lit(1.0)
     if weights is not None:
         weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]), F.col(source)), F.lit(0.0))

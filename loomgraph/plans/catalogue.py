@@ -332,12 +332,12 @@ def _lists(g: Graph) -> DataFrame:
 
 @query(f"WITH {LISTS} SELECT id, round(sum(1.0 / (60 + rank)), 9) AS fused, string_agg(source, '+' ORDER BY source) AS sources FROM ranked GROUP BY id")
 def rrf(g: Graph) -> DataFrame:
-    return ranking.fuse(_lists(g)).select("id", F.round("fused", 9).alias("fused"), F.array_join("sources", "+").alias("sources"))
+    return ranking.fuse(_lists(g), wide=True).select("id", F.round("fused", 9).alias("fused"), F.array_join("sources", "+").alias("sources"))
 
 
 @query(f"WITH {LISTS} SELECT id, round(sum(CASE source WHEN 'bm25' THEN 0.25 WHEN 'graph' THEN 0.2 ELSE 0.3 END / (60 + rank)), 9) AS fused FROM ranked GROUP BY id")
 def weighted_rrf(g: Graph) -> DataFrame:
-    return ranking.fuse(_lists(g), weights=retrieval.WEIGHTS).select("id", F.round("fused", 9).alias("fused"))
+    return ranking.fuse(_lists(g), weights=retrieval.WEIGHTS, wide=True).select("id", F.round("fused", 9).alias("fused"))
 
 
 @query("""SELECT id, status, round(CASE WHEN high > low THEN (importance - low) / (high - low) ELSE 1.0 END, 6) AS normalized
