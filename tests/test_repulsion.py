@@ -94,3 +94,17 @@ def test_layout(spark):
     assert sorted(got) == ids and np.allclose([got[k] for k in ids], wanted, atol=1e-6)
     assert len({tuple(np.round(p, 3)) for p in wanted}) == len(ids) and np.abs(wanted).max() == pytest.approx(100.0)
     assert repulsion.arrange(nodes.where("id > 99"), relations, rounds=1).count() == 0
+
+
+def test_tiles_give_what_one_tile_gives(spark, monkeypatch):
+    """Many small tiles, some in parts as their nodes are too dense to be cut, and cells that are summed before they are sent."""
+    rows = crowds(3, 900) + [(2000 + k, 333.25, 444.5, 2.0) for k in range(200)]
+    wanted = forces(spark, rows)
+    monkeypatch.setattr(repulsion, "TILE", 50)
+    monkeypatch.setattr(repulsion, "COARSE", 5)
+    cut = []
+    tiles = repulsion._tiles
+    monkeypatch.setattr(repulsion, "_tiles", lambda *a: cut.append(tiles(*a)) or cut[-1])
+    assert np.allclose(forces(spark, rows), wanted, rtol=1e-7, atol=1e-6)
+    _, parts, at = cut[0]
+    assert len(at) > 30 and parts.max() > 3 and len(set(at[:, 0])) > 2
