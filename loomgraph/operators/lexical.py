@@ -21,8 +21,12 @@ as sums over commits, so hidden texts leave the statistics at once.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,9 +36,13 @@ from .ranking import top_k
 from .search import tokens
 
 BLOCK = 128
-#: A token's postings are dealt into parts of about this many, so that no task sorts a whole frequent token.
+#: A token's postings are dealt into slices of about this many, so that no task sorts a whole frequent token.
 SLICE = 1 << 20
-PARTS = 16
+#: Postings that a task sorts, and characters whose tokens a task counts, in memory.
+POSTINGS = 1 << 19
+CHARACTERS = 1 << 22
+#: Numbers of a matrix of questions, or texts, by tokens; more questions than fit are scored by joins.
+MATRIX = 1 << 22
 SEED_TOKENS = 3
 MOST_SEGMENTS = 12
 _EPSILON = 1e-7
@@ -44,6 +52,31 @@ def _weight(tf: Column, dl: Column, avgdl: Column, k1: float, b: float) -> Colum
     return tf / (tf + k1 * (1 - b + b * dl / avgdl))
 
 
+def _products(asked: pa.Table, avgdl: float, k1: float, b: float):
+    """Scores of texts (id, dl, token, tf and the questions qs that each is scored for), as products of matrices by token."""
+    questions, words = (pc.unique(asked[c].combine_chunks()) for c in ("q", "token"))
+    idf = np.zeros((len(words), len(questions)))
+    idf[pc.index_in(asked["token"], words).to_numpy(), pc.index_in(asked["q"], questions).to_numpy()] = asked["idf"].to_numpy()
+    most = max(1, MATRIX // len(words))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, most):
+                rows = batch.slice(begin, most)
+                column = pc.index_in(rows["token"].flatten(), words)
+                known = column.is_valid().to_numpy(zero_copy_only=False)
+                row = pc.list_parent_indices(rows["token"]).to_numpy()[known]
+                tf, dl = rows["tf"].flatten().to_numpy(zero_copy_only=False)[known], rows["dl"].to_numpy()
+                weights = np.zeros((rows.num_rows, len(words)))
+                weights[row, column.drop_null().to_numpy()] = tf / (tf + k1 * (1 - b + b * dl[row] / avgdl))
+                text = pc.list_parent_indices(rows["qs"])
+                found = (weights @ idf)[text.to_numpy(), pc.index_in(rows["qs"].flatten(), questions).to_numpy()]
+                out = pa.RecordBatch.from_arrays([rows["qs"].flatten(), rows["id"].take(text), pa.array(found)], names=["q", "id", "score"])
+                yield out.filter(pa.array(found > 0))
+
+    return score
+
+
 class LexicalIndex:
     """An index below ``path``; k1 and b are those of all searches."""
 
@@ -94,16 +127,17 @@ class LexicalIndex:
             texts = self.spark.read.parquet(f"{at}/texts")
             more = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
             n, dl = n + more[0], dl + more[1]
-            postings = texts.select("id", "dl", F.explode("counts").alias("c")).select("id", "dl", "c.token", "c.tf")
-            own = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+            postings = texts.select("id", F.col("dl").cast("int").alias("dl"), F.explode("counts").alias("c")).select("id", "dl", "c.token", "c.tf")
+            own = written(postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "df")
             changes = own if changes is None else changes.unionByName(own)
-            parts = F.ceil(F.col("df") / SLICE).cast("long")
-            sliced = postings.join(own, "token").withColumn("slice", F.pmod(F.xxhash64("id"), parts))
+            # As few tokens as there are slices; all others are one slice, so postings are shuffled once, to where they are sorted and written.
+            split = own.where(F.col("df") > SLICE).select("token", F.ceil(F.col("df") / SLICE).cast("long").alias("slices"))
+            sliced = postings.join(F.broadcast(split), "token", "left").withColumn("slice", F.pmod(F.xxhash64("id"), F.coalesce("slices", F.lit(1).cast("long")))).drop("slices")
+            tasks = 1 + (own.agg(F.sum("df")).first()[0] or 0) // POSTINGS
             best = Window.partitionBy("token", "slice").orderBy(F.desc(_weight(F.col("tf"), F.col("dl"), F.lit(more[1] / max(more[0], 1) or 1.0), self.k1, self.b)), "id")
-            numbered = sliced.withColumn("block", F.floor((F.row_number().over(best) - 1) / BLOCK).cast("int"))
-            blocks = numbered.groupBy("token", "slice", "block").agg(F.collect_list("id").alias("ids"), F.max("tf").alias("tf"), F.min("dl").alias("dl"), F.count(F.lit(1)).alias("n"))
-            part = F.pmod(F.xxhash64("token"), F.lit(PARTS)).cast("int")
-            blocks.withColumn("part", part).repartition("part").sortWithinPartitions("token").write.partitionBy("part").parquet(f"{at}/blocks")
+            numbered = sliced.repartition(tasks, "token", "slice").withColumn("block", F.floor((F.row_number().over(best) - 1) / BLOCK).cast("int"))
+            blocks = numbered.groupBy("token", "slice", "block").agg(F.collect_list("id").alias("ids"), F.max("tf").alias("tf"), F.min("dl").cast("long").alias("dl"), F.count(F.lit(1)).alias("n"))
+            blocks.sortWithinPartitions("token").write.parquet(f"{at}/blocks")
         if changes is not None:
             changes.groupBy("token").agg(F.sum("df").alias("df")).write.parquet(f"{at}/terms")
             holds.append("terms")
@@ -111,15 +145,16 @@ class LexicalIndex:
 
     def append(self, docs: DataFrame, item: str = "id", text: str = "content") -> None:
         """Add texts; a null text has no tokens, and of rows with one id the greatest text counts."""
-        rows = docs.select(F.col(item).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).groupBy("id").agg(F.max("t").alias("t"))
-        split = rows.select("id", tokens(F.col("t")).alias("t"))
-        counted = split.select("id", F.explode("t").alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        counted = counted.groupBy("id").agg(F.collect_list(F.struct("token", "tf")).alias("counts"))
-        none = F.array().cast("array<struct<token:string,tf:int>>")
-        texts = split.select("id", F.size("t").cast("long").alias("dl")).join(counted, "id", "left").withColumn("counts", F.coalesce("counts", none))
+        given = docs.select(F.col(item).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+        tasks = 1 + (given.agg(F.sum(F.length("t"))).first()[0] or 0) // CHARACTERS
+        # A text is shuffled once; its tokens are counted where it then is.
+        rows = given.repartition(tasks, "id").groupBy("id").agg(F.max("t").alias("t"))
+        counted = rows.select("id", F.explode_outer(tokens(F.col("t"))).alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        held = F.col("token").isNotNull()
+        texts = counted.groupBy("id").agg(F.coalesce(F.sum(F.when(held, F.col("tf"))), F.lit(0)).cast("long").alias("dl"), F.collect_list(F.when(held, F.struct("token", "tf"))).alias("counts"))
         segments = self.segments()
         number = self.log.last() + 1 if segments else 0
-        self._commit(number, [*segments, self._new(number, segments, written(texts, "texts"), rows)])
+        self._commit(number, [*segments, self._new(number, segments, texts, given)])
         if len(segments) >= MOST_SEGMENTS:
             self.merge()
 
@@ -156,7 +191,12 @@ class LexicalIndex:
         return written(asked.join(df, "token").select("q", "token", idf.alias("idf")), "asked")
 
     def _scored(self, pairs: DataFrame, asked: DataFrame, texts: DataFrame, avgdl: float) -> DataFrame:
-        """q, id, score of pairs (q, id), from the texts' own counts."""
+        """q, id, score of different pairs (q, id), from the texts' own counts."""
+        size = asked.agg(F.count_distinct("q").alias("q"), F.count_distinct("token").alias("token")).first()
+        if 0 < size["q"] * size["token"] <= MATRIX:
+            near = texts.join(pairs.groupBy("id").agg(F.collect_list("q").alias("qs")), "id")
+            kinds = [pairs.schema[c].dataType.simpleString() for c in ("q", "id")]
+            return near.select("id", "dl", "counts.token", "counts.tf", "qs").mapInArrow(_products(asked.toArrow(), avgdl, self.k1, self.b), f"q {kinds[0]}, id {kinds[1]}, score double")
         near = texts.join(pairs.select("id").distinct(), "id", "left_semi").select("id", "dl", F.explode("counts").alias("c")).select("id", "dl", "c.token", "c.tf")
         near = near.join(asked.select("token").distinct(), "token", "left_semi")
         part = F.col("idf") * _weight(F.col("tf"), F.col("dl"), F.lit(avgdl), self.k1, self.b)
