@@ -27,6 +27,7 @@ from ..sources.store import GraphStore
 EVENT = "event_id bigint, node string, id string, ts timestamp, kind string"
 KEY = ["node", "id"]
 _OUT = "node string, id string, successes bigint, failures bigint, accesses bigint, last bigint, history array<bigint>"
+_STATE = "successes bigint, failures bigint, accesses bigint, last bigint, history array<bigint>, ids array<bigint>, times array<bigint>"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -36,22 +37,21 @@ class _Tally(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.totals = handle.getValueState("totals", "successes bigint, failures bigint, accesses bigint, last bigint")
-        self.history = handle.getListState("history", "at bigint")
-        self.seen = handle.getMapState("seen", "event_id bigint", "at bigint")
+        # One value, as each call to a state is a message: a key costs as many in a batch whatever its events.
+        self.state = handle.getValueState("state", _STATE)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        good, bad, used, last = self.totals.get() or (0, 0, 0, 0)
+        good, bad, used, last, times, ids, ats = self.state.get() or (0, 0, 0, 0, [], [], [])
         before = good + bad + used
-        seen = {k[0] for k in self.seen.keys()}
-        times = [t[0] for t in self.history.get()]
+        times, ids, ats, seen = list(times), list(ids), list(ats), set(ids)
         fresh: list[int] = []
         for frame in rows:
             for event, at, kind in zip(frame["event_id"], frame["at"], frame["kind"], strict=True):
                 if event in seen:
                     continue
                 seen.add(event)
-                self.seen.updateValue((int(event),), (int(at),))
+                ids.append(int(event))
+                ats.append(int(at))
                 fresh.append(int(at))
                 last = max(last, int(at)) if before or len(fresh) > 1 else int(at)
                 if kind == "positive":
@@ -65,17 +65,18 @@ class _Tally(StatefulProcessor):
         if not fresh:
             return
         self.handle.registerTimer(max(fresh) // 1000 + 1)
-        self.totals.update((good, bad, used, last))
-        if times:
-            self.history.put([(t,) for t in times])
+        self.state.update((good, bad, used, last, times, ids, ats))
         yield pd.DataFrame({"node": [key[0]], "id": [key[1]], "successes": [good], "failures": [bad], "accesses": [used], "last": [last], "history": [times]})
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         """Forget the events that no copy can come of any more."""
         mark = timerValues.getCurrentWatermarkInMs()
-        for event, at in list(self.seen.iterator()):
-            if at[0] // 1000 < mark:
-                self.seen.removeKey(event)
+        found = self.state.get()
+        if found:
+            *totals, ids, ats = found
+            kept = [(event, at) for event, at in zip(ids, ats, strict=True) if at // 1000 >= mark]
+            if len(kept) < len(ids):
+                self.state.update((*totals, [k[0] for k in kept], [k[1] for k in kept]))
         return iter([])
 
     def close(self) -> None:

@@ -6,6 +6,8 @@ import datetime as dt
 import random
 import time
 
+import pandas as pd
+
 from loomgraph.sources.store import GraphStore
 from loomgraph.streaming import events, feedback
 
@@ -80,3 +82,33 @@ def test_late_copies_are_not_counted_again(spark, tmp_path):
     events.drain(stream, f"{tmp_path}/state", lambda batch, number: seen.update(shown(batch.collect())), mode="update")
     assert seen == plain([*early, *later, last], 200)
     assert feedback.tallies(spark.createDataFrame([], feedback.EVENT)).count() == 0
+
+
+def test_calls_to_the_state_do_not_grow_with_the_events():
+    calls = []
+
+    class State:
+        value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    class Handle:
+        def getValueState(self, *_):
+            return State()
+
+        def registerTimer(self, at):
+            calls.append("timer")
+
+    tally = feedback._Tally(5)
+    tally.init(Handle())
+    for ids in (range(50), range(25, 75)):
+        frame = pd.DataFrame({"event_id": list(ids), "at": [1000 * k for k in ids], "kind": "access"})
+        out = next(tally.handleInputRows(("memory", "a"), iter([frame]), None))
+    assert out["accesses"][0] == 75 and out["history"][0] == [1000 * k for k in range(70, 75)]
+    assert len(calls) == 6
