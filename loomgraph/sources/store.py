@@ -30,6 +30,8 @@ from .log import CommitLog, Conflict
 
 def last_wins(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """One row for each key: the last by ``order``; without one, the greatest by all other columns, as rows have no order of their own."""
+    if set(rows.columns) == set(keys):
+        return rows.distinct()
     others = [c for c in rows.columns if c not in keys and not rows.schema[c].dataType.typeName() == "map"]
     newest = Window.partitionBy(*keys).orderBy(*([F.desc_nulls_last(order)] if order else []), *[F.desc_nulls_last(c) for c in others or keys])
     return rows.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").drop("_rank")
@@ -56,6 +58,8 @@ def only_linked(links: DataFrame, left: DataFrame, right: DataFrame, left_id: st
 ENDS = {"relations": ("concepts", "concepts"), "memory_concept": ("memories", "concepts"), "memory_document": ("memories", "documents"), "episode_concept": ("episodes", "concepts"), "episode_memory": ("episodes", "memories")}
 BUCKETS = 8
 BUCKET_BYTES = 128 << 20
+#: Rows of a save for which there is a bucket, and a task that writes it.
+BUCKET_ROWS = 1 << 20
 #: A table with more layers than this is compacted by the next save.
 MOST_LAYERS = 12
 _ATTEMPTS = 20
@@ -89,7 +93,7 @@ class Transaction:
     def _layer(self, table: str, rows: DataFrame, buckets: int = BUCKETS) -> dict:
         """Write ``rows`` (the columns of the table and _gone) as a layer."""
         path = f"data/{table}/{uuid.uuid4().hex}"
-        dealt = rows.withColumn("_bucket", _bucket(KEYS[table], buckets)).repartition("_bucket")
+        dealt = rows.withColumn("_bucket", _bucket(KEYS[table], buckets)).repartition(2 * buckets, "_bucket")
         dealt.write.partitionBy("_bucket").parquet(f"{self.store.root}/{path}")
         return {"path": path, "buckets": buckets}
 
@@ -111,6 +115,7 @@ class Transaction:
                 rows = rows.join(self.read(end).select(F.col("id").alias(key)), key, "left_semi")
         given = [c for c in rows.columns if c in schema_of(table).names]
         new = written(last_wins(rows.select(*given), keys), f"new-{table}")
+        buckets = max(BUCKETS, -(-new.count() // BUCKET_ROWS))  # counted from the files' footers
         if self.state[table]:
             wanted = new.select(*keys)
             old = self.store._merged(table, self.state[table], wanted)
@@ -122,7 +127,7 @@ class Transaction:
             out = changed.drop("_old")
         else:
             out = conform(new, table)
-        self._add(table, self._layer(table, out.withColumn("_gone", F.lit(False))))
+        self._add(table, self._layer(table, out.withColumn("_gone", F.lit(False)), buckets))
 
     def delete(self, table: str, keys: DataFrame) -> None:
         """Rows that match ``keys`` on all of its columns go."""

@@ -6,6 +6,7 @@ import threading
 
 import pytest
 
+from loomgraph.sources import store as store_module
 from loomgraph.sources.store import MOST_LAYERS, Conflict, GraphStore
 
 
@@ -124,3 +125,17 @@ def test_last_column_of_a_partial_row(spark, store):
     assert [(r["title"], r["content"]) for r in store.read("documents").collect()] == [("u", None)]
     store.save("documents", spark.createDataFrame([("d", None)], "id string, title string"))
     assert store.read("documents").first()["title"] is None
+
+
+def test_buckets_grow_with_the_rows_of_a_save(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "BUCKET_ROWS", 10)
+    store = GraphStore(spark, f"file://{tmp_path}/s")
+    store.setup()
+    rows = spark.range(300).selectExpr("cast(id AS string) AS id", "concat('n', id) AS name")
+    store.save("concepts", rows.union(rows))
+    store.save("concepts", rows.where("id < 5").selectExpr("id", "'new' AS name"))
+    first, second = store.latest()[1]["concepts"]
+    assert first["buckets"] == 30 and second["buckets"] == store_module.BUCKETS
+    assert len(list((tmp_path / "s" / first["path"]).glob("_bucket=*"))) > 20
+    assert {r["id"]: r["name"] for r in store.read("concepts").collect()} == {str(k): "new" if k < 5 else f"n{k}" for k in range(300)}
+    assert {r["id"] for r in store.get("concepts", ["3", "299", "none"]).collect()} == {"3", "299"}
