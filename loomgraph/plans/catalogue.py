@@ -537,9 +537,8 @@ def ivf_search(g: Graph) -> DataFrame:
 
 @query()
 def mmr(g: Graph) -> DataFrame:
-    asked, rows = _vectors(g)
-    near = search.nearest(asked, rows, 50).join(rows.select("id", "embedding"), "id").join(asked.withColumnRenamed("embedding", "query_embedding"), "query_id")
-    return ranking.mmr(near, "query_id", 10)
+    """Ten vectors for each question, chosen among all, near to it and far from each other."""
+    return search.diverse(*_vectors(g), 10)
 
 
 # Learning.
