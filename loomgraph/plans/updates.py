@@ -599,7 +599,7 @@ def pushed_nodes(g: Graph) -> DataFrame:
     """One round of pushes (millionths) between all concepts of the map, whose circles grow with their edges."""
     degree = graph.degrees(g.concepts(), g.relations())
     rows = g.concepts().select("id", F.col("layout_x").alias("x"), F.col("layout_y").alias("y")).join(degree, "id")
-    return spacing.pushes(rows.withColumn("radius", 1 + F.col("degree") / 20), 2.5)
+    return spacing.pushes(written(rows.select("id", "x", "y", (1 + F.col("degree") / 20).alias("radius")), "circles"), 2.5)
 
 
 def _bodies(g: Graph) -> DataFrame:
